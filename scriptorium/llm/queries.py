@@ -3,11 +3,20 @@
 from __future__ import annotations
 
 from scriptorium.llm.bpe import op8_bpe_codec
+from scriptorium.llm.langid import op5_language_id
 from scriptorium.llm.secrets import op1_secret_scan
+from scriptorium.llm.topk import OP7_SQL, op7_exact_topk
+from scriptorium.llm.warc import OP2_SQL, op2_warc_roundtrip
 
 QUERIES = {
     "op1_secret_scan": op1_secret_scan,
+    "op2_warc_roundtrip": op2_warc_roundtrip,
+    "op5_language_id": op5_language_id,
+    "op7_exact_topk": op7_exact_topk,
     "op8_bpe_codec": op8_bpe_codec,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op2_warc_roundtrip": OP2_SQL,
+    "op7_exact_topk": OP7_SQL,
+}
