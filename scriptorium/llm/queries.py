@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from scriptorium.llm.bpe import op8_bpe_codec
+from scriptorium.llm.decontaminate import op4_decontamination
 from scriptorium.llm.langid import op5_language_id
 from scriptorium.llm.secrets import op1_secret_scan
 from scriptorium.llm.topk import OP7_SQL, op7_exact_topk
@@ -11,6 +12,7 @@ from scriptorium.llm.warc import OP2_SQL, op2_warc_roundtrip
 QUERIES = {
     "op1_secret_scan": op1_secret_scan,
     "op2_warc_roundtrip": op2_warc_roundtrip,
+    "op4_decontamination": op4_decontamination,
     "op5_language_id": op5_language_id,
     "op7_exact_topk": op7_exact_topk,
     "op8_bpe_codec": op8_bpe_codec,

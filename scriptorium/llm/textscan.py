@@ -16,6 +16,7 @@ import numpy as np
 import pyarrow as pa
 
 SLICE_BYTES = 1 << 20
+SHINGLE_WORDS = 5
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 _INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -122,3 +123,45 @@ def ragged(counts: np.ndarray) -> np.ndarray:
     """0, 1, .. within each row, for rows of the given lengths."""
     ends = np.cumsum(counts)
     return np.arange(int(ends[-1]) if len(ends) else 0) - np.repeat(ends - counts, counts)
+
+
+def shingles(hashes: np.ndarray) -> np.ndarray:
+    """The hash of each run of SHINGLE_WORDS words of one text; of all its words, if there are fewer; none without words."""
+    n = min(SHINGLE_WORDS, len(hashes))
+    if not n:
+        return np.zeros(0, np.uint64)
+    out = np.zeros(len(hashes) - n + 1, np.uint64)
+    for k in range(n):
+        out = mix(out + hashes[k : len(hashes) - n + 1 + k])
+    return out
+
+
+def shingle_sets(hashes: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct shingles of consecutive rows, sorted within each row, and the size of each row's set."""
+    ends = np.cumsum(counts)
+    values, rows = [], []
+    full = np.flatnonzero(counts >= SHINGLE_WORDS)
+    if len(full):
+        size = counts[full] - SHINGLE_WORDS + 1
+        at = np.repeat((ends - counts)[full], size) + ragged(size)
+        out = np.zeros(len(at), np.uint64)
+        for k in range(SHINGLE_WORDS):
+            out = mix(out + hashes[at + k])
+        values.append(out)
+        rows.append(np.repeat(full, size))
+    for n in range(1, SHINGLE_WORDS):
+        few = np.flatnonzero(counts == n)
+        if len(few):
+            out = np.zeros(len(few), np.uint64)
+            for k in range(n):
+                out = mix(out + hashes[(ends - counts)[few] + k])
+            values.append(out)
+            rows.append(few)
+    if not values:
+        return np.zeros(0, np.uint64), np.zeros(len(counts), np.int64)
+    value, row = np.concatenate(values), np.concatenate(rows)
+    order = np.argsort(value)
+    order = order[np.argsort(row[order], kind="stable")]
+    value, row = value[order], row[order]
+    keep = np.concatenate([[True], (value[1:] != value[:-1]) | (row[1:] != row[:-1])])
+    return value[keep], np.bincount(row[keep], minlength=len(counts))
