@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from scriptorium.llm.bpe import op8_bpe_codec
 from scriptorium.llm.decontaminate import op4_decontamination
+from scriptorium.llm.jaccard import OP10_SQL, op10_jaccard_join
 from scriptorium.llm.langid import op5_language_id
 from scriptorium.llm.secrets import op1_secret_scan
 from scriptorium.llm.topk import OP7_SQL, op7_exact_topk
@@ -16,9 +17,11 @@ QUERIES = {
     "op5_language_id": op5_language_id,
     "op7_exact_topk": op7_exact_topk,
     "op8_bpe_codec": op8_bpe_codec,
+    "op10_jaccard_join": op10_jaccard_join,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op2_warc_roundtrip": OP2_SQL,
     "op7_exact_topk": OP7_SQL,
+    "op10_jaccard_join": OP10_SQL,
 }
