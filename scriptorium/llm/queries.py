@@ -6,6 +6,7 @@ from scriptorium.llm.bpe import op8_bpe_codec
 from scriptorium.llm.decontaminate import op4_decontamination
 from scriptorium.llm.jaccard import OP10_SQL, op10_jaccard_join
 from scriptorium.llm.langid import op5_language_id
+from scriptorium.llm.lm import op6_lm_score
 from scriptorium.llm.secrets import op1_secret_scan
 from scriptorium.llm.topk import OP7_SQL, op7_exact_topk
 from scriptorium.llm.warc import OP2_SQL, op2_warc_roundtrip
@@ -15,6 +16,7 @@ QUERIES = {
     "op2_warc_roundtrip": op2_warc_roundtrip,
     "op4_decontamination": op4_decontamination,
     "op5_language_id": op5_language_id,
+    "op6_lm_score": op6_lm_score,
     "op7_exact_topk": op7_exact_topk,
     "op8_bpe_codec": op8_bpe_codec,
     "op10_jaccard_join": op10_jaccard_join,
