@@ -7,6 +7,7 @@ from scriptorium.llm.decontaminate import op4_decontamination
 from scriptorium.llm.jaccard import OP10_SQL, op10_jaccard_join
 from scriptorium.llm.langid import op5_language_id
 from scriptorium.llm.lm import op6_lm_score
+from scriptorium.llm.quality import op3_quality
 from scriptorium.llm.secrets import op1_secret_scan
 from scriptorium.llm.topk import OP7_SQL, op7_exact_topk
 from scriptorium.llm.warc import OP2_SQL, op2_warc_roundtrip
@@ -14,6 +15,7 @@ from scriptorium.llm.warc import OP2_SQL, op2_warc_roundtrip
 QUERIES = {
     "op1_secret_scan": op1_secret_scan,
     "op2_warc_roundtrip": op2_warc_roundtrip,
+    "op3_quality": op3_quality,
     "op4_decontamination": op4_decontamination,
     "op5_language_id": op5_language_id,
     "op6_lm_score": op6_lm_score,
