@@ -9,6 +9,7 @@ from scriptorium.llm.langid import op5_language_id
 from scriptorium.llm.lm import op6_lm_score
 from scriptorium.llm.quality import op3_quality
 from scriptorium.llm.secrets import op1_secret_scan
+from scriptorium.llm.tokencounts import op9_token_counts
 from scriptorium.llm.topk import OP7_SQL, op7_exact_topk
 from scriptorium.llm.warc import OP2_SQL, op2_warc_roundtrip
 
@@ -21,11 +22,13 @@ QUERIES = {
     "op6_lm_score": op6_lm_score,
     "op7_exact_topk": op7_exact_topk,
     "op8_bpe_codec": op8_bpe_codec,
+    "op9_token_counts": op9_token_counts,
     "op10_jaccard_join": op10_jaccard_join,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op2_warc_roundtrip": OP2_SQL,
     "op7_exact_topk": OP7_SQL,
+    "op9_token_counts": op9_token_counts,
     "op10_jaccard_join": OP10_SQL,
 }
