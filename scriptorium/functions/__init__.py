@@ -1,0 +1 @@
+"""Column expressions over text, time and numbers."""
