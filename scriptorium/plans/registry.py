@@ -21,4 +21,4 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     return add
 
 
-from scriptorium.plans import ingestion, planning, retrieval, rollups  # noqa: E402, F401
+from scriptorium.plans import answers, ingestion, planning, retrieval, rollups  # noqa: E402, F401
