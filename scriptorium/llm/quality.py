@@ -29,6 +29,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from scriptorium.llm.langid import fold
 from scriptorium.llm.lm import discounts
+from scriptorium.llm.lookup import filter_rows, write_lookup
 from scriptorium.llm.ngrams import PACKED, Vocabulary, _gather, count_pairs, count_words, merged, open_vocabulary, pair_shard, tokens
 from scriptorium.llm.shared import cut, map_file, new_folder, put_file, table
 
@@ -222,7 +223,8 @@ def classify(docs: DataFrame, trusted: DataFrame, quantile: float = QUANTILE) ->
     """doc_id, lang, n_tokens, perplexity, threshold and keep for each row of (doc_id, text, lang); ``trusted`` has the trusted ids."""
     sure = trusted.select("doc_id").where("doc_id is not null").distinct().withColumn("is_trusted", F.lit(True))
     held = fold(F.col("doc_id"), FOLDS) == HELD_FOLD
-    model = train(docs.join(sure.where(~held), "doc_id", "left_semi").select("text"))
+    learned = write_lookup(sure.where(~held).select(F.col("doc_id").cast("long").alias("key"), F.lit(1).cast("long").alias("value")), "trusted")
+    model = train(filter_rows(docs.select("doc_id", "text"), "doc_id", learned).select("text"))
     if model is None:
         return docs.select("doc_id", "lang", F.lit(0).cast("long").alias("n_tokens"), F.lit(None).cast("double").alias("perplexity"), F.lit(None).cast("double").alias("threshold"), F.lit(True).alias("keep"))
     scored = cut(perplexities(docs.select("doc_id", "lang", "text"), model).select("row.doc_id", "row.lang", "n_tokens", "perplexity"))
