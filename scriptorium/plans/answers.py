@@ -8,6 +8,7 @@ from scriptorium.functions import text as tx
 from scriptorium.operators import graph, policy
 from scriptorium.plans.registry import query
 from scriptorium.plans.views import chunks, edges, questions, sources, table, with_views
+from scriptorium.sources.tables import violations
 
 
 @query(
@@ -227,3 +228,107 @@ def prompt_context(spark, sf_dir):
 @query("j34_retrieval_preview", with_views("SELECT chunk_id, substr(regexp_replace(content, '\\s+', ' ', 'g'), 1, 120) AS preview, substr(source_ref, 1, 200) AS ref, length(content) AS chars FROM chunks"))
 def retrieval_preview(spark, sf_dir):
     return chunks(spark, sf_dir, vectors=False).select("chunk_id", F.substring(F.regexp_replace("content", r"\s+", " "), 1, 120).alias("preview"), F.substring("source_ref", 1, 200).alias("ref"), F.length("content").cast("long").alias("chars"))
+
+
+# Openings of turns that are talk rather than questions of content.
+TALK = r"^(hi|hello|hey|hiya|yo|good (morning|afternoon|evening)|thanks|thank you|thx|cheers|bye|goodbye)\b"
+SHORT_TALK = r"^(ok|okay|yes|no|sure|sounds good|nice to meet you)\b"
+LOOKUP = r"^(what is|what's|who is|who's|do you have|what about)\b"
+_SAID = "CASE turn % 5 WHEN 0 THEN concat('hello ', text) WHEN 1 THEN 'ok then' WHEN 2 THEN 'what is src3' WHEN 3 THEN concat('explain the router ', text) ELSE text END"
+
+
+@query(
+    "j17_conversational",
+    f"""WITH t AS (SELECT conv_id, turn, lower(trim({_SAID})) AS q FROM conversations)
+    SELECT conv_id, turn, q = '' OR (length(q) <= 360 AND NOT regexp_matches(q, 'router|explain the|database|codebase')
+      AND (regexp_matches(q, '{TALK}') OR (length(q) < 64 AND regexp_matches(q, '{SHORT_TALK}')) OR (length(q) <= 80 AND regexp_matches(q, '{LOOKUP.replace("'", "''")}')))) AS is_talk FROM t""",
+)
+def conversational(spark, sf_dir):
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.lower(F.trim(F.expr(_SAID))).alias("q"))
+    q, size = F.col("q"), F.length("q")
+    talk = q.rlike(TALK) | ((size < 64) & q.rlike(SHORT_TALK)) | ((size <= 80) & q.rlike(LOOKUP))
+    return rows.select("conv_id", "turn", ((q == "") | ((size <= 360) & ~q.rlike("router|explain the|database|codebase") & talk)).alias("is_talk"))
+
+
+@query("j32_profiles", with_views("SELECT DISTINCT twin_id, coalesce(CASE WHEN source_id % 3 = 0 THEN 'large' END, 'primary') AS model, coalesce(CASE WHEN source_id % 4 = 0 THEN 512 END, 1024) AS dimensions FROM sources s WHERE status = 'ready' AND EXISTS (SELECT 1 FROM chunks c WHERE c.source_id = s.source_id AND c.embedding IS NOT NULL)"))
+def profiles(spark, sf_dir):
+    embedded = chunks(spark, sf_dir).where("embedding is not null").select("source_id")
+    ready = sources(spark, sf_dir).where("status = 'ready'").join(embedded, "source_id", "left_semi")
+    model, size = F.coalesce(F.when(F.col("source_id") % 3 == 0, "large"), F.lit("primary")), F.coalesce(F.when(F.col("source_id") % 4 == 0, 512), F.lit(1024))
+    return ready.select("twin_id", model.alias("model"), size.alias("dimensions")).distinct()
+
+
+@query(
+    "j07_missing_evidence",
+    with_views("""h AS (SELECT q.query_id, count(c.chunk_id) FILTER (c.embedding IS NOT NULL) AS embedded, count(c.chunk_id) FILTER (contains(lower(c.content), lower(split_part(q.query, ' ', 1)))) AS lexical
+      FROM questions q LEFT JOIN sources s ON s.twin_id = q.twin_id AND s.status = 'ready' AND s.source_id % 8 <> 3 LEFT JOIN chunks c ON c.source_id = s.source_id GROUP BY q.query_id)
+    SELECT query_id, array_to_string(list_filter([CASE WHEN lexical = 0 THEN 'lexical' END, CASE WHEN embedded = 0 THEN 'no_embedding_profiles' END], lambda x: x IS NOT NULL), ',') AS missing FROM h"""),
+)
+def missing_evidence(spark, sf_dir):
+    asked = questions(spark, sf_dir).select("query_id", "twin_id", F.lower(F.substring_index("query", " ", 1)).alias("word"))
+    live = sources(spark, sf_dir).where("status = 'ready' and source_id % 8 <> 3").select("source_id", "twin_id")
+    rows = chunks(spark, sf_dir).join(live, "source_id").select("twin_id", F.lower("content").alias("low"), F.col("embedding").isNotNull().alias("embedded"))
+    embedded = rows.groupBy("twin_id").agg(F.count_if("embedded").alias("embedded"))
+    words = asked.select("twin_id", "word").distinct()
+    lexical = rows.join(F.broadcast(words), "twin_id").where(F.col("low").contains(F.col("word"))).groupBy("twin_id", "word").agg(F.count("*").alias("lexical"))
+    both = asked.join(embedded, "twin_id", "left").join(lexical, ["twin_id", "word"], "left").fillna(0, ["embedded", "lexical"])
+    return both.select("query_id", F.array_join(F.array_compact(F.array(F.when(F.col("lexical") == 0, "lexical"), F.when(F.col("embedded") == 0, "no_embedding_profiles"))), ",").alias("missing"))
+
+
+@query(
+    "j11_graph_context",
+    with_views("""r AS (SELECT src % 10 AS twin_id, edge_id, concat(src, ' -> ', dst) AS line FROM edges QUALIFY row_number() OVER (PARTITION BY src % 10 ORDER BY edge_id) <= 40)
+    SELECT twin_id, string_agg(line, chr(10) ORDER BY edge_id) AS context FROM r GROUP BY twin_id"""),
+)
+def graph_context(spark, sf_dir):
+    rows = edges(spark, sf_dir).select((F.col("src") % 10).alias("twin_id"), "edge_id", F.concat("src", F.lit(" -> "), "dst").alias("line"))
+    first = rows.withColumn("no", F.row_number().over(Window.partitionBy("twin_id").orderBy("edge_id"))).where("no <= 40")
+    lines = F.transform(F.array_sort(F.collect_list(F.struct("edge_id", "line"))), lambda x: x["line"])
+    return first.groupBy("twin_id").agg(F.array_join(lines, "\n").alias("context"))
+
+
+@query(
+    "j25_workspace_synthesis",
+    with_views("""t AS (SELECT workspace_id, twin_id, count(*) AS n, count_if(status = 'ready') AS ready FROM sources GROUP BY ALL)
+    SELECT workspace_id, concat('# Workspace ', workspace_id, chr(10), string_agg(concat('- twin ', twin_id, ': ', ready, ' of ', n, ' sources ready'), chr(10) ORDER BY twin_id)) AS page FROM t GROUP BY workspace_id"""),
+)
+def workspace_synthesis(spark, sf_dir):
+    twins = sources(spark, sf_dir).groupBy("workspace_id", "twin_id").agg(F.count("*").alias("n"), F.count_if(F.col("status") == "ready").alias("ready"))
+    line = F.concat(F.lit("- twin "), "twin_id", F.lit(": "), "ready", F.lit(" of "), "n", F.lit(" sources ready"))
+    lines = F.transform(F.array_sort(F.collect_list(F.struct("twin_id", line.alias("line")))), lambda x: x["line"])
+    return twins.groupBy("workspace_id").agg(F.concat(F.lit("# Workspace "), "workspace_id", F.lit("\n"), F.array_join(lines, "\n")).alias("page"))
+
+
+@query(
+    "j37_authority",
+    """WITH r AS (SELECT doc_id, list_filter([CASE WHEN quality = 0 THEN 'low_quality' END, CASE WHEN toxic = 1 THEN 'unsafe' END, CASE WHEN doc_id % 7 = 0 THEN 'thin_evidence' END], lambda x: x IS NOT NULL) AS rs FROM labels)
+    SELECT doc_id, array_to_string(rs, ',') AS reasons, CASE len(rs) WHEN 0 THEN 'high' WHEN 1 THEN 'medium' ELSE 'low' END AS authority FROM r""",
+)
+def authority(spark, sf_dir):
+    reasons = F.array_compact(F.array(F.when(F.col("quality") == 0, "low_quality"), F.when(F.col("toxic") == 1, "unsafe"), F.when(F.col("doc_id") % 7 == 0, "thin_evidence")))
+    rows = table(spark, sf_dir, "labels").select("doc_id", reasons.alias("rs"))
+    return rows.select("doc_id", F.array_join("rs", ",").alias("reasons"), F.when(F.size("rs") == 0, "high").when(F.size("rs") == 1, "medium").otherwise("low").alias("authority"))
+
+
+@query(
+    "b17_row_contract",
+    with_views("""k AS (SELECT chunk_id, CASE WHEN source_type = 'manual' THEN 'synthetic_profile' ELSE 'file_backed' END AS lineage, CASE WHEN chunk_id % 6 > 0 THEN 's' END AS snapshot_id,
+      CASE WHEN chunk_id % 10 > 0 THEN 3 END AS start_line, CASE WHEN chunk_id % 8 > 0 THEN 5 ELSE 1 END AS end_line FROM chunks JOIN sources USING (source_id))
+    SELECT chunk_id FROM k WHERE lineage = 'file_backed' AND NOT coalesce(snapshot_id IS NOT NULL AND start_line <= end_line, false)"""),
+)
+def row_contract(spark, sf_dir):
+    rows = chunks(spark, sf_dir, vectors=False).join(sources(spark, sf_dir), "source_id")
+    when = lambda every, value: F.when(F.col("chunk_id") % every > 0, value)
+    lineage = F.when(F.col("source_type") == "manual", "synthetic_profile").otherwise("file_backed")
+    return violations(rows.select("chunk_id", "source_ref", lineage.alias("lineage"), when(6, "s").alias("snapshot_id"), F.lit("g").alias("segment_id"), F.lit("h").alias("content_hash"), when(10, 3).alias("start_line"), when(8, 5).otherwise(1).alias("end_line"))).select("chunk_id")
+
+
+@query(
+    "b07_origin_metadata",
+    """SELECT page_id, array_to_string(list_filter([CASE WHEN url IS NOT NULL THEN concat('name=', url) END, concat('page_count=', page_id % 9)], lambda x: x IS NOT NULL), ';') AS kept FROM pages""",
+)
+def origin_metadata(spark, sf_dir):
+    allowed = ("drive_file_id", "name", "modified_time", "page_count", "source_path", "revision_id", "title", "source_type")  # fixed values
+    raw = F.create_map(F.lit("name"), F.col("url"), F.lit("secret_key"), F.lit("x"), F.lit("page_count"), (F.col("page_id") % 9).cast("string"))
+    kept = F.map_filter(raw, lambda k, v: k.isin(*allowed) & v.isNotNull())
+    return table(spark, sf_dir, "pages").select("page_id", F.array_join(F.transform(F.array_sort(F.map_entries(kept)), lambda e: F.concat(e["key"], F.lit("="), e["value"])), ";").alias("kept"))
