@@ -4,29 +4,36 @@ Two sets of sizes r and s with a similarity of at least 3/4 differ in at most (r
 Sizes are cut into bands, each with its own largest difference H. For a band, the hash space of
 shingles is cut into m segments, of which the first m2 also index their one-deletion neighbourhoods
 (:func:`band_plan` chooses m and m2 by expected cost). A segment has weight 1, or 2 with its neighbourhood,
-and all weights together exceed H by a slack S. By the pigeonhole principle, two similar sets share
-a signature in segments of weight S + 1 at least. So each set may leave out signatures of weight up to
-S. What is left out depends on a signature's content alone: empty segments, and signatures that more
-than ``COLD`` sets share. If either set of a pair needs to leave out no more than S, the pair meets in a
-signature that few share. A set whose empty segments exceed the slack is indexed under another hash as
-well, up to ``HASHES`` in all: of a pair, either one set fits under some hash, or both are indexed under all of
-them and keep their empty segments under the last. A set whose much-shared signatures exceed the slack keeps those.
+and all weights together exceed H by a slack. By the pigeonhole principle, similar sets share signatures, and
+a set can tell a number of them that every similar partner shares at least: the sum of weights, less the
+largest difference at its own size, less the weight of its empty segments, which are never indexed.
+
+* So each set may leave out that number, less one, of its signatures. It leaves out the most shared ones, of those
+  that more than ``COLD`` sets share, in one order for all sets: of two sets that share more than each leaves out
+  from the top of the order, some shared signature is kept by both (the prefix filter).
+* A set whose empty segments take up its slack is indexed under another hash as well, up to ``HASHES`` in all. Of
+  a pair, either one set fits under some hash, or both are indexed under all and keep their empty segments under the last.
+* A pair that no much-shared signature can bring together has to share as many few-shared ones as the sets leave over.
 
 Sets of up to ``SMALL`` shingles are one segment each, with the neighbourhood of all deletions that a similar
 partner allows (a quarter of the set): the common part of two similar sets is in both neighbourhoods.
 
 * Signatures are packed by task and bucket before they are shuffled, a set once for each task.
-* Few-shared signatures give all their pairs. Shared by many, a signature pairs its sets with the least
-  of them; after the components of those links are known, sets of the same signature in different components
-  are paired too, so that no link between components is lost and no group is paired within itself.
-* Every candidate pair is verified on the whole sets. Only verified links count.
+* Few-shared signatures give all their pairs. Shared by many, a signature pairs its sets with neighbours in an
+  order; after the components of those links are known, the sets that much-shared signatures connect form families, and
+  all sets of a family that are still in different components are paired, block by block, so that no link between
+  components is lost and no component is paired within itself.
+* A candidate pair is verified on the whole sets, unless its sets are in one component already: first a few
+  partners of each set, twice, then all pairs between the components that this leaves. Only verified links count.
+* For that, texts are read again, and only those of candidates leave the scan, by a memory-mapped table of groups
+  of about twice ``GROUP`` texts.
 * Components are found by alternating large-star and small-star rounds with reliable checkpoints.
 
 Sets are known by 64-bit fingerprints, and shingles by 64-bit hashes.
 
 Defined results: a null or empty text, or one of white space, has an empty set and links with nothing;
 documents of equal sets are one class from the start, whatever their number; a null key is reported with a
-null component and links with nothing; rows that repeat a key are each reported, and belong together; an empty
+null component and links with nothing; rows that repeat a key are each reported, by their own texts; an empty
 table gives an empty table; other columns don't take part. Texts of any length are taken whole.
 """
 
@@ -40,8 +47,9 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
+from scriptorium.llm.lookup import Lookup, filter_rows, write_lookup
 from scriptorium.llm.shared import cut, table
 from scriptorium.llm.textscan import hashed_words, mix, ragged, shingle_sets
 
@@ -49,9 +57,13 @@ COLD = 8  # sets that share a signature whose pairs are all taken at once
 BAND_RATIO = 1.5
 SMALL = 11
 HASHES = 4
+COMMON = 0.05  # the part of a set's segments that passages shared by many may fill without being indexed
+LAST_BAND = 63
 FLUSH_ENTRIES = 1 << 21
 BUCKETS_PER_PARTITION = 2
 SEEN_SETS = 1 << 18
+GROUP = 64
+FIRST_PARTNERS, NEXT_PARTNERS, ROUNDS = 3, 6, 1
 
 
 class Plan(NamedTuple):
@@ -60,7 +72,6 @@ class Plan(NamedTuple):
     high: int
     segments: int
     deletions: int  # segments that index their one-deletion neighbourhoods too
-    slack: int
 
 
 @functools.cache
@@ -74,17 +85,26 @@ def band_plan(number: int) -> Plan:
     most, least_size, size = 2 * high // 7, -(-3 * low // 4), (low + high) / 2
     best = None
     for m in range((most + 1) // 2, 4 * most + 8, max(1, most // 64)):
-        mean = least_size / m
-        empty = m * (1 - 1 / m) ** least_size
-        spread = math.sqrt(empty * max(0.0, 1 - mean * math.exp(-mean)))
         for m2 in range(0, m + 1) if most < 40 else range(0, m + 1, max(1, m // 40)):
-            slack = m + m2 - most - 1
-            if slack >= 0 and slack >= (empty + spread) * (m + m2) / m + m2 * mean * math.exp(-mean):
+            if m + m2 > most and all(_fits(n, largest_difference(n, high), m, m2) for n in (least_size, low, high)):
                 cost = m * (1 - math.exp(-size / m)) + m2 * size / m
                 if best is None or cost < best[0]:
-                    best = cost, Plan(number, low, high, m, m2, slack)
+                    best = cost, Plan(number, low, high, m, m2)
                 break
-    return best[1] if best else Plan(number, low, high, 2 * most + 2, 0, most + 1)
+    return best[1] if best else Plan(number, low, high, 2 * most + 2, 0)
+
+
+def largest_difference(n, high):
+    """Of a set of size ``n`` and a similar one of up to ``high``."""
+    return (n + np.minimum(high, 4 * n // 3)) // 7
+
+
+def _fits(n: int, most: int, m: int, m2: int) -> bool:
+    """Whether five sets in six of size ``n`` have weight to spare for their empty segments and as many much-shared ones as the plan allows for."""
+    mean = n / m
+    empty = m * (1 - 1 / m) ** n
+    spread = math.sqrt(empty * max(0.0, 1 - mean * math.exp(-mean)))
+    return m + m2 - most - 1 >= (empty + spread) * (m + m2) / m + m2 * mean * math.exp(-mean) + COMMON * (m + m2)
 
 
 def band_of(sizes: np.ndarray) -> np.ndarray:
@@ -126,7 +146,8 @@ def small_signatures(values: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray,
 def signatures(values: np.ndarray, sizes: np.ndarray, plan: Plan, hash_no: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(row, signature, budget) for rows of sets under one hash of a band, and the rows whose empty segments exceed the slack.
 
-    The budget is the number of much-shared signatures that the row may leave out, -1 if none.
+    The budget is the number of signatures that the row may leave out: of those that every similar set shares with it, one has to stay.
+    It is -1 for rows whose empty segments exceed the slack.
     """
     m, m2 = plan.segments, plan.deletions
     row = np.repeat(np.arange(len(sizes)), sizes)
@@ -146,8 +167,8 @@ def signatures(values: np.ndarray, sizes: np.ndarray, plan: Plan, hash_no: int)
     filled2 = np.bincount(own_row[two], minlength=len(sizes))
     lone2 = np.bincount(own_row[two & (size == 1)], minlength=len(sizes))
     left_out = (m - m2 - filled + filled2) + 2 * (m2 - filled2) + lone2
-    budget = (plan.slack - left_out) // (2 if m2 else 1)
-    over = left_out > plan.slack
+    spare = m + m2 - 1 - largest_difference(sizes, plan.high) - left_out
+    budget, over = spare // (2 if m2 else 1), spare < 0
     last = over if hash_no == HASHES - 1 else np.zeros(len(sizes), bool)
     rows, found = [own_row], [mix(total + salt[own_segment])]
     if m2:
@@ -166,7 +187,7 @@ def signatures(values: np.ndarray, sizes: np.ndarray, plan: Plan, hash_no: int)
         rows.append(which[r])
         found.append(mix(salt[s]))
     at = np.concatenate(rows)
-    return at, np.concatenate(found), np.where(over, -1, np.minimum(budget, 120))[at].astype(np.int8), np.flatnonzero(over)
+    return at, np.concatenate(found), np.where(over, -1, np.minimum(budget, 32_000))[at].astype(np.int16), np.flatnonzero(over)
 
 
 def _sets(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
@@ -192,7 +213,7 @@ def _indexed(values: np.ndarray, sizes: np.ndarray) -> Iterator[tuple[np.ndarray
     small = np.flatnonzero(sizes <= SMALL)
     if len(small):
         row, sig = small_signatures(part(small), sizes[small])
-        yield sig, small[row], 255, np.full(len(sig), -1, np.int8)
+        yield sig, small[row], 255, np.full(len(sig), -1, np.int16)
     for number in range(max(0, int(own.min())), int(own.max()) + 2):
         rows = np.flatnonzero((own == number) | (own < number) & (4 * sizes >= 3 * band_plan(number).low))
         for hash_no in range(HASHES):
@@ -204,7 +225,7 @@ def _indexed(values: np.ndarray, sizes: np.ndarray) -> Iterator[tuple[np.ndarray
 
 
 def signature_blocks(docs: DataFrame, buckets: int) -> DataFrame:
-    """Packed signature entries by bucket: 6 bytes of hash and band, 8 of class, 1 of budget for each."""
+    """Packed signature entries by bucket: 6 bytes of hash and band, 8 of class, 2 of budget for each."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
@@ -255,9 +276,9 @@ def signature_blocks(docs: DataFrame, buckets: int) -> DataFrame:
 
 
 def _shared(table_: pa.Table) -> pa.Table:
-    """Of a bucket's entries: the distinct pairs of few-shared signatures (a, b), and the entries of the others (sig, band, cls, budget)."""
+    """Of a bucket's entries: the pairs that few-shared signatures make, with the times they make them; and the entries of the others, whose code isn't -1."""
     column = lambda k: b"".join(table_.column(k).to_pylist())
-    cls, budget = np.frombuffer(column("cls"), np.int64), np.frombuffer(column("budget"), np.int8)
+    cls, budget = np.frombuffer(column("cls"), np.int64), np.frombuffer(column("budget"), np.int16)
     wide = np.zeros((len(cls), 8), np.uint8)
     wide[:, :6] = np.frombuffer(column("code"), np.uint8).reshape(-1, 6)
     code = wide.view(np.uint64).ravel()
@@ -272,69 +293,116 @@ def _shared(table_: pa.Table) -> pa.Table:
     code, cls, budget = code[fresh], cls[fresh], budget[fresh]
     opens = np.flatnonzero(np.concatenate([[True], code[1:] != code[:-1]])) if len(code) else np.zeros(0, np.int64)
     size = np.diff(np.append(opens, len(code)))
-    pairs = [np.zeros((0, 2), np.int64)]
+    pairs = [np.zeros((0, 5), np.int64)]  # a, b, band, and the budgets of both
     for k in range(2, COLD + 1):
-        members = cls[opens[size == k][:, None] + np.arange(k)]
-        i, j = np.triu_indices(k, 1)
-        pairs.append(np.stack([members[:, i].ravel(), members[:, j].ravel()], 1))
-    pairs = np.unique(np.concatenate(pairs), axis=0)
+        members = opens[size == k][:, None] + np.arange(k)
+        i, j = (members[:, x].ravel() for x in np.triu_indices(k, 1))
+        pairs.append(np.stack([cls[i], cls[j], (code[i] & np.uint64(255)).astype(np.int64), budget[i].astype(np.int64), budget[j].astype(np.int64)], 1))
+    pairs, times = np.unique(np.concatenate(pairs), axis=0, return_counts=True)
     hot = np.repeat(size > COLD, size)
     bucket = int(table_.column("bucket")[0].as_py())
-    none, n, h = np.zeros, len(pairs), int(hot.sum())
+    n, h = len(pairs), int(hot.sum())
+    none = np.zeros(h, np.int64)
+    column = lambda x, y: pa.array(np.concatenate([x, y]).astype(np.int64))
     return pa.table(
         {
-            "a": pa.array(np.concatenate([pairs[:, 0], cls[hot]]), pa.int64()),
-            "b": pa.array(np.concatenate([pairs[:, 1], none(h, np.int64)]), pa.int64()),
-            "hot": pa.array(np.concatenate([none(n, bool), np.ones(h, bool)])),
-            "bucket": pa.array(np.full(n + h, bucket, np.int32)),
-            "code": pa.array(np.concatenate([none(n, np.int64), code[hot].astype(np.int64)]), pa.int64()),
-            "budget": pa.array(np.concatenate([none(n, np.int8), budget[hot]]).astype(np.int32), pa.int32()),
+            "a": column(pairs[:, 0], cls[hot]),
+            "b": column(pairs[:, 1], none),
+            "band": column(pairs[:, 2], (code[hot] & np.uint64(255)).astype(np.int64)),
+            "budget_a": column(pairs[:, 3], budget[hot]),
+            "budget_b": column(pairs[:, 4], none),
+            "times": column(times, np.repeat(size, size)[hot]),
+            "bucket": column(np.full(n, bucket), np.full(h, bucket)),
+            "code": column(np.full(n, -1), code[hot].astype(np.int64)),
         }
     )
 
 
-def _similar(table_iter: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in table_iter:
-        keep = []
-        for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
-            x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-            both = np.intersect1d(x, y, assume_unique=True).size
-            keep.append(100 * both >= 75 * (len(x) + len(y) - both))
-        keep = pa.array(keep, pa.bool_())
-        yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], names=["a", "b"])
-
+SHARED = "a long, b long, band long, budget_a long, budget_b long, times long, bucket long, code long"
 
-def verify(pairs: DataFrame, docs: DataFrame, members: DataFrame) -> DataFrame:
-    """The pairs (a, b) of classes whose sets are similar; ``members`` is (cls, n, key), a document of each class."""
-    sizes = members.select("cls", "n")
-    close = pairs.join(sizes.select(F.col("cls").alias("a"), F.col("n").alias("n_a")), "a").join(sizes.select(F.col("cls").alias("b"), F.col("n").alias("n_b")), "b")
-    close = cut(close.where("4 * n_a >= 3 * n_b and 4 * n_b >= 3 * n_a").select("a", "b"))
-    wanted = close.select(F.explode(F.array("a", "b")).alias("cls")).distinct()
-    chosen = members.join(wanted, "cls", "left_semi").select("key", "cls")
-
-    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for lo, hi, values, sizes in _sets(batch.column(1)):
-                ends = np.cumsum(sizes).tolist()
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array([values[a:b].tobytes() for a, b in zip([0, *ends], ends)], pa.binary())], names=["cls", "items"])
 
-    # a key that repeats may bring other texts along: only the set with the class's own fingerprint counts
-    sets = docs.join(chosen, "key").select("cls", "text").mapInArrow(_matching(pack), "cls long, items binary")
-    sets = cut(sets.dropDuplicates(["cls"]))
-    right = close.join(sets.select(F.col("cls").alias("b"), F.col("items").alias("set_b")), "b")
-    both = right.join(sets.select(F.col("cls").alias("a"), F.col("items").alias("set_a")), "a")
-    return both.select("a", "b", "set_a", "set_b").mapInArrow(_similar, "a long, b long")
+@functools.lru_cache(maxsize=4)
+def _open_lookup(place: tuple[str, int]) -> Lookup:
+    return Lookup(place)
 
 
-def _matching(pack):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in pack(batches):
-            sets = [np.frombuffer(x, np.uint64) for x in batch.column(1).to_pylist()]
-            sizes = np.array([len(x) for x in sets], np.int64)
-            own = fingerprints(np.concatenate(sets) if sets else np.zeros(0, np.uint64), sizes)
-            yield batch.filter(pa.array(own == batch.column(0).to_numpy(zero_copy_only=False)))
+def verify(pairs: DataFrame, docs: DataFrame, members: DataFrame) -> DataFrame:
+    """The pairs (a, b) of classes whose sets are similar; ``members`` is (cls, n, key_hash), a document of each class.
 
-    return run
+    The connected classes of the pairs are cut into blocks, and a group takes the pairs of two blocks: a text goes
+    once to each group that has a pair of it, however many those are.
+    """
+    pairs = cut(pairs.select("a", "b"))
+    nodes = pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct().join(components(pairs), "cls", "left").select("cls", F.coalesce("root", "cls").alias("family"))
+    blocks = nodes.groupBy("family").agg(F.ceil(F.count("*") / GROUP).alias("blocks"))
+    placed = cut(nodes.join(blocks, "family").select("cls", "family", F.pmod(F.xxhash64("cls"), "blocks").alias("block")))
+    of = lambda c: placed.select(F.col("cls").alias(c), "family", F.col("block").alias("block_" + c))
+    dealt = pairs.join(of("a"), "a").join(of("b").drop("family"), "b")
+    dealt = cut(dealt.select("a", "b", F.xxhash64("family", F.least("block_a", "block_b"), F.greatest("block_a", "block_b")).alias("grp")))
+    wanted = dealt.select(F.explode(F.array("a", "b")).alias("key"), F.col("grp").alias("value"))
+    partners = write_lookup(dealt.select(F.col("grp").bitwiseXOR(F.col("a")).alias("key"), F.col("b").alias("value")), "partners")
+
+    def pairs_of_group(names: np.ndarray, grp: int) -> Iterator[tuple[int, int]]:
+        at, other = _open_lookup(partners).find(names ^ np.int64(grp))
+        return zip(names[at].tolist(), other.tolist())
+
+    return _linked(wanted, docs, members, pairs_of_group)
+
+
+def verify_families(placed: DataFrame, docs: DataFrame, members: DataFrame) -> DataFrame:
+    """The links (a, b) between sets of one family in different components, for (cls, family, root): blocks of a family meet block by block."""
+    mixed = placed.groupBy("family").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.ceil(F.count("*") / GROUP).cast("int").alias("blocks")).where("x <> y")
+    apart = cut(placed.join(mixed.select("family", "blocks"), "family").withColumn("block", F.pmod(F.xxhash64("cls"), "blocks")))
+    met = apart.select("cls", "family", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    wanted = met.select(F.col("cls").alias("key"), F.xxhash64("family", F.least("block", F.col("other").cast("long")), F.greatest("block", F.col("other").cast("long"))).alias("value"))
+    roots = write_lookup(apart.select(F.col("cls").alias("key"), F.col("root").alias("value")), "roots")
+
+    def pairs_of_group(names: np.ndarray, grp: int) -> Iterator[tuple[int, int]]:
+        at, root = _open_lookup(roots).find(names)
+        i, j = np.triu_indices(len(at), 1)
+        apart_ = root[i] != root[j]
+        return zip(names[at][i[apart_]].tolist(), names[at][j[apart_]].tolist())
+
+    return _linked(wanted, docs, members, pairs_of_group).distinct()
+
+
+def _linked(wanted: DataFrame, docs: DataFrame, members: DataFrame, pairs_of_group) -> DataFrame:
+    """The similar ones (a, b) of the pairs that ``pairs_of_group`` makes of the classes of a group, for groups (key: class, value: group)."""
+    wanted = cut(wanted.distinct())
+    groups = write_lookup(wanted, "groups")
+    ends = wanted.select(F.col("key").alias("cls")).distinct()
+    chosen = write_lookup(members.join(ends, "cls", "left_semi").select(F.col("cls").alias("key"), F.col("key_hash").alias("value")), "chosen")
+
+    def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, document = _open_lookup(groups), _open_lookup(chosen)
+        for batch in batches:
+            hashes = batch.column(0).to_numpy(zero_copy_only=False)
+            for lo, _, values, sizes in _sets(batch.column(1)):
+                cls = fingerprints(values, sizes)
+                row, own = document.find(cls)
+                row = row[(own == hashes[lo + row]) & (sizes[row] > 0)]
+                at, to = group.find(cls[row])
+                if len(at):
+                    at = row[at]
+                    yield pa.RecordBatch.from_arrays([pa.array(to), pa.array(cls[at]), batch.column(1).take(pa.array(lo + at))], names=["grp", "cls", "text"])
+
+    def links(table_: pa.Table) -> pa.Table:
+        sets: dict[int, np.ndarray] = {}
+        cls, grp = table_.column("cls").to_numpy(), table_.column("grp")[0].as_py()
+        for lo, _, values, sizes in _sets(table_.column("text").combine_chunks()):
+            ends = np.cumsum(sizes).tolist()
+            for k, (x, y) in enumerate(zip([0, *ends], ends)):
+                sets[int(cls[lo + k])] = values[x:y]
+        found = []
+        for a, b in pairs_of_group(np.array(list(sets), np.int64), grp):
+            if b in sets and 4 * len(sets[a]) >= 3 * len(sets[b]) and 4 * len(sets[b]) >= 3 * len(sets[a]):
+                both = np.intersect1d(sets[a], sets[b], assume_unique=True).size
+                if 100 * both >= 75 * (len(sets[a]) + len(sets[b]) - both):
+                    found.append((a, b))
+        return pa.table({"a": pa.array([a for a, _ in found], pa.int64()), "b": pa.array([b for _, b in found], pa.int64())})
+
+    picked = docs.select(F.xxhash64("key").alias("key_hash"), "text").mapInArrow(pick, "grp long, cls long, text string")
+    return picked.groupBy("grp").applyInArrow(links, "a long, b long")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -361,41 +429,96 @@ def link_documents(df: DataFrame, key: str = "doc_id", text: str = "text") -> Da
     spark = df.sparkSession
     sized = cut(classes(docs))
     keyed = sized.where("key is not null and n > 0")
-    members = keyed.groupBy("cls").agg(F.min("n").alias("n"), F.min("key").alias("key"))
+    members = keyed.groupBy("cls").agg(F.min("n").alias("n"), F.min("key").alias("key")).withColumn("key_hash", F.xxhash64("key"))
     buckets = BUCKETS_PER_PARTITION * int(spark.conf.get("spark.sql.shuffle.partitions"))
     blocks = signature_blocks(docs.where("key is not null"), buckets)
-    shared = cut(blocks.groupBy("bucket").applyInArrow(_shared, "a long, b long, hot boolean, bucket int, code long, budget int"))
+    shared = cut(blocks.groupBy("bucket").applyInArrow(_shared, SHARED))
+    sizes = members.select("cls", "n")
 
-    hot = shared.where("hot").select("bucket", "code", F.expr("code & 255").alias("band"), F.col("a").alias("cls"), "budget")
-    crowded = hot.groupBy("cls", "band").agg(F.count("*").alias("many"), F.min("budget").alias("budget")).where("many > budget").select("cls", "band")
-    kept = cut(hot.select("bucket", "code", "band", "cls").join(crowded, ["cls", "band"], "left_semi").select("bucket", "code", "cls"))
-    least = kept.groupBy("bucket", "code").agg(F.min("cls").alias("a"))
-    star = kept.join(least, ["bucket", "code"]).where("a <> cls").select("a", F.col("cls").alias("b"))
-    pairs = shared.where("not hot").select("a", "b").unionByName(star).distinct()
-    links = cut(verify(pairs, docs, members))
+    # of its much-shared signatures under a band and hash, each set leaves out the most shared ones that it may
+    order = Window.partitionBy("cls", "band").orderBy(F.desc("times"), "bucket", "code")
+    hot = shared.where("code <> -1").select("bucket", "code", "band", F.col("a").alias("cls"), F.col("budget_a").alias("budget"), "times")
+    kept = cut(hot.withColumn("no", F.row_number().over(order)).where("no > budget").select("bucket", "code", "band", "cls"))
+    def near(entries: DataFrame, by: list) -> DataFrame:
+        """Of the sets of each much-shared signature: every set with the one before it in an order, in other components, and the times that this pairs them."""
+        before = lambda c: F.lag(c).over(Window.partitionBy("bucket", "code").orderBy(*by))
+        paired = entries.select("cls", "root", before("cls").alias("other"), before("root").alias("other_root")).where("root <> other_root")
+        return paired.groupBy(F.least("cls", "other").alias("a"), F.greatest("cls", "other").alias("b")).agg(F.count("*").alias("times"))
+
+    def best(found: DataFrame, most: int) -> DataFrame:
+        """The pairs that are among the ``most`` most frequent ones of either set."""
+        ends = found.select("a", "b", "times", F.explode(F.array("a", "b")).alias("cls"))
+        rank = F.row_number().over(Window.partitionBy("cls").orderBy(F.desc("times"), "a", "b"))
+        return ends.withColumn("no", rank).where(F.col("no") <= most).select("a", "b").distinct()
+
+    def fitting(found: DataFrame) -> DataFrame:
+        """The pairs whose sizes allow the similarity, with both sizes."""
+        of = lambda c: sizes.select(F.col("cls").alias(c), F.col("n").alias("n_" + c))
+        return found.join(of("a"), "a").join(of("b"), "b").where("4 * n_a >= 3 * n_b and 4 * n_b >= 3 * n_a")
+
+    def between(found: DataFrame, roots: DataFrame) -> DataFrame:
+        """The pairs that lie in different components."""
+        of = lambda c: roots.select(F.col("cls").alias(c), F.col("root").alias("root_" + c))
+        placed = found.join(of("a"), "a", "left").join(of("b"), "b", "left")
+        return placed.where(F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).drop("root_a", "root_b")
+
+    # few-shared signatures count in the band of the larger set, where both are indexed
+    lows = [band_plan(k).low for k in range(LAST_BAND)]
+    larger = F.greatest("n_a", "n_b")
+    own = F.when(larger <= SMALL, LAST_BAND).otherwise(F.size(F.filter(F.array(*[F.lit(x).cast("long") for x in lows]), lambda x: x <= larger)) - 1)
+    summed = shared.where("code = -1").groupBy("a", "b", "band", "budget_a", "budget_b").agg(F.sum("times").alias("times"))
+    crowd = hot.groupBy("cls", "band").agg(F.count("*").alias("many"))
+    of = lambda c: crowd.select(F.col("cls").alias(c), "band", F.col("many").alias("many_" + c))
+    cold = fitting(summed).where(F.floor(F.col("band") / HASHES) == own).join(of("a"), ["a", "band"], "left").join(of("b"), ["b", "band"], "left").fillna(0, ["many_a", "many_b"])
+    gone = lambda c: F.least(F.greatest(F.col("budget_" + c), F.lit(0)), F.col("many_" + c))
+    # what either set leaves out is the top of one order, so that the longer of both tops holds all shared ones left out
+    enough = F.greatest("budget_a", "budget_b") + 1 - F.greatest(gone("a"), gone("b"))
+    both_keep = (F.col("many_a") > F.col("budget_a")) & (F.col("many_b") > F.col("budget_b")) & (F.col("many_a") > 0) & (F.col("many_b") > 0)
+    cold = cold.where(both_keep | (F.col("times") >= enough)).select("a", "b", "times")
+    cold = cut(cold.groupBy("a", "b").agg(F.sum("times").alias("times")))
+    lone = kept.join(sizes, "cls").withColumn("root", F.col("cls"))
+    pairs = cold.unionByName(fitting(near(lone, [F.col("n"), F.col("cls")])).select("a", "b", "times")).groupBy("a", "b").agg(F.sum("times").alias("times"))
+
+    tried = cut(best(pairs, FIRST_PARTNERS))
+    links = cut(verify(tried, docs, members))
     roots = components(links)
-
-    # what many share, between components
-    placed = kept.join(roots, "cls", "left").select("bucket", "code", "cls", F.coalesce("root", "cls").alias("root"))
-    mixed = placed.groupBy("bucket", "code").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("bucket", "code")
-    apart = cut(placed.join(mixed, ["bucket", "code"], "left_semi").join(members.select("cls", "n"), "cls"))
-    left, right = apart.select("bucket", "code", F.col("cls").alias("a"), F.col("root").alias("root_a"), F.col("n").alias("n_a")), apart.select("bucket", "code", F.col("cls").alias("b"), F.col("root").alias("root_b"), F.col("n").alias("n_b"))
-    cross = left.join(right, ["bucket", "code"]).where("a < b and root_a <> root_b and 4 * n_a >= 3 * n_b and 4 * n_b >= 3 * n_a").select("a", "b").distinct()
-    cross = cut(cross.join(pairs, ["a", "b"], "left_anti"))
-    if not cross.isEmpty():
-        more = cut(verify(cross, docs, members))
-        if not more.isEmpty():
-            roots = components(links.unionByName(more))
+    for k in range(ROUNDS):  # other partners, in an order of its own for each round
+        placed = kept.join(roots, "cls", "left").withColumn("root", F.coalesce("root", "cls"))
+        left = between(cold, roots).unionByName(fitting(near(placed, [F.xxhash64("cls", F.lit(k))])).select("a", "b", "times"))
+        left = left.join(tried, ["a", "b"], "left_anti").groupBy("a", "b").agg(F.sum("times").alias("times"))
+        new = cut(best(left, NEXT_PARTNERS))
+        tried, links = tried.unionByName(new), cut(links.unionByName(verify(new, docs, members)))
+        roots = components(links)
+
+    # what is left between components: pairs of few-shared signatures, and families, whose sets much-shared ones connect
+    rest = verify(between(cold, roots).select("a", "b").join(tried, ["a", "b"], "left_anti"), docs, members)
+    least = kept.groupBy("bucket", "code").agg(F.min("cls").alias("a"))
+    family = components(kept.join(least, ["bucket", "code"]).select("a", F.col("cls").alias("b")))
+    placed = kept.select("cls").distinct().join(family, "cls", "left").select("cls", F.coalesce("root", "cls").alias("family"))
+    placed = placed.join(roots, "cls", "left").select("cls", "family", F.coalesce("root", "cls").alias("root"))
+    more = cut(rest.unionByName(verify_families(cut(placed), docs, members)))
+    if not more.isEmpty():
+        roots = components(links.unionByName(more))
 
     named = members.join(roots, "cls", "left").select("cls", "key", F.coalesce("root", "cls").alias("root"))
     first = named.groupBy("root").agg(F.min("key").alias("first"))
     of_class = named.join(first, "root").select("cls", "first")
-    # rows that repeat a key belong together, whatever their texts
     out = sized.join(of_class, "cls", "left")
     own = F.when(F.col("key").isNotNull(), F.when(F.col("n") > 0, F.col("first")).otherwise(F.col("key")))
     return out.select(F.col("key").alias(key), F.col("n").alias("n_shingles"), own.alias("component_id"))
 
 
+def keep_one(df: DataFrame, text: str = "text") -> DataFrame:
+    """The rows of ``df``, less all but one of each group of linked rows; every row is a document of its own, whatever its columns hold.
+
+    Rows are known by their place in the scan of ``df``, which has to be a table in files.
+    """
+    packed = df.select(F.struct(*[df[c] for c in df.columns]).alias("row"), df[text].alias("text"), F.monotonically_increasing_id().alias("place"))
+    gone = link_documents(packed, "place").where("component_id <> place")
+    place = write_lookup(gone.select(F.col("place").alias("key"), F.col("component_id").alias("value")), "gone")
+    return filter_rows(packed.select("row", "place"), "place", place, keep=False).select("row.*")
+
+
 def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The component of every row of ``documents`` under links of Jaccard similarity 0.75 or more on 5-word shingles."""
     return link_documents(table(spark, sf_dir, "documents"))
