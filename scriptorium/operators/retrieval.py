@@ -109,7 +109,7 @@ def route(candidates: DataFrame, k: int = 12) -> DataFrame:
     """(query_id, twin_id, routing_score): of each question's best ``k`` candidates, the twin with the highest mean of its best three."""
     best = top_per_query(candidates.drop("rank"), [F.desc("score"), F.col("chunk_id")], k).drop("rank")
     threes = top_per_query(best, [F.desc("score"), F.col("chunk_id")], 3, ("query_id", "twin_id"))
-    means = threes.groupBy("query_id", "twin_id").agg(F.round(F.avg("score"), 6).alias("routing_score"), F.min(F.struct(-F.col("score"), F.col("chunk_id"))).alias("first"))
+    means = threes.groupBy("query_id", "twin_id").agg(F.round(F.avg("score"), 8).alias("routing_score"), F.min(F.struct(-F.col("score"), F.col("chunk_id"))).alias("first"))
     return top_per_query(means, [F.desc("routing_score"), F.col("first")], 1).select("query_id", "twin_id", "routing_score")
 
 

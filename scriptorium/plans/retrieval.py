@@ -116,7 +116,7 @@ def guaranteed_refs(spark, sf_dir):
       WHERE c.embedding IS NOT NULL AND q.vector IS NOT NULL AND chunk_type NOT IN ('memory_brief', 'code_snippet')),
     t AS (SELECT * FROM vp WHERE score >= 0.15 QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) <= 12),
     b AS (SELECT *, row_number() OVER (PARTITION BY query_id, twin_id ORDER BY score DESC, chunk_id) AS n FROM t QUALIFY n <= 3),
-    m AS (SELECT query_id, twin_id, round(avg(score), 6) AS routing_score, min({'s': -score, 'c': chunk_id}) AS f FROM b GROUP BY ALL)
+    m AS (SELECT query_id, twin_id, round(avg(score), 8) AS routing_score, min({'s': -score, 'c': chunk_id}) AS f FROM b GROUP BY ALL)
     SELECT query_id, twin_id, routing_score FROM m QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY routing_score DESC, f) = 1"""),
 )
 def twin_routing(spark, sf_dir):
