@@ -64,6 +64,7 @@ BUCKETS_PER_PARTITION = 2
 SEEN_SETS = 1 << 18
 GROUP = 64
 FIRST_PARTNERS, NEXT_PARTNERS, ROUNDS = 3, 6, 1
+GROUPING_ROUNDS = 3
 
 
 class Plan(NamedTuple):
@@ -329,16 +330,16 @@ def _open_lookup(place: tuple[str, int]) -> Lookup:
 def verify(pairs: DataFrame, docs: DataFrame, members: DataFrame) -> DataFrame:
     """The pairs (a, b) of classes whose sets are similar; ``members`` is (cls, n, key_hash), a document of each class.
 
-    The connected classes of the pairs are cut into blocks, and a group takes the pairs of two blocks: a text goes
-    once to each group that has a pair of it, however many those are.
+    Classes that a few rounds bring to one label are cut into blocks, and a group takes the pairs of two blocks: a text
+    goes once to each group that has a pair of it, however many those are. Any labels give the same links.
     """
     pairs = cut(pairs.select("a", "b"))
-    nodes = pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct().join(components(pairs), "cls", "left").select("cls", F.coalesce("root", "cls").alias("family"))
+    nodes = pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct().join(labels(pairs), "cls", "left").select("cls", F.coalesce("root", "cls").alias("family"))
     blocks = nodes.groupBy("family").agg(F.ceil(F.count("*") / GROUP).alias("blocks"))
-    placed = cut(nodes.join(blocks, "family").select("cls", "family", F.pmod(F.xxhash64("cls"), "blocks").alias("block")))
-    of = lambda c: placed.select(F.col("cls").alias(c), "family", F.col("block").alias("block_" + c))
-    dealt = pairs.join(of("a"), "a").join(of("b").drop("family"), "b")
-    dealt = cut(dealt.select("a", "b", F.xxhash64("family", F.least("block_a", "block_b"), F.greatest("block_a", "block_b")).alias("grp")))
+    placed = cut(nodes.join(blocks, "family").select("cls", F.xxhash64("family", F.pmod(F.xxhash64("cls"), "blocks")).alias("block")))
+    of = lambda c: placed.select(F.col("cls").alias(c), F.col("block").alias("block_" + c))
+    dealt = pairs.join(of("a"), "a").join(of("b"), "b")
+    dealt = cut(dealt.select("a", "b", F.xxhash64(F.least("block_a", "block_b"), F.greatest("block_a", "block_b")).alias("grp")))
     wanted = dealt.select(F.explode(F.array("a", "b")).alias("key"), F.col("grp").alias("value"))
     partners = write_lookup(dealt.select(F.col("grp").bitwiseXOR(F.col("a")).alias("key"), F.col("b").alias("value")), "partners")
 
@@ -405,18 +406,36 @@ def _linked(wanted: DataFrame, docs: DataFrame, members: DataFrame, pairs_of_gro
     return picked.groupBy("grp").applyInArrow(links, "a long, b long")
 
 
-def components(links: DataFrame) -> DataFrame:
-    """(cls, root) for each node of the links (a, b): the least node it can reach. Alternating star rounds until nothing changes."""
-    edges = cut(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct())
-    last = None
+def _stars(edges: DataFrame) -> DataFrame:
+    """The edges (u, v), v < u, after one round of large stars and small stars."""
+    both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+    least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+    large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+    least = large.groupBy("u").agg(F.min("v").alias("m"))
+    small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
+    return cut(small.where("u <> v").distinct())
+
+
+def _edges(links: DataFrame) -> DataFrame:
+    return cut(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct())
+
+
+def labels(links: DataFrame) -> DataFrame:
+    """(cls, root) for nodes of the links (a, b) that have a smaller one near: a label that near nodes tend to share."""
+    edges = _edges(links)
+    for _ in range(GROUPING_ROUNDS):
+        edges = _stars(edges)
+    return edges.groupBy(F.col("u").alias("cls")).agg(F.min("v").alias("root"))
+
+
+def components(links: DataFrame, roots: DataFrame | None = None) -> DataFrame:
+    """(cls, root) for each node of the links (a, b): the least node it can reach. Alternating star rounds until nothing changes.
+
+    With ``roots``, the components of earlier links, the rounds go on from there.
+    """
+    edges, last = _edges(links if roots is None else links.unionByName(roots.select(F.col("cls").alias("a"), F.col("root").alias("b")))), None
     while True:
-        both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        joined = large.join(least, "u")
-        small = joined.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
-        edges = cut(small.where("u <> v").distinct())
+        edges = _stars(edges)
         state = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if state == last:
             return edges.select(F.col("u").alias("cls"), F.col("v").alias("root"))
@@ -480,15 +499,13 @@ def link_documents(df: DataFrame, key: str = "doc_id", text: str = "text") -> Da
     pairs = cold.unionByName(fitting(near(lone, [F.col("n"), F.col("cls")])).select("a", "b", "times")).groupBy("a", "b").agg(F.sum("times").alias("times"))
 
     tried = cut(best(pairs, FIRST_PARTNERS))
-    links = cut(verify(tried, docs, members))
-    roots = components(links)
+    roots = components(verify(tried, docs, members))
     for k in range(ROUNDS):  # other partners, in an order of its own for each round
         placed = kept.join(roots, "cls", "left").withColumn("root", F.coalesce("root", "cls"))
         left = between(cold, roots).unionByName(fitting(near(placed, [F.xxhash64("cls", F.lit(k))])).select("a", "b", "times"))
         left = left.join(tried, ["a", "b"], "left_anti").groupBy("a", "b").agg(F.sum("times").alias("times"))
         new = cut(best(left, NEXT_PARTNERS))
-        tried, links = tried.unionByName(new), cut(links.unionByName(verify(new, docs, members)))
-        roots = components(links)
+        tried, roots = tried.unionByName(new), components(verify(new, docs, members), roots)
 
     # what is left between components: pairs of few-shared signatures, and families, whose sets much-shared ones connect
     rest = verify(between(cold, roots).select("a", "b").join(tried, ["a", "b"], "left_anti"), docs, members)
@@ -498,7 +515,7 @@ def link_documents(df: DataFrame, key: str = "doc_id", text: str = "text") -> Da
     placed = placed.join(roots, "cls", "left").select("cls", "family", F.coalesce("root", "cls").alias("root"))
     more = cut(rest.unionByName(verify_families(cut(placed), docs, members)))
     if not more.isEmpty():
-        roots = components(links.unionByName(more))
+        roots = components(more, roots)
 
     named = members.join(roots, "cls", "left").select("cls", "key", F.coalesce("root", "cls").alias("root"))
     first = named.groupBy("root").agg(F.min("key").alias("first"))
