@@ -1,21 +1,24 @@
 """Benchmark decontamination: BM25 over test items, block-max WAND, verified overlap.
 
 The inverted index is over the benchmark items, not the corpus. Every training passage (a window
-of ``PASSAGE_WORDS`` words, one starting every ``PASSAGE_STRIDE``) is a query against it, and all
-items that score at least ``MIN_SHARE`` of their own self-score are retrieved. Postings hold BM25
-weights divided by the item's self-score, so that one threshold serves all items. Items are numbered
+of ``PASSAGE_WORDS`` words, one starting every ``PASSAGE_STRIDE``) is a query against it. An item of more than
+``PART_WORDS`` words is indexed whole and also in parts of at most as many, each an entry with a self-score of its own:
+at every offset some passage holds a part as a whole. All items with an entry that scores at least ``MIN_SHARE``
+of its own self-score in one passage are retrieved. Postings hold BM25 weights divided by the entry's self-score,
+so that one threshold serves all; document frequencies and the mean length are those of whole items. Entries are numbered
 in blocks of ``BLOCK``, and the index has each term's maximum in each block. For all passages of a slice
 at once, the block maxima of the essential terms are added up; the frequent terms, which can add no more
-than ``NON_ESSENTIAL`` to any item, count by that bound. Only blocks that can reach the threshold are opened,
-and there WAND picks pivot items by the block maxima and scores them exactly. Nothing above the threshold is lost.
+than ``NON_ESSENTIAL`` to any entry, count by that bound. Only blocks that can reach the threshold are opened,
+and there WAND picks pivot entries by the block maxima and scores them exactly. No entry above the threshold is lost;
+``passage`` and ``bm25`` are those of the item's entry with the highest share.
 
 Each retrieved pair is verified on the words of the whole document: of the item's word 5-grams
 (all its words, if fewer), a share of at least ``MIN_QUESTION`` of those of its question part and
 ``MIN_ANSWER`` of those of its answer part must occur in the document. The answer part is the last
 sentence of the item, or its last third if it has only one.
 
-The index is built from the benchmark in pieces of at most ``INDEX_ITEMS`` items, each of which is
-broadcast: its size is bounded however large the benchmark is. Each piece is matched in one scan.
+The index is built from the benchmark in pieces of about ``INDEX_ITEMS`` entries, each of which is
+broadcast: its size is bounded however large the benchmark is, but by its longest item. Each piece is matched in one scan.
 
 Defined results: a null or empty text or item matches nothing; repeated items match each on its own;
 repeated documents are each reported; rows of null item id are skipped; an empty table on either side
@@ -38,6 +41,7 @@ from scriptorium.llm.shared import table
 from scriptorium.llm.textscan import SHINGLE_WORDS as SHINGLE, hash_word, hashed_words, ragged, shingles
 
 PASSAGE_WORDS, PASSAGE_STRIDE = 96, 32
+PART_WORDS = PASSAGE_WORDS - PASSAGE_STRIDE
 MIN_SHARE = 0.6
 MIN_QUESTION, MIN_ANSWER = 0.6, 0.6
 INDEX_ITEMS = 20_000
@@ -62,28 +66,34 @@ def item_words(text: str | None) -> tuple[list[str], list[str]]:
 
 @dataclass
 class Index:
-    """Postings by term: item numbers and their BM25 weights, with the maximum of each block of postings."""
+    """Postings by term: entry numbers and their BM25 weights, with the maximum of each block of postings."""
 
     ids: list[int] = field(default_factory=list)
     question: list[np.ndarray] = field(default_factory=list)
     answer: list[np.ndarray] = field(default_factory=list)
+    owner: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))  # by entry: the number of its item
     self_score: np.ndarray = field(default_factory=lambda: np.zeros(0))
     terms: np.ndarray = field(default_factory=lambda: np.zeros(0, np.uint64))
     starts: np.ndarray = field(default_factory=lambda: np.zeros(1, np.int64))
     items: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
     weights: np.ndarray = field(default_factory=lambda: np.zeros(0))
     essential: np.ndarray = field(default_factory=lambda: np.zeros(0, bool))  # by term
-    others: np.ndarray = field(default_factory=lambda: np.zeros(0))  # by block: the most that the other terms add to an item
+    others: np.ndarray = field(default_factory=lambda: np.zeros(0))  # by block: the most that the other terms add to an entry
     block_starts: np.ndarray = field(default_factory=lambda: np.zeros(1, np.int64))  # by term, into the next two
     blocks: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
     block_max: np.ndarray = field(default_factory=lambda: np.zeros(0))
 
     def count_blocks(self) -> int:
-        return (len(self.ids) + BLOCK - 1) // BLOCK
+        return (len(self.owner) + BLOCK - 1) // BLOCK
+
+
+def count_parts(n_words: int) -> int:
+    """How many parts an item of so many words is cut into; 0 if it is indexed as a whole alone."""
+    return -(-n_words // PART_WORDS) if n_words > PART_WORDS else 0
 
 
 def build_index(items: list[tuple[int, str]]) -> Index:
-    index, postings, lengths = Index(), {}, []
+    index, postings, lengths, owner, whole = Index(), {}, [], [], []
     for item_id, text in items:
         q, a = item_words(text)
         if not q and not a:
@@ -91,23 +101,29 @@ def build_index(items: list[tuple[int, str]]) -> Index:
         hashes = np.array([hash_word(w) for w in q + a], np.uint64)
         number = len(index.ids)
         index.ids.append(item_id)
-        lengths.append(len(hashes))
         every = shingles(hashes)
         # a run of words that reaches from the question into the answer counts for the answer
         split = max(0, min(len(q) - SHINGLE + 1, len(every)))
         index.question.append(np.unique(every[:split]))
         index.answer.append(np.unique(every[split:]))
-        for term, n in zip(*(x.tolist() for x in np.unique(hashes, return_counts=True))):
-            postings.setdefault(term, []).append((number, n))
+        parts = count_parts(len(hashes))
+        for k, entry in enumerate([hashes, *(np.array_split(hashes, parts) if parts else [])]):
+            for term, n in zip(*(x.tolist() for x in np.unique(entry, return_counts=True))):
+                postings.setdefault(term, []).append((len(owner), n))
+            owner.append(number)
+            whole.append(k == 0)
+            lengths.append(len(entry))
     if not index.ids:
         return index
-    count, mean = len(index.ids), sum(lengths) / len(lengths)
+    index.owner, count = np.array(owner), len(owner)
+    mean = sum(n for n, w in zip(lengths, whole) if w) / len(index.ids)
     index.terms = np.array(sorted(postings), np.uint64)
     index.self_score = np.zeros(count)
     lists = []
     for term in index.terms.tolist():
         found = postings[term]
-        idf = math.log(1 + (count - len(found) + 0.5) / (len(found) + 0.5))
+        items_with = sum(whole[i] for i, _ in found)
+        idf = math.log(1 + (len(index.ids) - items_with + 0.5) / (items_with + 0.5))
         weights = np.array([idf * n * (K1 + 1) / (n + K1 * (1 - B + B * lengths[i] / mean)) for i, n in found])
         lists.append((np.array([i for i, _ in found]), weights))
         index.self_score[lists[-1][0]] += weights
@@ -132,7 +148,7 @@ def build_index(items: list[tuple[int, str]]) -> Index:
 
 
 def wand(index: Index, terms: list[int], block: int) -> list[tuple[int, float]]:
-    """(item number, share of its self-score) of the block's items that reach MIN_SHARE, for a passage with these distinct terms."""
+    """(entry number, share of its self-score) of the block's entries that reach MIN_SHARE, for a passage with these distinct terms."""
     least, low, high, found = MIN_SHARE - 1e-9, block * BLOCK, (block + 1) * BLOCK, []
     items, weights, cursors = index.items, index.weights, []
     for t in terms:
@@ -200,29 +216,31 @@ def match_rows(index: Index, words: np.ndarray, counts: np.ndarray) -> list[tupl
     """(row, item number, passage, BM25, question overlap, answer overlap) of the verified items of consecutive rows."""
     place = np.minimum(np.searchsorted(index.terms, words), len(index.terms) - 1)
     term = np.where(index.terms[place] == words, place, -1)
-    best: dict[tuple[int, int], tuple[float, int]] = {}
+    best: dict[tuple[int, int], tuple[float, int, int]] = {}
     for row, number, first, last, block in hopeful_blocks(index, term, counts):
         terms = np.unique(term[first:last])
-        for item, share in wand(index, terms[terms >= 0].tolist(), block):
-            if share > best.get((row, item), (0.0, 0))[0]:
-                best[row, item] = share, number
+        for entry, share in wand(index, terms[terms >= 0].tolist(), block):
+            item = int(index.owner[entry])
+            if share > best.get((row, item), (0.0, 0, 0))[0]:
+                best[row, item] = share, number, entry
     ends, out, at, have = np.cumsum(counts), [], -1, None
-    for (row, item), (share, number) in sorted(best.items()):
+    for (row, item), (share, number, entry) in sorted(best.items()):
         if row != at:
             at, have = row, np.unique(shingles(words[ends[row] - counts[row] : ends[row]]))
         overlap = [float(np.isin(want, have).mean()) if len(want) else 1.0 for want in (index.question[item], index.answer[item])]
         if overlap[0] >= MIN_QUESTION and overlap[1] >= MIN_ANSWER:
-            out.append((row, item, number, share * float(index.self_score[item]), *overlap))
+            out.append((row, item, number, share * float(index.self_score[entry]), *overlap))
     return out
 
 
 def index_pieces(items: DataFrame, key: str = "item_id", text: str = "text", size: int = INDEX_ITEMS) -> Iterator[Index]:
-    held = []
+    held, entries = [], 0
     for row in items.select(items[key].cast("long").alias("k"), items[text].alias("t")).where("k is not null and t is not null").orderBy("k", "t").toLocalIterator():
         held.append((row.k, row.t))
-        if len(held) == size:
+        entries += 1 + count_parts(sum(1 for _ in _WORDS.finditer(row.t)))
+        if entries >= size:
             yield from _usable(held)
-            held = []
+            held, entries = [], 0
     yield from _usable(held)
 
 
@@ -262,7 +280,7 @@ def find_contamination(docs: DataFrame, items: DataFrame, text: str = "text", it
 def drop_contaminated(docs: DataFrame, items: DataFrame, text: str = "text", item_key: str = "item_id", item_text: str = "text") -> DataFrame:
     """The documents without a verified item, with all their columns."""
     for index in index_pieces(items, item_key, item_text):
-        shared = docs.sparkSession.sparkContext.broadcast(index)  # of INDEX_ITEMS items at most
+        shared = docs.sparkSession.sparkContext.broadcast(index)  # of about INDEX_ITEMS entries
         docs = match_items(docs, shared, text).where(F.size("matches") == 0).select("row.*")
     return docs
 

@@ -159,6 +159,18 @@ def test_decontamination(spark, awkward):
     assert decontaminate.find_contamination(docs, bench.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("size", [90, 170, 400])
+def test_decontamination_of_long_items(spark, size):
+    """An item longer than a passage is found at every offset of the stride, with others of the benchmark beside it."""
+    rng = np.random.default_rng(6)
+    items = [(k, " ".join(f"i{k}x{x}" for x in range(size - 9)) + ". " + " ".join(f"a{k}x{x}" for x in range(9))) for k in range(3)] + [(9, "one short item stands. it has an answer of words")]
+    filler = [f"f{x}" for x in rng.integers(0, 500, 200)]
+    docs = [(k, " ".join(filler[:k] + [items[1][1]] + filler[k:])) for k in range(decontaminate.PASSAGE_STRIDE)] + [(100, " ".join(filler)), (101, items[1][1][: len(items[1][1]) // 2])]
+    found = decontaminate.find_contamination(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
+    assert {(r.row.doc_id, r.match.item_id) for r in found.collect()} == {(k, 1) for k in range(decontaminate.PASSAGE_STRIDE)}
+    assert [len(x.ids) for x in decontaminate.index_pieces(spark.createDataFrame(items, "item_id long, text string"), size=1 + decontaminate.count_parts(size))] == [1, 1, 1, 1]
+
+
 def test_wand_finds_all(spark):
     rng = np.random.default_rng(4)
     items = [(k, " ".join(f"t{x}" for x in rng.zipf(1.4, 20) % 200)) for k in range(60)]
