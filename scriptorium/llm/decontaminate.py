@@ -12,10 +12,14 @@ than ``NON_ESSENTIAL`` to any entry, count by that bound. Only blocks that can r
 and there WAND picks pivot entries by the block maxima and scores them exactly. No entry above the threshold is lost;
 ``passage`` and ``bm25`` are those of the item's entry with the highest share.
 
-Each retrieved pair is verified on the words of the whole document: of the item's word 5-grams
-(all its words, if fewer), a share of at least ``MIN_QUESTION`` of those of its question part and
-``MIN_ANSWER`` of those of its answer part must occur in the document. The answer part is the last
-sentence of the item, or its last third if it has only one.
+Each retrieved pair is verified on the words of the whole document: a share of at least ``MIN_QUESTION``
+of the word 5-grams of the item's question part and ``MIN_ANSWER`` of those of its answer part must occur in
+the document. The answer part is the last sentence of the item, or its last third if it has only one. For an
+unbroken copy, 5-grams that reach from the question into the answer count for the answer; otherwise each part
+counts on its own words, so that other words may stand between both. A part of fewer than five words
+is then one run of words, which has to occur whole, in words that don't belong to the other part's
+copy, and at most ``NEAR`` words before or after the place of any matched 5-gram's copy of that part (of its run,
+if that has fewer than five words too). An item of fewer than five words in all matches only a document of just these words.
 
 The index is built from the benchmark in pieces of about ``INDEX_ITEMS`` entries, each of which is
 broadcast: its size is bounded however large the benchmark is, but by its longest item. Each piece is matched in one scan.
@@ -44,6 +48,7 @@ PASSAGE_WORDS, PASSAGE_STRIDE = 96, 32
 PART_WORDS = PASSAGE_WORDS - PASSAGE_STRIDE
 MIN_SHARE = 0.6
 MIN_QUESTION, MIN_ANSWER = 0.6, 0.6
+NEAR = 16
 INDEX_ITEMS = 20_000
 BLOCK = 8
 NON_ESSENTIAL = 0.25
@@ -69,6 +74,7 @@ class Index:
     """Postings by term: entry numbers and their BM25 weights, with the maximum of each block of postings."""
 
     ids: list[int] = field(default_factory=list)
+    parts: list[tuple[np.ndarray, np.ndarray]] = field(default_factory=list)  # the words of question and answer
     question: list[np.ndarray] = field(default_factory=list)
     answer: list[np.ndarray] = field(default_factory=list)
     owner: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))  # by entry: the number of its item
@@ -101,6 +107,7 @@ def build_index(items: list[tuple[int, str]]) -> Index:
         hashes = np.array([hash_word(w) for w in q + a], np.uint64)
         number = len(index.ids)
         index.ids.append(item_id)
+        index.parts.append((hashes[: len(q)], hashes[len(q) :]))
         every = shingles(hashes)
         # a run of words that reaches from the question into the answer counts for the answer
         split = max(0, min(len(q) - SHINGLE + 1, len(every)))
@@ -212,6 +219,49 @@ def hopeful_blocks(index: Index, term: np.ndarray, counts: np.ndarray) -> Iterat
             yield int(row[p]), int(number[p]), int(first[p]), int(last[p]), block
 
 
+def run_starts(words: np.ndarray, run: np.ndarray) -> np.ndarray:
+    at = np.arange(max(0, len(words) - len(run) + 1))
+    for k, word in enumerate(run):
+        at = at[words[at + k] == word]
+    return at
+
+
+def lies_near(words: np.ndarray, grams: np.ndarray, run: np.ndarray, other: np.ndarray) -> bool:
+    """Whether ``run`` occurs at most NEAR words from where the words ``other`` lie, going by any 5-gram of them, and outside of these."""
+    starts, size = run_starts(words, run), min(SHINGLE, len(other))
+    if size < SHINGLE:
+        at = run_starts(words, other)
+        least = most = np.zeros(len(at), np.int64)
+    else:
+        own = shingles(other)
+        order = np.argsort(own, kind="stable")
+        at = np.flatnonzero(np.isin(grams, own))
+        least, most = order[np.searchsorted(own, grams[at], "left", order)], order[np.searchsorted(own, grams[at], "right", order) - 1]
+    taken = np.zeros(len(words) + 1, np.int64)  # words that belong to ``other``, added up
+    for k in range(size):
+        taken[at + k + 1] = 1
+    taken = np.cumsum(taken)
+    starts = starts[taken[starts + len(run)] == taken[starts]]
+    low, high = at - most - len(run) - NEAR, at - least + len(other) + NEAR
+    return bool((np.searchsorted(starts, high, "right") > np.searchsorted(starts, low, "left")).any())
+
+
+def overlaps(index: Index, item: int, words: np.ndarray, grams: np.ndarray, have: np.ndarray) -> tuple[float, float]:
+    """The shares of the item's question and answer that a document has, from its words, their 5-grams in order, and the distinct ones."""
+    share = lambda want: float(np.isin(want, have).mean()) if len(want) else 1.0
+    question, answer = share(index.question[item]), share(index.answer[item])
+    q, a = index.parts[item]
+    if question < MIN_QUESTION or answer >= MIN_ANSWER or len(q) + len(a) < SHINGLE:
+        return question, answer
+    if len(a) >= SHINGLE:
+        answer = max(answer, share(np.unique(shingles(a))))
+        if len(q) < SHINGLE and answer >= MIN_ANSWER:
+            question = float(lies_near(words, grams, q, a))
+    elif lies_near(words, grams, a, q):
+        answer = 1.0
+    return question, answer
+
+
 def match_rows(index: Index, words: np.ndarray, counts: np.ndarray) -> list[tuple[int, int, int, float, float, float]]:
     """(row, item number, passage, BM25, question overlap, answer overlap) of the verified items of consecutive rows."""
     place = np.minimum(np.searchsorted(index.terms, words), len(index.terms) - 1)
@@ -223,11 +273,13 @@ def match_rows(index: Index, words: np.ndarray, counts: np.ndarray) -> list[tupl
             item = int(index.owner[entry])
             if share > best.get((row, item), (0.0, 0, 0))[0]:
                 best[row, item] = share, number, entry
-    ends, out, at, have = np.cumsum(counts), [], -1, None
+    ends, out, at = np.cumsum(counts), [], -1
     for (row, item), (share, number, entry) in sorted(best.items()):
         if row != at:
-            at, have = row, np.unique(shingles(words[ends[row] - counts[row] : ends[row]]))
-        overlap = [float(np.isin(want, have).mean()) if len(want) else 1.0 for want in (index.question[item], index.answer[item])]
+            at, own = row, words[ends[row] - counts[row] : ends[row]]
+            grams = shingles(own)
+            have = np.unique(grams)
+        overlap = overlaps(index, item, own, grams, have)
         if overlap[0] >= MIN_QUESTION and overlap[1] >= MIN_ANSWER:
             out.append((row, item, number, share * float(index.self_score[entry]), *overlap))
     return out

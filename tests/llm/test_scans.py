@@ -171,6 +171,21 @@ def test_decontamination_of_long_items(spark, size):
     assert [len(x.ids) for x in decontaminate.index_pieces(spark.createDataFrame(items, "item_id long, text string"), size=1 + decontaminate.count_parts(size))] == [1, 1, 1, 1]
 
 
+def test_decontamination_of_parted_items(spark):
+    """Words between question and answer don't hide an item, however short either is; a question with another answer is no item."""
+    sizes = [(30, n) for n in range(1, 13)] + [(2, 12), (4, 5), (4, 3), (1, 4), (3, 30)]
+    parts = [(" ".join(f"q{k}x{x}" for x in range(q)) + "?", " ".join(f"a{k}x{x}" for x in range(a))) for k, (q, a) in enumerate(sizes)]
+    filler = " ".join(f"f{x}" for x in range(60))
+    docs = [(100 * (1 + n) + k, f"{filler} {q} {between} {a} {filler}") for n, between in enumerate(["Answer:", "A:", "* (B)", "\n"]) for k, (q, a) in enumerate(parts)]
+    clean = [(1000 + k, f"{filler} {q} Answer: {' '.join('other' for _ in a.split())} {filler}") for k, (q, a) in enumerate(parts)]
+    clean += [(2000 + k, f"{q} {filler} {a}") for k, (q, a) in enumerate(parts) if len(a.split()) < 5 or len(q.split()) < 5]
+    bench = spark.createDataFrame([(k, f"{q} {a}") for k, (q, a) in enumerate(parts)], "item_id long, text string")
+    found = decontaminate.find_contamination(spark.createDataFrame(docs + clean, "doc_id long, text string"), bench).collect()
+    assert {(r.row.doc_id, r.match.item_id) for r in found if r.row.doc_id < 1000} == {(k, k % 100) for k, _ in docs}
+    unbroken = {k for k, (q, a) in enumerate(parts) if len(q.split()) < 5 <= len(a.split())}  # here the answer alone has most of the item's 5-grams
+    assert {r.row.doc_id for r in found if r.row.doc_id >= 1000} <= {2000 + k for k in unbroken}
+
+
 def test_wand_finds_all(spark):
     rng = np.random.default_rng(4)
     items = [(k, " ".join(f"t{x}" for x in rng.zipf(1.4, 20) % 200)) for k in range(60)]
