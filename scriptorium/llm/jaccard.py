@@ -50,7 +50,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from scriptorium.llm.lookup import Lookup, filter_rows, write_lookup
-from scriptorium.llm.shared import cut, table
+from scriptorium.llm.shared import cut, new_folder, table
 from scriptorium.llm.textscan import hashed_words, mix, ragged, shingle_sets
 
 COLD = 8  # sets that share a signature whose pairs are all taken at once
@@ -528,9 +528,12 @@ def link_documents(df: DataFrame, key: str = "doc_id", text: str = "text") -> Da
 def keep_one(df: DataFrame, text: str = "text") -> DataFrame:
     """The rows of ``df``, less all but one of each group of linked rows; every row is a document of its own, whatever its columns hold.
 
-    Rows are known by their place in the scan of ``df``, which has to be a table in files.
+    Rows are known by a number that one job writes beside them to a table in the shared folder: later jobs may plan the
+    scan of ``df`` in other partitions, and numbers made anew there would name other rows.
     """
-    packed = df.select(F.struct(*[df[c] for c in df.columns]).alias("row"), df[text].alias("text"), F.monotonically_increasing_id().alias("place"))
+    spark, numbered = df.sparkSession, new_folder(df.sparkSession, "numbered")
+    df.select(F.struct(*[df[c] for c in df.columns]).alias("row"), F.monotonically_increasing_id().alias("place")).write.parquet(numbered)
+    packed = spark.read.parquet(numbered).select("row", F.col("row")[text].alias("text"), "place")
     gone = link_documents(packed, "place").where("component_id <> place")
     place = write_lookup(gone.select(F.col("place").alias("key"), F.col("component_id").alias("value")), "gone")
     return filter_rows(packed.select("row", "place"), "place", place, keep=False).select("row.*")

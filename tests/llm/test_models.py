@@ -8,7 +8,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
-from pyspark.sql import functions as F
+from pyspark.sql import Window, functions as F
 
 import corpus_pipeline
 from scriptorium.llm import jaccard, lm, quality
@@ -94,6 +94,30 @@ def test_jaccard_of_nothing(spark, corpus):
     assert jaccard.link_documents(corpus[1].limit(0)).count() == 0
 
 
+def test_keep_one_with_other_partitions_by_job(spark, tmp_path, monkeypatch):
+    """Jobs that plan the scan in other partitions than the one before, as after the loss of an executor, still mean the same rows."""
+    rng = np.random.default_rng(12)
+    texts = [" ".join(f"d{k}w{x}" for x in rng.integers(0, 10_000, 30)) for k in range(24)]
+    rows = [(k, texts[k]) for k in range(24)] + [(100 + k, texts[k]) for k in range(0, 24, 2)] + [(200, None), (201, "")]
+    spark.createDataFrame([rows[k] for k in rng.permutation(len(rows))], "doc_id long, text string").repartition(8).write.parquet(str(tmp_path / "docs"))
+    bytes_key = "spark.sql.files.maxPartitionBytes"
+    before = spark.conf.get(bytes_key)
+
+    def exact_links(df, key):
+        spark.conf.set(bytes_key, "200")
+        found = df.select(F.col(key), F.min(key).over(Window.partitionBy(F.coalesce(F.nullif("text", F.lit("")), F.col(key).cast("string")))).alias("component_id"))
+        found = jaccard.cut(found)
+        spark.conf.set(bytes_key, before)
+        return found
+
+    monkeypatch.setattr(jaccard, "link_documents", exact_links)
+    try:
+        left = [r.doc_id for r in jaccard.keep_one(spark.read.parquet(str(tmp_path / "docs"))).collect()]
+    finally:
+        spark.conf.set(bytes_key, before)
+    assert sorted(k % 100 if k < 200 else k for k in left) == [*range(24), 200, 201]
+
+
 def test_elias_fano():
     rng = np.random.default_rng(7)
     for n, top in ((0, 9), (1, 5), (200, 300), (3000, 1 << 64), (500, 1 << 20)):
