@@ -29,6 +29,5 @@ QUERIES = {
 ORACLE_SQL: dict[str, str] = {
     "op2_warc_roundtrip": OP2_SQL,
     "op7_exact_topk": OP7_SQL,
-    "op9_token_counts": op9_token_counts,
     "op10_jaccard_join": OP10_SQL,
 }
