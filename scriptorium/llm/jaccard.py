@@ -19,15 +19,18 @@ Sets of up to ``SMALL`` shingles are one segment each, with the neighbourhood of
 partner allows (a quarter of the set): the common part of two similar sets is in both neighbourhoods.
 
 * Signatures are packed by task and bucket before they are shuffled, a set once for each task.
-* Few-shared signatures give all their pairs. Shared by many, a signature pairs its sets with neighbours in an
-  order; after the components of those links are known, the sets that much-shared signatures connect form families, and
-  all sets of a family that are still in different components are paired, block by block, so that no link between
-  components is lost and no component is paired within itself.
-* A candidate pair is verified on the whole sets, unless its sets are in one component already: first a few
-  partners of each set, twice, then all pairs between the components that this leaves. Only verified links count.
-* For that, texts are read again, and only those of candidates leave the scan, by a memory-mapped table of groups
-  of about twice ``GROUP`` texts.
-* Components are found by alternating large-star and small-star rounds with reliable checkpoints.
+* Few-shared signatures give all their pairs. Shared by many, a signature pairs its sets with their neighbours by
+  size at first.
+* An odd sketch of 4 to 8 bits a shingle is made of every set in question. Two sets differ in at least as many
+  shingles as their sketches do in bits, so that a candidate pair whose sketches differ too much is none, and texts
+  are only read for the others.
+* A candidate pair is verified on the whole sets. First come the few nearest partners of each set; after the components
+  of those links are known, all pairs left between different components: of few-shared signatures, and of much-shared
+  ones, whose sets meet block by block with their sketches. No component is paired within itself, and no link between
+  components is lost.
+* For that, texts are read again, and only those of candidates leave the scan, by a memory-mapped table of groups.
+* Components are found by alternating large-star and small-star rounds, each a table in the shared folder that goes when
+  the next is whole.
 
 Sets are known by 64-bit fingerprints, and shingles by 64-bit hashes.
 
@@ -50,7 +53,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from scriptorium.llm.lookup import Lookup, filter_rows, write_lookup
-from scriptorium.llm.shared import cut, new_folder, table
+from scriptorium.llm.shared import drop_folder, drop_table, stored, table
 from scriptorium.llm.textscan import hashed_words, mix, ragged, shingle_sets
 
 COLD = 8  # sets that share a signature whose pairs are all taken at once
@@ -60,11 +63,11 @@ HASHES = 4
 COMMON = 0.05  # the part of a set's segments that passages shared by many may fill without being indexed
 LAST_BAND = 63
 FLUSH_ENTRIES = 1 << 21
-BUCKETS_PER_PARTITION = 2
+BUCKET_ENTRIES = 1 << 19
 SEEN_SETS = 1 << 18
-GROUP = 64
-FIRST_PARTNERS, NEXT_PARTNERS, ROUNDS = 3, 6, 1
-GROUPING_ROUNDS = 3
+BLOCK_SETS, BLOCK_SHINGLES = 1024, 1 << 20
+GROUP_SHINGLES = 1 << 16
+NEIGHBOURS, PARTNERS = 6, 3
 
 
 class Plan(NamedTuple):
@@ -322,200 +325,314 @@ def _shared(table_: pa.Table) -> pa.Table:
 SHARED = "a long, b long, band long, budget_a long, budget_b long, times long, bucket long, code long"
 
 
-@functools.lru_cache(maxsize=4)
-def _open_lookup(place: tuple[str, int]) -> Lookup:
-    return Lookup(place)
+def sketches(values: np.ndarray, sizes: np.ndarray) -> list[bytes]:
+    """An odd sketch of each row's set: bit h mod M is the parity of the shingles with that hash, for M of 4 to 8 bits a shingle.
+
+    Two sets differ in at least as many shingles as their sketches differ in bits, so a sketch never hides a similar pair.
+    M is a power of two, so that the halves of a sketch, added, are a sketch of half the length.
+    """
+    words = 1 << np.maximum(np.ceil(np.log2(np.maximum(sizes, 1))).astype(np.int64) - 4, 0)
+    ends = np.cumsum(words)
+    place = mix(values ^ np.uint64(0x2545F4914F6CDD1D))
+    bit = (place & np.repeat((words * 64 - 1).astype(np.uint64), sizes)).astype(np.int64)
+    flat = np.zeros(int(ends[-1]) if len(ends) else 0, np.uint64)
+    np.bitwise_xor.at(flat, np.repeat(ends - words, sizes) + (bit >> 6), np.uint64(1) << (bit & 63).astype(np.uint64))
+    return [flat[x - w : x].tobytes() for x, w in zip(ends.tolist(), words.tolist())]
+
+
+class Sketches:
+    """A column of sketches; :meth:`near` says which of the pairs of its rows, or of its rows and another's, may be similar."""
+
+    def __init__(self, sketch: pa.Array, n: pa.Array):
+        sketch = sketch.cast(pa.large_binary())
+        _, offsets, data = sketch.buffers()
+        at = np.frombuffer(offsets, np.int64)[sketch.offset : sketch.offset + len(sketch) + 1]
+        self.first, self.width = at[:-1] // 8, np.diff(at) // 8
+        self.data = np.frombuffer(data, np.uint64, at[-1] // 8) if len(sketch) else np.zeros(0, np.uint64)
+        self.n = n.to_numpy(zero_copy_only=False)
+
+    def _rows(self, i: np.ndarray, width: int, to: int) -> np.ndarray:
+        x = self.data[self.first[i][:, None] + np.arange(width)]
+        while width > to:
+            width //= 2
+            x = x[:, :width] ^ x[:, width:]
+        return x
+
+    def near(self, i: np.ndarray, other: Sketches, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The places of the pairs (i, j) that may be similar, and in how many bits they differ."""
+        m, n = self.n[i], other.n[j]
+        at = np.flatnonzero((4 * m >= 3 * n) & (4 * n >= 3 * m))
+        shape = self.width[i[at]] << 32 | other.width[j[at]]
+        found, off = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for both in np.unique(shape).tolist():
+            w, v = both >> 32, both & 0xFFFFFFFF
+            mine, step = at[shape == both], max(1, (1 << 18) // max(w, v))
+            for lo in range(0, len(mine), step):
+                part = mine[lo : lo + step]
+                d = np.bitwise_count(self._rows(i[part], w, min(w, v)) ^ other._rows(j[part], v, min(w, v))).sum(1, dtype=np.int64)
+                ok = d <= (m[part] + n[part]) // 7
+                found.append(part[ok])
+                off.append(d[ok])
+        return np.concatenate(found), np.concatenate(off)
+
+
+NEAR = "a long, b long, off long"
+
+
+def _pairs(cls_i: np.ndarray, cls_j: np.ndarray, off: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(np.minimum(cls_i, cls_j)), pa.array(np.maximum(cls_i, cls_j)), pa.array(off)], names=["a", "b", "off"])
+
+
+def _whole_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """The rows of batches that are sorted by their first column, cut only where its value changes."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        grp = batch.column(0).to_numpy()
+        changes = np.flatnonzero(grp[1:] != grp[:-1])
+        last = int(changes[-1]) + 1 if len(changes) else 0
+        if held and (last or held[-1].column(0)[-1].as_py() != grp[0]):
+            if not last:
+                yield pa.Table.from_batches(held).combine_chunks()
+                held = [batch]
+                continue
+            yield pa.Table.from_batches([*held, batch.slice(0, last)]).combine_chunks()
+            held = []
+        elif last:
+            yield pa.Table.from_batches([batch.slice(0, last)]).combine_chunks()
+        held.append(batch.slice(last))
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks()
+
+
+def _column(table_: pa.Table, name: str) -> pa.Array:
+    chunks = table_.column(name)
+    return chunks.chunk(0) if chunks.num_chunks == 1 else chunks.combine_chunks()
+
+
+def near_pairs(pairs: DataFrame, drawn: DataFrame) -> DataFrame:
+    """(a, b, off) for those of the pairs (a, b) whose sketches allow a link; ``drawn`` is (cls, n, sketch)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            a, b = (Sketches(batch.column("sketch_" + c), batch.column("n_" + c)) for c in "ab")
+            each = np.arange(batch.num_rows)
+            at, off = a.near(each, b, each)
+            yield _pairs(batch.column("a").to_numpy()[at], batch.column("b").to_numpy()[at], off)
+
+    of = lambda c: drawn.select(F.col("cls").alias(c), F.col("n").alias("n_" + c), F.col("sketch").alias("sketch_" + c))
+    return pairs.select("a", "b").join(of("a"), "a").join(of("b"), "b").mapInArrow(run, NEAR)
+
+
+def near_neighbours(kept: DataFrame, drawn: DataFrame) -> DataFrame:
+    """(a, b, off) for sets that share a signature of ``kept`` and follow each other by size in its block, where their sketches allow a link."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in _whole_groups(batches):
+            grp, cls = rows.column("grp").to_numpy(), rows.column("cls").to_numpy()
+            own = Sketches(_column(rows, "sketch"), rows.column("n"))
+            for step in range(1, NEIGHBOURS + 1):
+                i = np.flatnonzero(grp[step:] == grp[:-step])
+                at, off = own.near(i, own, i + step)
+                yield _pairs(cls[i[at]], cls[i[at] + step], off)
+
+    blocks = _blocks(kept).where("sets > 1")
+    placed = kept.join(blocks, ["bucket", "code"]).select("cls", F.xxhash64("bucket", "code", F.pmod(F.xxhash64("cls"), "blocks")).alias("grp"))
+    return placed.join(drawn, "cls").select("grp", "cls", "n", "sketch").repartition("grp").sortWithinPartitions("grp", "n", "cls").mapInArrow(run, NEAR)
+
+
+def near_across(kept: DataFrame, drawn: DataFrame, roots: DataFrame) -> DataFrame:
+    """(a, b, off) for all sets that share a signature of ``kept`` across components, where their sketches allow a link.
+
+    Blocks of a signature's sets meet block by block; no group holds more than two.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in _whole_groups(batches):
+            grp, cls, root, block, crossed = (rows.column(c).to_numpy(zero_copy_only=False) for c in ("grp", "cls", "root", "block", "crossed"))
+            own = Sketches(_column(rows, "sketch"), rows.column("n"))
+            cuts = np.flatnonzero(np.concatenate([[True], grp[1:] != grp[:-1], [True]]))
+            for lo, hi in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
+                for x in range(lo, hi, 64):
+                    i, j = np.nonzero((root[x : min(x + 64, hi), None] != root[None, lo:hi]) & (np.arange(x, min(x + 64, hi))[:, None] < np.arange(lo, hi)))
+                    i, j = i + x, j + lo
+                    if crossed[lo]:
+                        other = block[i] != block[j]
+                        i, j = i[other], j[other]
+                    at, off = own.near(i, own, j)
+                    if len(at):
+                        yield _pairs(cls[i[at]], cls[j[at]], off)
+
+    placed = kept.join(roots, "cls", "left").withColumn("root", F.coalesce("root", "cls"))
+    mixed = placed.groupBy("bucket", "code").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").join(_blocks(kept), ["bucket", "code"])
+    met = placed.join(mixed, ["bucket", "code"]).withColumn("block", F.pmod(F.xxhash64("cls"), "blocks")).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    grp = F.xxhash64("bucket", "code", F.least("block", "other"), F.greatest("block", "other"))
+    dealt = met.select("cls", "root", "block", grp.alias("grp"), (F.col("block") != F.col("other")).alias("crossed"))
+    return dealt.join(drawn, "cls").select("grp", "cls", "n", "root", "block", "crossed", "sketch").repartition("grp").sortWithinPartitions("grp").mapInArrow(run, NEAR)
+
+
+def _blocks(kept: DataFrame) -> DataFrame:
+    """(bucket, code, sets, blocks): a block has about ``BLOCK_SETS`` sets, fewer of large ones."""
+    cost = F.greatest(F.count("*") / BLOCK_SETS, F.sum("n") / BLOCK_SHINGLES)
+    return kept.groupBy("bucket", "code").agg(F.count("*").alias("sets"), F.ceil(cost).cast("long").alias("blocks"))
+
+
+def draw(docs: DataFrame, wanted: DataFrame, members: DataFrame) -> DataFrame:
+    """(cls, n, sketch) of the classes ``wanted`` (cls), from the texts of their representatives."""
+    place = write_lookup(members.join(wanted, "cls", "left_semi").select(F.col("key_hash").alias("key"), F.col("cls").alias("value")), "wanted")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lookup = Lookup(place)
+        for batch in batches:
+            row, expected = lookup.find(batch.column(0).to_numpy())
+            for lo, hi, values, sizes in _sets(batch.column(1).take(pa.array(row))):
+                cls = fingerprints(values, sizes)
+                right = np.flatnonzero(cls == expected[lo:hi])  # a row that repeats the key may hold another text
+                drawn = sketches(values, sizes)
+                yield pa.RecordBatch.from_arrays([pa.array(cls[right]), pa.array(sizes[right], pa.int64()), pa.array([drawn[k] for k in right.tolist()], pa.binary())], names=["cls", "n", "sketch"])
+
+    found = docs.where("key is not null").select(F.xxhash64("key").alias("key_hash"), "text").mapInArrow(run, "cls long, n long, sketch binary")
+    out = stored(found.groupBy("cls").agg(F.first("n").alias("n"), F.first("sketch").alias("sketch")), "sketches")
+    drop_folder(place[0])
+    return out
 
 
 def verify(pairs: DataFrame, docs: DataFrame, members: DataFrame) -> DataFrame:
-    """The pairs (a, b) of classes whose sets are similar; ``members`` is (cls, n, key_hash), a document of each class.
+    """Links (a, b) of classes that join what the similar ones of the pairs (a, b) join.
 
-    Classes that a few rounds bring to one label are cut into blocks, and a group takes the pairs of two blocks: a text
-    goes once to each group that has a pair of it, however many those are. Any labels give the same links.
+    Classes with a common near one are cut into blocks, and a group takes the pairs of two blocks: a text goes once to
+    each group that has a pair of it, however many those are. Any cut gives the same components.
     """
-    pairs = cut(pairs.select("a", "b"))
-    nodes = pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct().join(labels(pairs), "cls", "left").select("cls", F.coalesce("root", "cls").alias("family"))
-    blocks = nodes.groupBy("family").agg(F.ceil(F.count("*") / GROUP).alias("blocks"))
-    placed = cut(nodes.join(blocks, "family").select("cls", F.xxhash64("family", F.pmod(F.xxhash64("cls"), "blocks")).alias("block")))
-    of = lambda c: placed.select(F.col("cls").alias(c), F.col("block").alias("block_" + c))
-    dealt = pairs.join(of("a"), "a").join(of("b"), "b")
-    dealt = cut(dealt.select("a", "b", F.xxhash64(F.least("block_a", "block_b"), F.greatest("block_a", "block_b")).alias("grp")))
-    wanted = dealt.select(F.explode(F.array("a", "b")).alias("key"), F.col("grp").alias("value"))
-    partners = write_lookup(dealt.select(F.col("grp").bitwiseXOR(F.col("a")).alias("key"), F.col("b").alias("value")), "partners")
-
-    def pairs_of_group(names: np.ndarray, grp: int) -> Iterator[tuple[int, int]]:
-        at, other = _open_lookup(partners).find(names ^ np.int64(grp))
-        return zip(names[at].tolist(), other.tolist())
-
-    return _linked(wanted, docs, members, pairs_of_group)
-
-
-def verify_families(placed: DataFrame, docs: DataFrame, members: DataFrame) -> DataFrame:
-    """The links (a, b) between sets of one family in different components, for (cls, family, root): blocks of a family meet block by block."""
-    mixed = placed.groupBy("family").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.ceil(F.count("*") / GROUP).cast("int").alias("blocks")).where("x <> y")
-    apart = cut(placed.join(mixed.select("family", "blocks"), "family").withColumn("block", F.pmod(F.xxhash64("cls"), "blocks")))
-    met = apart.select("cls", "family", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    wanted = met.select(F.col("cls").alias("key"), F.xxhash64("family", F.least("block", F.col("other").cast("long")), F.greatest("block", F.col("other").cast("long"))).alias("value"))
-    roots = write_lookup(apart.select(F.col("cls").alias("key"), F.col("root").alias("value")), "roots")
-
-    def pairs_of_group(names: np.ndarray, grp: int) -> Iterator[tuple[int, int]]:
-        at, root = _open_lookup(roots).find(names)
-        i, j = np.triu_indices(len(at), 1)
-        apart_ = root[i] != root[j]
-        return zip(names[at][i[apart_]].tolist(), names[at][j[apart_]].tolist())
-
-    return _linked(wanted, docs, members, pairs_of_group).distinct()
-
-
-def _linked(wanted: DataFrame, docs: DataFrame, members: DataFrame, pairs_of_group) -> DataFrame:
-    """The similar ones (a, b) of the pairs that ``pairs_of_group`` makes of the classes of a group, for groups (key: class, value: group)."""
-    wanted = cut(wanted.distinct())
-    groups = write_lookup(wanted, "groups")
-    ends = wanted.select(F.col("key").alias("cls")).distinct()
-    chosen = write_lookup(members.join(ends, "cls", "left_semi").select(F.col("cls").alias("key"), F.col("key_hash").alias("value")), "chosen")
+    both = pairs.select("a", "b").unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    least = both.groupBy("a").agg(F.min("b").alias("b")).select(F.col("a").alias("cls"), F.least("a", "b").alias("one"))
+    family = least.join(least.select(F.col("cls").alias("one"), F.col("one").alias("two")), "one", "left").select("cls", F.coalesce("two", "one").alias("family"))
+    nodes = stored(family.join(members.select("cls", "n", "key_hash"), "cls"), "nodes")
+    blocks = nodes.groupBy("family").agg(F.ceil(F.sum("n") / GROUP_SHINGLES).alias("blocks"))
+    placed = nodes.join(blocks, "family").select("cls", "key_hash", F.xxhash64("family", F.pmod(F.xxhash64("cls"), "blocks")).alias("block"))
+    of = lambda c: placed.select(F.col("cls").alias(c), F.col("key_hash").alias("key_" + c), F.col("block").alias("block_" + c))
+    dealt = pairs.select("a", "b").join(of("a"), "a").join(of("b"), "b")
+    dealt = stored(dealt.select("a", "b", "key_a", "key_b", F.xxhash64(F.least("block_a", "block_b"), F.greatest("block_a", "block_b")).alias("grp")), "dealt")
+    drop_table(nodes)
+    groups = write_lookup(dealt.select(F.explode(F.array("key_a", "key_b")).alias("key"), F.col("grp").alias("value")).distinct(), "groups")
 
     def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        group, document = _open_lookup(groups), _open_lookup(chosen)
+        lookup = Lookup(groups)
         for batch in batches:
-            hashes = batch.column(0).to_numpy(zero_copy_only=False)
-            for lo, _, values, sizes in _sets(batch.column(1)):
-                cls = fingerprints(values, sizes)
-                row, own = document.find(cls)
-                row = row[(own == hashes[lo + row]) & (sizes[row] > 0)]
-                at, to = group.find(cls[row])
-                if len(at):
-                    at = row[at]
-                    yield pa.RecordBatch.from_arrays([pa.array(to), pa.array(cls[at]), batch.column(1).take(pa.array(lo + at))], names=["grp", "cls", "text"])
-
-    def links(table_: pa.Table) -> pa.Table:
+            row, to = lookup.find(batch.column(0).to_numpy())
+            if len(row):
+                yield pa.RecordBatch.from_arrays([pa.array(to), batch.column(1).take(pa.array(row))], names=["grp", "text"])
+
+    def links(texts: pa.Table, asked: pa.Table) -> pa.Table:
         sets: dict[int, np.ndarray] = {}
-        cls, grp = table_.column("cls").to_numpy(), table_.column("grp")[0].as_py()
-        for lo, _, values, sizes in _sets(table_.column("text").combine_chunks()):
+        for _, _, values, sizes in _sets(_column(texts, "text")):
             ends = np.cumsum(sizes).tolist()
-            for k, (x, y) in enumerate(zip([0, *ends], ends)):
-                sets[int(cls[lo + k])] = values[x:y]
-        found = []
-        for a, b in pairs_of_group(np.array(list(sets), np.int64), grp):
-            if b in sets and 4 * len(sets[a]) >= 3 * len(sets[b]) and 4 * len(sets[b]) >= 3 * len(sets[a]):
-                both = np.intersect1d(sets[a], sets[b], assume_unique=True).size
-                if 100 * both >= 75 * (len(sets[a]) + len(sets[b]) - both):
-                    found.append((a, b))
-        return pa.table({"a": pa.array([a for a, _ in found], pa.int64()), "b": pa.array([b for _, b in found], pa.int64())})
-
-    picked = docs.select(F.xxhash64("key").alias("key_hash"), "text").mapInArrow(pick, "grp long, cls long, text string")
-    return picked.groupBy("grp").applyInArrow(links, "a long, b long")
+            for c, x, y in zip(fingerprints(values, sizes).tolist(), [0, *ends], ends):
+                sets[c] = values[x:y]
+        root: dict[int, int] = {}
+
+        def find(c: int) -> int:
+            while (up := root.get(c, c)) != c:
+                root[c] = root.get(up, up)
+                c = up
+            return c
+
+        for a, b in zip(asked.column("a").to_pylist(), asked.column("b").to_pylist()):
+            x, y = find(a), find(b)
+            if x != y:
+                p, q = sets[a], sets[b]
+                shared = np.intersect1d(p, q, assume_unique=True).size
+                if 100 * shared >= 75 * (len(p) + len(q) - shared):
+                    root[max(x, y)] = min(x, y)
+        ends = [(c, find(c)) for c in root]
+        return pa.table({"a": pa.array([c for c, r in ends if c != r], pa.int64()), "b": pa.array([r for c, r in ends if c != r], pa.int64())})
+
+    picked = docs.where("key is not null").select(F.xxhash64("key").alias("key_hash"), "text").mapInArrow(pick, "grp long, text string")
+    found = stored(picked.groupBy("grp").cogroup(dealt.groupBy("grp")).applyInArrow(links, "a long, b long"), "links")
+    drop_folder(groups[0])
+    drop_table(dealt)
+    return found
 
 
 def _stars(edges: DataFrame) -> DataFrame:
     """The edges (u, v), v < u, after one round of large stars and small stars."""
     both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
     least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+    large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
     least = large.groupBy("u").agg(F.min("v").alias("m"))
     small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
-    return cut(small.where("u <> v").distinct())
-
-
-def _edges(links: DataFrame) -> DataFrame:
-    return cut(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct())
-
-
-def labels(links: DataFrame) -> DataFrame:
-    """(cls, root) for nodes of the links (a, b) that have a smaller one near: a label that near nodes tend to share."""
-    edges = _edges(links)
-    for _ in range(GROUPING_ROUNDS):
-        edges = _stars(edges)
-    return edges.groupBy(F.col("u").alias("cls")).agg(F.min("v").alias("root"))
+    return small.where("u <> v").distinct()
 
 
 def components(links: DataFrame, roots: DataFrame | None = None) -> DataFrame:
-    """(cls, root) for each node of the links (a, b): the least node it can reach. Alternating star rounds until nothing changes.
+    """(cls, root) for each node of the links (a, b) but the least of its component: the least node it can reach. Alternating star rounds until nothing changes.
 
-    With ``roots``, the components of earlier links, the rounds go on from there.
+    With ``roots``, the components of earlier links, the rounds go on from there. A round's table goes when the next is whole.
     """
-    edges, last = _edges(links if roots is None else links.unionByName(roots.select(F.col("cls").alias("a"), F.col("root").alias("b")))), None
+    if roots is not None:
+        links = links.unionByName(roots.select(F.col("cls").alias("a"), F.col("root").alias("b")))
+    edges, last = stored(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "edges"), None
     while True:
-        edges = _stars(edges)
         state = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if state == last:
             return edges.select(F.col("u").alias("cls"), F.col("v").alias("root"))
-        last = state
+        last, before = state, edges
+        edges = stored(_stars(before), "edges", 2 * state[0])
+        drop_table(before)
 
 
 def link_documents(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, n_shingles, component_id) for each row of ``df``."""
     docs = df.select(df[key].alias("key"), df[text].alias("text"))
-    spark = df.sparkSession
-    sized = cut(classes(docs))
+    sized = stored(classes(docs), "sized")
     keyed = sized.where("key is not null and n > 0")
-    members = keyed.groupBy("cls").agg(F.min("n").alias("n"), F.min("key").alias("key")).withColumn("key_hash", F.xxhash64("key"))
-    buckets = BUCKETS_PER_PARTITION * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    blocks = signature_blocks(docs.where("key is not null"), buckets)
-    shared = cut(blocks.groupBy("bucket").applyInArrow(_shared, SHARED))
+    members = stored(keyed.groupBy("cls").agg(F.min("n").alias("n"), F.min("key").alias("key")).withColumn("key_hash", F.xxhash64("key")), "members")
     sizes = members.select("cls", "n")
+    # about BUCKET_ENTRIES signature entries in a bucket, where a set of n shingles has some n / 3
+    entries = sizes.agg(F.sum(F.col("n") / 3 + 8)).first()[0] or 0
+    blocks = signature_blocks(docs.where("key is not null"), max(1, math.ceil(entries / BUCKET_ENTRIES)))
+    shared = stored(blocks.groupBy("bucket").applyInArrow(_shared, SHARED), "shared")
 
     # of its much-shared signatures under a band and hash, each set leaves out the most shared ones that it may
     order = Window.partitionBy("cls", "band").orderBy(F.desc("times"), "bucket", "code")
     hot = shared.where("code <> -1").select("bucket", "code", "band", F.col("a").alias("cls"), F.col("budget_a").alias("budget"), "times")
-    kept = cut(hot.withColumn("no", F.row_number().over(order)).where("no > budget").select("bucket", "code", "band", "cls"))
-    def near(entries: DataFrame, by: list) -> DataFrame:
-        """Of the sets of each much-shared signature: every set with the one before it in an order, in other components, and the times that this pairs them."""
-        before = lambda c: F.lag(c).over(Window.partitionBy("bucket", "code").orderBy(*by))
-        paired = entries.select("cls", "root", before("cls").alias("other"), before("root").alias("other_root")).where("root <> other_root")
-        return paired.groupBy(F.least("cls", "other").alias("a"), F.greatest("cls", "other").alias("b")).agg(F.count("*").alias("times"))
-
-    def best(found: DataFrame, most: int) -> DataFrame:
-        """The pairs that are among the ``most`` most frequent ones of either set."""
-        ends = found.select("a", "b", "times", F.explode(F.array("a", "b")).alias("cls"))
-        rank = F.row_number().over(Window.partitionBy("cls").orderBy(F.desc("times"), "a", "b"))
-        return ends.withColumn("no", rank).where(F.col("no") <= most).select("a", "b").distinct()
-
-    def fitting(found: DataFrame) -> DataFrame:
-        """The pairs whose sizes allow the similarity, with both sizes."""
-        of = lambda c: sizes.select(F.col("cls").alias(c), F.col("n").alias("n_" + c))
-        return found.join(of("a"), "a").join(of("b"), "b").where("4 * n_a >= 3 * n_b and 4 * n_b >= 3 * n_a")
-
-    def between(found: DataFrame, roots: DataFrame) -> DataFrame:
-        """The pairs that lie in different components."""
-        of = lambda c: roots.select(F.col("cls").alias(c), F.col("root").alias("root_" + c))
-        placed = found.join(of("a"), "a", "left").join(of("b"), "b", "left")
-        return placed.where(F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).drop("root_a", "root_b")
+    kept = stored(hot.withColumn("no", F.row_number().over(order)).where("no > budget").select("bucket", "code", "cls").join(sizes, "cls"), "kept")
 
     # few-shared signatures count in the band of the larger set, where both are indexed
     lows = [band_plan(k).low for k in range(LAST_BAND)]
     larger = F.greatest("n_a", "n_b")
     own = F.when(larger <= SMALL, LAST_BAND).otherwise(F.size(F.filter(F.array(*[F.lit(x).cast("long") for x in lows]), lambda x: x <= larger)) - 1)
     summed = shared.where("code = -1").groupBy("a", "b", "band", "budget_a", "budget_b").agg(F.sum("times").alias("times"))
+    size_of = lambda c: sizes.select(F.col("cls").alias(c), F.col("n").alias("n_" + c))
+    fitting = summed.join(size_of("a"), "a").join(size_of("b"), "b").where("4 * n_a >= 3 * n_b and 4 * n_b >= 3 * n_a")
     crowd = hot.groupBy("cls", "band").agg(F.count("*").alias("many"))
     of = lambda c: crowd.select(F.col("cls").alias(c), "band", F.col("many").alias("many_" + c))
-    cold = fitting(summed).where(F.floor(F.col("band") / HASHES) == own).join(of("a"), ["a", "band"], "left").join(of("b"), ["b", "band"], "left").fillna(0, ["many_a", "many_b"])
+    cold = fitting.where(F.floor(F.col("band") / HASHES) == own).join(of("a"), ["a", "band"], "left").join(of("b"), ["b", "band"], "left").fillna(0, ["many_a", "many_b"])
     gone = lambda c: F.least(F.greatest(F.col("budget_" + c), F.lit(0)), F.col("many_" + c))
     # what either set leaves out is the top of one order, so that the longer of both tops holds all shared ones left out
     enough = F.greatest("budget_a", "budget_b") + 1 - F.greatest(gone("a"), gone("b"))
     both_keep = (F.col("many_a") > F.col("budget_a")) & (F.col("many_b") > F.col("budget_b")) & (F.col("many_a") > 0) & (F.col("many_b") > 0)
-    cold = cold.where(both_keep | (F.col("times") >= enough)).select("a", "b", "times")
-    cold = cut(cold.groupBy("a", "b").agg(F.sum("times").alias("times")))
-    lone = kept.join(sizes, "cls").withColumn("root", F.col("cls"))
-    pairs = cold.unionByName(fitting(near(lone, [F.col("n"), F.col("cls")])).select("a", "b", "times")).groupBy("a", "b").agg(F.sum("times").alias("times"))
-
-    tried = cut(best(pairs, FIRST_PARTNERS))
+    cold = stored(cold.where(both_keep | (F.col("times") >= enough)).select("a", "b").distinct(), "cold")
+    drop_table(shared)
+
+    wanted = kept.select("cls").unionByName(cold.select(F.explode(F.array("a", "b")).alias("cls"))).distinct()
+    drawn = draw(docs, wanted, members)
+    close = stored(near_pairs(cold, drawn), "close")
+    found = close.unionByName(near_neighbours(kept, drawn)).groupBy("a", "b").agg(F.min("off").alias("off"))
+
+    # a few of the nearest partners of each set make most components; then all pairs left between components are verified
+    rank = F.row_number().over(Window.partitionBy("cls").orderBy("off", "a", "b"))
+    ends = found.select("a", "b", "off", F.explode(F.array("a", "b")).alias("cls"))
+    tried = stored(ends.withColumn("no", rank).where(F.col("no") <= PARTNERS).select("a", "b").distinct(), "tried")
     roots = components(verify(tried, docs, members))
-    for k in range(ROUNDS):  # other partners, in an order of its own for each round
-        placed = kept.join(roots, "cls", "left").withColumn("root", F.coalesce("root", "cls"))
-        left = between(cold, roots).unionByName(fitting(near(placed, [F.xxhash64("cls", F.lit(k))])).select("a", "b", "times"))
-        left = left.join(tried, ["a", "b"], "left_anti").groupBy("a", "b").agg(F.sum("times").alias("times"))
-        new = cut(best(left, NEXT_PARTNERS))
-        tried, roots = tried.unionByName(new), components(verify(new, docs, members), roots)
-
-    # what is left between components: pairs of few-shared signatures, and families, whose sets much-shared ones connect
-    rest = verify(between(cold, roots).select("a", "b").join(tried, ["a", "b"], "left_anti"), docs, members)
-    least = kept.groupBy("bucket", "code").agg(F.min("cls").alias("a"))
-    family = components(kept.join(least, ["bucket", "code"]).select("a", F.col("cls").alias("b")))
-    placed = kept.select("cls").distinct().join(family, "cls", "left").select("cls", F.coalesce("root", "cls").alias("family"))
-    placed = placed.join(roots, "cls", "left").select("cls", "family", F.coalesce("root", "cls").alias("root"))
-    more = cut(rest.unionByName(verify_families(cut(placed), docs, members)))
-    if not more.isEmpty():
-        roots = components(more, roots)
+    at = lambda c: roots.select(F.col("cls").alias(c), F.col("root").alias("root_" + c))
+    apart = close.join(at("a"), "a", "left").join(at("b"), "b", "left").where(F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).select("a", "b")
+    rest = apart.unionByName(near_across(kept, drawn, roots).select("a", "b")).distinct()
+    rest = stored(rest.join(tried, ["a", "b"], "left_anti"), "rest")
+    if not rest.isEmpty():
+        roots = components(verify(rest, docs, members), roots)
+    for used in (cold, kept, drawn, close, tried, rest):
+        drop_table(used)
 
     named = members.join(roots, "cls", "left").select("cls", "key", F.coalesce("root", "cls").alias("root"))
     first = named.groupBy("root").agg(F.min("key").alias("first"))
@@ -531,9 +648,8 @@ def keep_one(df: DataFrame, text: str = "text") -> DataFrame:
     Rows are known by a number that one job writes beside them to a table in the shared folder: later jobs may plan the
     scan of ``df`` in other partitions, and numbers made anew there would name other rows.
     """
-    spark, numbered = df.sparkSession, new_folder(df.sparkSession, "numbered")
-    df.select(F.struct(*[df[c] for c in df.columns]).alias("row"), F.monotonically_increasing_id().alias("place")).write.parquet(numbered)
-    packed = spark.read.parquet(numbered).select("row", F.col("row")[text].alias("text"), "place")
+    numbered = stored(df.select(F.struct(*[df[c] for c in df.columns]).alias("row"), F.monotonically_increasing_id().alias("place")), "numbered")
+    packed = numbered.select("row", F.col("row")[text].alias("text"), "place")
     gone = link_documents(packed, "place").where("component_id <> place")
     place = write_lookup(gone.select(F.col("place").alias("key"), F.col("component_id").alias("value")), "gone")
     return filter_rows(packed.select("row", "place"), "place", place, keep=False).select("row.*")

@@ -12,6 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from scriptorium.llm.shared import map_file, new_folder, put_file
+from scriptorium.llm.textscan import ragged
 
 
 def write_lookup(pairs: DataFrame, label: str) -> tuple[str, int]:
@@ -20,14 +21,17 @@ def write_lookup(pairs: DataFrame, label: str) -> tuple[str, int]:
     folder, shards = new_folder(spark, label), int(spark.conf.get("spark.sql.shuffle.partitions"))
 
     def write(table: pa.Table) -> pa.Table:
+        shard = table.column("shard")[0].as_py()
+        table = table.filter(table.column("key").is_valid())
         keys, values = (table.column(c).to_numpy() for c in ("key", "value"))
         order = np.lexsort((values, keys))
-        shard = table.column("shard")[0].as_py()
         put_file(f"{folder}/{shard:05d}.bin", [keys[order].tobytes(), values[order].tobytes()])
         return pa.table({"shard": pa.array([shard], pa.int32())})
 
-    dealt = pairs.select("key", "value", F.pmod("key", F.lit(shards)).cast("int").alias("shard"))
-    dealt.groupBy("shard").applyInArrow(write, "shard int").count()
+    dealt = pairs.where("key is not null").select("key", "value", F.pmod("key", F.lit(shards)).cast("int").alias("shard"))
+    none = F.lit(None).cast("long")  # a shard without keys has a file too, so that a missing one is an error
+    every = spark.range(shards).select(none.alias("key"), none.alias("value"), F.col("id").cast("int").alias("shard"))
+    dealt.unionByName(every).groupBy("shard").applyInArrow(write, "shard int").count()
     return folder, shards
 
 
@@ -38,10 +42,7 @@ class Lookup:
 
     def _shard(self, k: int) -> tuple[np.ndarray, np.ndarray]:
         if k not in self._open:
-            try:
-                data = map_file(f"{self.folder}/{k:05d}.bin").view(np.int64)
-            except FileNotFoundError:  # no keys
-                data = np.zeros(0, np.int64)
+            data = map_file(f"{self.folder}/{k:05d}.bin").view(np.int64)
             self._open[k] = data[: len(data) // 2], data[len(data) // 2 :]
         return self._open[k]
 
@@ -53,9 +54,8 @@ class Lookup:
             have, values = self._shard(k)
             mine = np.flatnonzero(shard == k)
             lo, hi = np.searchsorted(have, keys[mine], "left"), np.searchsorted(have, keys[mine], "right")
-            for i in np.flatnonzero(hi > lo).tolist():
-                at.append(np.full(hi[i] - lo[i], mine[i]))
-                found.append(values[lo[i] : hi[i]])
+            at.append(np.repeat(mine, hi - lo))
+            found.append(values[np.repeat(lo, hi - lo) + ragged(hi - lo)])
         return np.concatenate(at), np.concatenate(found)
 
 

@@ -2,16 +2,23 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
 import os
+import sys
 import tempfile
 import uuid
 from urllib.parse import urlparse
 
 import numpy as np
+import pyarrow as pa
 import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 
 
+ROWS_PER_FILE = 1 << 19
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder of spark.checkpoint.dir. Where that is unset, as in tests, a temporary folder is set for the session."""
     base = spark.conf.get("spark.checkpoint.dir", None)
@@ -35,6 +42,36 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def stored(df: DataFrame, label: str, rows: int | None = None) -> DataFrame:
+    """The rows of ``df`` from a table in the shared folder: its lineage ends there, and the plan has run once.
+
+    ``rows``, where the caller knows about how many there are, keeps small tables to few files.
+    """
+    place = new_folder(df.sparkSession, label)
+    (df if rows is None else df.coalesce(max(1, rows // ROWS_PER_FILE))).write.parquet(place)
+    return df.sparkSession.read.schema(df.schema).parquet(place)
+
+
+def drop_folder(uri: str) -> None:
+    fs, path = filesystem(uri)
+    fs.delete_dir(path)
+
+
+def drop_table(df: DataFrame) -> None:
+    """Deletes the folder of a table that :func:`stored` gave, once nothing reads it any more."""
+    for folder in {os.path.dirname(f) for f in df.inputFiles()}:
+        drop_folder(folder)
+
+
+@functools.cache
+def lean() -> None:
+    """Has this process give large freed arrays back to the system at once: Spark reuses its Python workers, which
+    would otherwise keep the most that any task before them took."""
+    pa.set_memory_pool(pa.system_memory_pool())
+    if sys.platform == "linux":
+        ctypes.CDLL(None).mallopt(-3, 1 << 20)  # M_MMAP_THRESHOLD
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

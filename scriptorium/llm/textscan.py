@@ -15,6 +15,8 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
+from scriptorium.llm.shared import lean
+
 SLICE_BYTES = 1 << 20
 SHINGLE_WORDS = 5
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
@@ -112,6 +114,7 @@ def hash_word(word: str) -> int:
 
 def hashed_words(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """For each slice of rows: its first and last row, the hashes of its words, and the words in each row."""
+    lean()
     data, offsets = utf8(column)
     for lo, hi in slices(offsets):
         part = lower(data[offsets[lo] : offsets[hi]])
