@@ -25,7 +25,8 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from scriptorium.llm.shared import cut, filesystem, new_folder, put_file, table
+from scriptorium.llm.lookup import Lookup, write_lookup
+from scriptorium.llm.shared import drop_folder, drop_table, filesystem, lean, new_folder, put_file, stored, table
 
 RANGE_BYTES = 8 << 20
 MIN_REVISIT_BYTES = 0
@@ -37,11 +38,17 @@ RECORDS = "page_id long, url string, payload_bytes long, payload_digest string,
 _URL_SAFE = "".join(chr(c) for c in range(33, 127) if chr(c) != "%")
 
 
-def with_owners(pages: DataFrame, key: str, payload: str, min_bytes: int = MIN_REVISIT_BYTES) -> DataFrame:
-    """The pages with ``owner``: the largest id of an equal payload, null where no other page has it or it is too small."""
-    marked = pages.withColumn("digest", F.sha1(payload))
-    owners = marked.where(F.octet_length(payload) >= min_bytes).groupBy("digest").agg(F.max(key).alias("owner"), F.count("*").alias("copies"))
-    return marked.join(owners.where("copies > 1").drop("copies"), "digest", "left")
+def find_owners(pages: DataFrame, key: str, payload: str, min_bytes: int = MIN_REVISIT_BYTES) -> tuple[tuple[str, int], tuple[str, int]]:
+    """Two tables of the largest id of each payload that several pages have, by either of two hashes of its digest.
+
+    Only digests and ids are shuffled, and counted by task before. An owner that both tables name is that of the digest.
+    """
+    marked = pages.where(F.octet_length(payload) >= min_bytes).select(key, F.sha1(payload).alias("digest"))
+    owners = marked.groupBy("digest").agg(F.max(key).alias("value"), F.count("*").alias("copies")).where("copies > 1 and value is not null")
+    found = stored(owners.select("digest", "value"), "owners")
+    places = tuple(write_lookup(found.select(F.xxhash64("digest", F.lit(k)).alias("key"), "value"), "owners") for k in (0, 1))
+    drop_table(found)
+    return places
 
 
 def _record(page_id: int | None, url: str | None, payload: bytes, digest: str, owner: int | None) -> bytes:
@@ -59,17 +66,25 @@ def _record(page_id: int | None, url: str | None, payload: bytes, digest: str, o
 def write_archives(pages: DataFrame, folder: str, key: str = "page_id", url: str = "url", payload: str = "payload", min_bytes: int = MIN_REVISIT_BYTES) -> DataFrame:
     """Writes the pages into ``folder``, a file for each task that has any; returns (file, bytes, records)."""
     rows = pages.select(pages[key].cast("long").alias("page_id"), pages[url].alias("url"), F.coalesce(pages[payload], F.lit(b"")).alias("payload"))
+    places = find_owners(rows, "page_id", "payload", min_bytes)
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         place, count = f"{folder}/part-{TaskContext.get().partitionId():06d}.warc.gz", 0
 
         def members() -> Iterator[bytes]:
             nonlocal count
+            lean()
+            tables = [Lookup(p) for p in places]
             for batch in batches:
-                for values in zip(*(batch.column(k) for k in range(5))):
+                owners: list[set[int | None]] = [{None} for _ in range(batch.num_rows)]
+                named = [set(zip(*(x.tolist() for x in t.find(batch.column(4 + k).to_numpy())))) for k, t in enumerate(tables)]
+                for i, owner in named[0] & named[1]:
+                    owners[i] = {owner}
+                for values, (owner,) in zip(zip(*(batch.column(k) for k in range(4))), owners):
                     gzip = zlib.compressobj(6, zlib.DEFLATED, 31)
-                    page_id, address, body, digest, owner = (v.as_py() for v in values)
-                    yield gzip.compress(_record(page_id, address, body, digest, owner)) + gzip.flush()
+                    page_id, address, body, digest = (v.as_py() for v in values)
+                    own = owner if len(body) >= min_bytes else None
+                    yield gzip.compress(_record(page_id, address, body, digest, own)) + gzip.flush()
                     count += 1
 
         found = members()
@@ -84,8 +99,12 @@ def write_archives(pages: DataFrame, folder: str, key: str = "page_id", url: str
         size = put_file(place, pieces())
         yield pa.RecordBatch.from_arrays([pa.array([place]), pa.array([size], pa.int64()), pa.array([count], pa.int64())], names=["file", "bytes", "records"])
 
-    ordered = with_owners(rows, "page_id", "payload", min_bytes).select("page_id", "url", "payload", "digest", "owner")
-    return cut(ordered.mapInArrow(write, "file string, bytes long, records long"))
+    marked = rows.withColumn("digest", F.sha1("payload"))
+    hashed = marked.select("page_id", "url", "payload", "digest", *[F.xxhash64("digest", F.lit(k)).alias(f"hash{k}") for k in (0, 1)])
+    files = stored(hashed.mapInArrow(write, "file string, bytes long, records long"), "files")
+    for place, _ in places:
+        drop_folder(place)
+    return files
 
 
 # --- reading ----------------------------------------------------------------------------
@@ -95,7 +114,7 @@ class _Window:
     """Bytes of a file by place, read in pieces of a megabyte; what lies before ``drop`` is let go."""
 
     def __init__(self, source, size: int, at: int):
-        self.source, self.size, self.base, self.data = source, size, at, b""
+        self.source, self.size, self.base, self.data = source, size, at, bytearray()
 
     def reach(self, upto: int) -> None:
         upto = min(upto, self.size)
@@ -107,7 +126,8 @@ class _Window:
             self.data += piece
 
     def drop(self, before: int) -> None:
-        self.data, self.base = self.data[before - self.base :], before
+        del self.data[: before - self.base]
+        self.base = before
 
     def find(self, what: bytes, at: int, end: int) -> int:
         """The first place of ``what`` from ``at`` on that is before ``end``, or -1."""
@@ -199,8 +219,9 @@ def read_archives(files: DataFrame, range_bytes: int = RANGE_BYTES, payloads: bo
                 if rows:
                     yield pack(rows)
 
-    # a partition for each few ranges: the reading is dealt out anew, whoever wrote the file
-    return ranges.repartition("file", "start").mapInArrow(read, RECORDS)
+    # a partition for about each range: the reading is dealt out anew, whoever wrote the file, and a given number isn't coalesced
+    many = ranges.count()
+    return ranges.repartition(max(1, many), "file", "start").mapInArrow(read, RECORDS)
 
 
 def op2_warc_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
