@@ -20,7 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
-from scriptorium.llm.shared import table
+from scriptorium.llm.shared import stored, table
 
 QUERY_BLOCK = 256
 CANDIDATE_BLOCK = 4096
@@ -86,7 +86,9 @@ def best_of_blocks(query: tuple, candidates: tuple, k: int) -> tuple[np.ndarray,
 
 def top_k(queries: DataFrame, candidates: DataFrame, k: int = 10, query_block: int = QUERY_BLOCK, candidate_block: int = CANDIDATE_BLOCK) -> DataFrame:
     """query_id, rank, vec_id, score: the k highest inner products of each query; both inputs are (vec_id, weights array<long>)."""
-    left, right = _blocks(queries, query_block), _blocks(candidates, candidate_block)
+    # packed once each, into tables: a task of the join reads packed blocks of both sides
+    left = stored(_blocks(queries.repartition(max(1, queries.count() // (16 * query_block))), query_block), "queries")
+    right = stored(_blocks(candidates, candidate_block), "candidates")
     pairs = left.select(*[F.col(c).alias("q_" + c) for c in left.columns]).crossJoin(right.select(*[F.col(c).alias("c_" + c) for c in right.columns]))
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
