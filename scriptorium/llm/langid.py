@@ -4,10 +4,10 @@ A text's family is predicted first; one-versus-one linear support vector machine
 separate the languages of that family. Features are hashed byte 1-, 2- and 3-grams of the
 lower-cased letters (all other characters count as a space), square-rooted and normalised.
 
-``fit`` learns from a bounded sample, ``SAMPLE_PER_LANGUAGE`` labelled texts of each language,
-those with the smallest hash of their key. Feature vectors are made by the executors from
-whole texts; the driver gets at most that many vectors of ``DIMENSIONS`` bytes-sized counts
-and solves the small squared-hinge problems.
+``fit`` learns from a bounded sample, ``SAMPLE_PER_LANGUAGE`` labelled texts of each of at most ``LANGUAGES``
+languages, those with the smallest hash of their key, one text for each key. Feature vectors are made by the
+executors from whole texts; the driver gets at most that many vectors of ``DIMENSIONS`` numbers and solves
+the small squared-hinge problems.
 
 Defined results: a null text, or one without a letter, is ``und`` with score 0, as is every
 text when nothing could be learned; a language outside ``FAMILIES`` is a family of its own;
@@ -25,10 +25,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F, types as T
 
-from scriptorium.llm.shared import table
+from scriptorium.llm.shared import drop_table, lean, stored, table
 from scriptorium.llm.textscan import slices, utf8
 
 SAMPLE_PER_LANGUAGE = 1000
+LANGUAGES = 200
+SLICE_ROWS = 512
 DIMENSIONS = 2048
 STEEPNESS = 6.0  # of the logistic curve that turns a margin into a score
 # Families of the languages that the corpus may hold.
@@ -127,9 +129,10 @@ class Model:
 
 
 def _vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    lean()
     for batch in batches:
         data, offsets = utf8(batch.column(2))
-        for lo, hi in slices(offsets):
+        for lo, hi in slices(offsets, most=SLICE_ROWS):
             x = features(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
             packed = pa.array([v.astype("<f4").tobytes() for v in x], pa.binary())
             yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), batch.column(1).slice(lo, hi - lo), packed], names=["key", "lang", "x"])
@@ -138,11 +141,22 @@ def _vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def fit(df: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", sample: int = SAMPLE_PER_LANGUAGE) -> Model:
     """Learns from the rows of ``df`` that have a key, a language and some text."""
     labelled = df.select(df[key].alias("key"), df[lang].alias("lang"), df[text].alias("text")).where("key is not null and lang is not null and text is not null and text <> ''")
+    version = F.xxhash64("text")
+    keys = stored(labelled.groupBy("lang", "key").agg(F.min(version).alias("version")), "keys")
+    many = keys.groupBy("lang").count().limit(LANGUAGES + 1).collect()
+    if len(many) > LANGUAGES:
+        raise ValueError(f"more than {LANGUAGES} languages are labelled")
+    # a bar on the hash leaves little more than the sample of each language to be ranked
+    bar, bars = sample + 8 * sample**0.5 + 32, F.lit(1.0)
+    for row in many:
+        bars = F.when(F.col("lang") == row.lang, bar / row["count"]).otherwise(bars)
+    passed = keys.where(F.xxhash64("key") / 2.0**64 + 0.5 <= bars)
     first = Window.partitionBy("lang").orderBy(F.xxhash64("key"), "key")
-    chosen = labelled.select("key", "lang").distinct().withColumn("n", F.row_number().over(first)).where(F.col("n") <= sample)
-    wanted = chosen.select("key", "lang")  # `sample` keys a language
-    rows = labelled.join(F.broadcast(wanted), ["key", "lang"], "left_semi").mapInArrow(_vectors, "key " + labelled.schema["key"].dataType.simpleString() + ", lang string, x binary")
-    found = sorted(((r.lang, r.key, bytes(r.x)) for r in rows.toLocalIterator()))
+    chosen = passed.withColumn("no", F.row_number().over(first)).where(F.col("no") <= sample).select("lang", "key", "version")  # at most `sample` times LANGUAGES rows
+    rows = labelled.withColumn("version", version).join(F.broadcast(chosen), ["key", "lang", "version"], "left_semi")
+    vectors = rows.select("key", "lang", "text").mapInArrow(_vectors, "key " + labelled.schema["key"].dataType.simpleString() + ", lang string, x binary")
+    found = sorted(((r.lang, r.key, bytes(r.x)) for r in vectors.groupBy("lang", "key").agg(F.first("x").alias("x")).toLocalIterator()))
+    drop_table(keys)
     model = Model()
     if not found:
         return model
@@ -166,9 +180,11 @@ def predict_language(df: DataFrame, model: Model, text: str = "text") -> DataFra
     schema = T.StructType([T.StructField("row", df.schema), T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lean()
         for batch in batches:
-            data, offsets = utf8(batch.column(1))
-            for lo, hi in slices(offsets):
+            rows = batch.column(0)
+            data, offsets = utf8(rows.field(place))
+            for lo, hi in slices(offsets, most=SLICE_ROWS):
                 part, edges = data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo]
                 names, scores = model.predict(features(part, edges))
                 seen = np.concatenate([[0], np.cumsum((_LETTER[part] != 32) & (part < 128))])
@@ -176,9 +192,10 @@ def predict_language(df: DataFrame, model: Model, text: str = "text") -> DataFra
                 for i in np.flatnonzero(~plain).tolist():
                     if not has_letter(part[edges[i] : edges[i + 1]].tobytes().decode("utf-8", "replace")):
                         names[i], scores[i] = "und", 0.0
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(names, pa.string()), pa.array(scores, pa.float64())], names=schema.names)
+                yield pa.RecordBatch.from_arrays([rows.slice(lo, hi - lo), pa.array(names, pa.string()), pa.array(scores, pa.float64())], names=schema.names)
 
-    return df.select(F.struct(*[df[c] for c in df.columns]).alias("row"), df[text].alias("scanned")).mapInArrow(run, schema)
+    place = df.columns.index(text)
+    return df.select(F.struct(*[df[c] for c in df.columns]).alias("row")).mapInArrow(run, schema)
 
 
 def fold(key: Column, folds: int) -> Column:

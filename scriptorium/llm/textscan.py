@@ -17,7 +17,7 @@ import pyarrow as pa
 
 from scriptorium.llm.shared import lean
 
-SLICE_BYTES = 1 << 20
+SLICE_BYTES, SLICE_ROWS = 1 << 20, 4096
 SHINGLE_WORDS = 5
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 _INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
@@ -49,12 +49,12 @@ def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return (np.frombuffer(data, np.uint8) if data is not None and data.size else np.zeros(0, np.uint8)), at
 
 
-def slices(offsets: np.ndarray, target: int = SLICE_BYTES) -> Iterator[tuple[int, int]]:
-    """Ranges of rows that hold about ``target`` bytes together, one row at least."""
+def slices(offsets: np.ndarray, target: int = SLICE_BYTES, most: int = SLICE_ROWS) -> Iterator[tuple[int, int]]:
+    """Ranges of up to ``most`` rows that hold about ``target`` bytes together, one row at least."""
     rows, lo = len(offsets) - 1, 0
     while lo < rows:
         hi = int(np.searchsorted(offsets, offsets[lo] + target, "right")) - 1
-        hi = min(rows, max(hi, lo + 1))
+        hi = min(rows, max(hi, lo + 1), lo + most)
         yield lo, hi
         lo = hi
 
