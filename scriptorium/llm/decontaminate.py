@@ -5,7 +5,7 @@ of ``PASSAGE_WORDS`` words, one starting every ``PASSAGE_STRIDE``) is a query ag
 ``PART_WORDS`` words is indexed whole and also in parts of at most as many, each an entry with a self-score of its own:
 at every offset some passage holds a part as a whole. All items with an entry that scores at least ``MIN_SHARE``
 of its own self-score in one passage are retrieved. Postings hold BM25 weights divided by the entry's self-score,
-so that one threshold serves all; document frequencies and the mean length are those of whole items. Entries are numbered
+so that one threshold serves all; document frequencies and the mean length are those of whole items, over the whole benchmark. Entries are numbered
 in blocks of ``BLOCK``, and the index has each term's maximum in each block. For all passages of a slice
 at once, the block maxima of the essential terms are added up; the frequent terms, which can add no more
 than ``NON_ESSENTIAL`` to any entry, count by that bound. Only blocks that can reach the threshold are opened,
@@ -22,10 +22,11 @@ copy, and at most ``NEAR`` words before or after the place of any matched 5-gram
 if that has fewer than five words too). An item of fewer than five words in all matches only a document of just these words.
 
 The index is built from the benchmark in pieces of about ``INDEX_ITEMS`` entries, each of which is
-broadcast: its size is bounded however large the benchmark is, but by its longest item. Each piece is matched in one scan.
+broadcast: its size is bounded however large the benchmark is, but by its longest item. Each piece is matched in one scan,
+and where pieces are cut makes no difference to the matches.
 
 Defined results: a null or empty text or item matches nothing; repeated items match each on its own;
-repeated documents are each reported; rows of null item id are skipped; an empty table on either side
+repeated documents are each reported; of an item's entries and passages with the same share the first counts; rows of null item id are skipped; an empty table on either side
 gives an empty result; whole texts of any length are searched; other columns don't take part.
 """
 
@@ -35,13 +36,14 @@ import math
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
-from scriptorium.llm.shared import table
+from scriptorium.llm.shared import drop_table, stored, table
 from scriptorium.llm.textscan import SHINGLE_WORDS as SHINGLE, hash_word, hashed_words, ragged, shingles
 
 PASSAGE_WORDS, PASSAGE_STRIDE = 96, 32
@@ -98,7 +100,16 @@ def count_parts(n_words: int) -> int:
     return -(-n_words // PART_WORDS) if n_words > PART_WORDS else 0
 
 
-def build_index(items: list[tuple[int, str]]) -> Index:
+class Statistics(NamedTuple):
+    """Of all items: how many have words, their mean length, and how many hold a term."""
+
+    items: int
+    mean: float
+    holding: dict[int, int]
+
+
+def build_index(items: list[tuple[int, str]], over: Statistics | None = None) -> Index:
+    """The index of the items, with weights from the statistics ``over``, by default those of the items themselves."""
     index, postings, lengths, owner, whole = Index(), {}, [], [], []
     for item_id, text in items:
         q, a = item_words(text)
@@ -123,15 +134,16 @@ def build_index(items: list[tuple[int, str]]) -> Index:
     if not index.ids:
         return index
     index.owner, count = np.array(owner), len(owner)
-    mean = sum(n for n, w in zip(lengths, whole) if w) / len(index.ids)
+    if over is None:
+        holding = {term: sum(whole[i] for i, _ in found) for term, found in postings.items()}
+        over = Statistics(len(index.ids), sum(n for n, w in zip(lengths, whole) if w) / len(index.ids), holding)
     index.terms = np.array(sorted(postings), np.uint64)
     index.self_score = np.zeros(count)
     lists = []
     for term in index.terms.tolist():
         found = postings[term]
-        items_with = sum(whole[i] for i, _ in found)
-        idf = math.log(1 + (len(index.ids) - items_with + 0.5) / (items_with + 0.5))
-        weights = np.array([idf * n * (K1 + 1) / (n + K1 * (1 - B + B * lengths[i] / mean)) for i, n in found])
+        idf = math.log(1 + (over.items - over.holding[term] + 0.5) / (over.holding[term] + 0.5))
+        weights = np.array([idf * n * (K1 + 1) / (n + K1 * (1 - B + B * lengths[i] / over.mean)) for i, n in found])
         lists.append((np.array([i for i, _ in found]), weights))
         index.self_score[lists[-1][0]] += weights
     index.items = np.concatenate([x for x, _ in lists])
@@ -286,20 +298,25 @@ def match_rows(index: Index, words: np.ndarray, counts: np.ndarray) -> list[tupl
 
 
 def index_pieces(items: DataFrame, key: str = "item_id", text: str = "text", size: int = INDEX_ITEMS) -> Iterator[Index]:
-    held, entries = [], 0
-    for row in items.select(items[key].cast("long").alias("k"), items[text].alias("t")).where("k is not null and t is not null").orderBy("k", "t").toLocalIterator():
+    lower = F.translate(F.col("t"), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    words = F.regexp_extract_all(lower, F.lit(_WORDS.pattern), 0)
+    rows = items.select(items[key].cast("long").alias("k"), items[text].alias("t")).where("k is not null and t is not null")
+    rows = stored(rows.withColumn("words", words).where(F.size("words") > 0).withColumn("no", F.monotonically_increasing_id()), "items")
+    count, mean = rows.agg(F.count("*"), F.avg(F.size("words"))).first()
+    # each item comes with the number of items that hold each of its words
+    held_by = rows.select("no", F.explode(F.array_distinct("words")).alias("word"))
+    holding = held_by.join(held_by.groupBy("word").agg(F.count("*").alias("n")), "word").groupBy("no").agg(F.map_from_entries(F.collect_list(F.struct("word", "n"))).alias("holding"))
+    held, terms, entries = [], {}, 0
+    for row in rows.join(holding, "no").select("k", "t", "holding").orderBy("k", "t").toLocalIterator():
         held.append((row.k, row.t))
+        terms |= {hash_word(w): n for w, n in row.holding.items()}
         entries += 1 + count_parts(sum(1 for _ in _WORDS.finditer(row.t)))
         if entries >= size:
-            yield from _usable(held)
-            held, entries = [], 0
-    yield from _usable(held)
-
-
-def _usable(items: list[tuple[int, str]]) -> Iterator[Index]:
-    index = build_index(items)
-    if index.ids:
-        yield index
+            yield build_index(held, Statistics(count, mean, terms))
+            held, terms, entries = [], {}, 0
+    if held:
+        yield build_index(held, Statistics(count, mean, terms))
+    drop_table(rows)
 
 
 def match_items(df: DataFrame, shared: Broadcast, text: str = "text") -> DataFrame:
@@ -311,19 +328,20 @@ def match_items(df: DataFrame, shared: Broadcast, text: str = "text") -> DataFra
         kind = pa.list_(pa.struct([("item_id", pa.int64()), ("passage", pa.int64()), ("bm25", pa.float64()), ("question_overlap", pa.float64()), ("answer_overlap", pa.float64())]))
         names = [f.name for f in MATCH]
         for batch in batches:
-            for lo, hi, words, counts in hashed_words(batch.column(1)):
+            for lo, hi, words, counts in hashed_words(batch.column(0).field(place)):
                 found: list[list[dict]] = [[] for _ in range(hi - lo)]
                 for row, item, *rest in match_rows(index, words, counts):
                     found[row].append(dict(zip(names, (index.ids[item], *rest))))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(found, kind)], names=schema.names)
 
-    return df.select(F.struct(*[df[c] for c in df.columns]).alias("row"), df[text].alias("scanned")).mapInArrow(match, schema)
+    place = df.columns.index(text)
+    return df.select(F.struct(*[df[c] for c in df.columns]).alias("row")).mapInArrow(match, schema)
 
 
-def find_contamination(docs: DataFrame, items: DataFrame, text: str = "text", item_key: str = "item_id", item_text: str = "text") -> DataFrame:
+def find_contamination(docs: DataFrame, items: DataFrame, text: str = "text", item_key: str = "item_id", item_text: str = "text", size: int = INDEX_ITEMS) -> DataFrame:
     """``row`` and ``match`` for each document and verified item."""
     out, spark = None, docs.sparkSession
-    for index in index_pieces(items, item_key, item_text):
+    for index in index_pieces(items, item_key, item_text, size):
         part = match_items(docs, spark.sparkContext.broadcast(index), text).select("row", F.explode("matches").alias("match"))
         out = part if out is None else out.unionByName(part)
     return out if out is not None else docs.limit(0).select(F.struct(*docs.columns).alias("row"), F.lit(None).cast(MATCH).alias("match"))
