@@ -15,7 +15,8 @@ Kinds, in the order in which spans at one start are listed:
 
 Defined results: a null or empty text has no spans; very long texts are scanned whole;
 repeated rows and null ids are scanned like any other, one result row per input row;
-an empty table gives an empty table; other columns are carried along untouched in ``row``.
+an empty table gives an empty table; other columns are carried along untouched in ``row``. A text is scanned
+in time that grows with its length alone.
 """
 
 from __future__ import annotations
@@ -31,6 +32,8 @@ import ahocorasick
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
+from scriptorium.llm.shared import lean
+
 # The keywords and patterns of the base rules.
 ASSIGN_WORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
@@ -40,6 +43,7 @@ HEX = re.compile(r"[0-9a-f]{32,}")
 # Token formats with something to validate.
 CHECKED = re.compile(r"(?:gh[pousr]|npm)_([A-Za-z0-9]{30})([A-Za-z0-9]{6})(?![A-Za-z0-9])")
 JWT = re.compile(r"(eyJ[A-Za-z0-9_-]{5,})\.[A-Za-z0-9_-]{5,}\.[A-Za-z0-9_-]{10,}")
+JWT_PART = re.compile(r"[A-Za-z0-9_-]*")
 PEM = re.compile(r"-----BEGIN (?:[A-Z]+ )?PRIVATE KEY-----(?:[A-Za-z0-9+/=\s]*?-----END (?:[A-Z]+ )?PRIVATE KEY-----)?")
 BASE62 = "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
 
@@ -104,10 +108,14 @@ def find_secrets(text: str | None) -> list[tuple[int, int, str, int]]:
     for kind, starts in hits.items():
         over = 0
         for start in sorted(starts):
-            if start >= over and (found := _ANCHORED[kind].match(text, start)):
+            if start < over:
+                continue
+            if found := _ANCHORED[kind].match(text, start):
                 over = found.end()
                 if _valid(kind, found):
                     spans.append((start, KINDS.index(kind), kind, over))
+            elif kind == "jwt":  # what follows the run lets no later start in it match either
+                over = JWT_PART.match(text, start).end()
     spans += [(m.start(), 2, "hex", m.end()) for m in HEX.finditer(text)]
     return sorted(spans)
 
@@ -135,10 +143,11 @@ def scan_secrets(df: DataFrame, text: str = "text", redact: bool = False) -> Dat
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = pa.list_(pa.struct([("start", pa.int64()), ("kind_no", pa.int32()), ("kind", pa.string()), ("end", pa.int64())]))
+        lean()
         for batch in batches:
             for lo in range(0, batch.num_rows, 512):
                 part = batch.slice(lo, 512)
-                texts = part.column(1).to_pylist()
+                texts = part.column(0).field(place).to_pylist()
                 found = [find_secrets(x) for x in texts]
                 rows = [[{"start": s, "kind_no": n, "kind": k, "end": e} for s, n, k, e in x] for x in found]
                 columns = [part.column(0), pa.array(rows, kind)]
@@ -146,7 +155,8 @@ def scan_secrets(df: DataFrame, text: str = "text", redact: bool = False) -> Dat
                     columns.append(pa.array([redact_text(x, y) for x, y in zip(texts, found)], pa.string()))
                 yield pa.RecordBatch.from_arrays(columns, names=schema.names)
 
-    return df.select(F.struct(*[df[c] for c in df.columns]).alias("row"), df[text].alias("scanned")).mapInArrow(scan, schema)
+    place = df.columns.index(text)
+    return df.select(F.struct(*[df[c] for c in df.columns]).alias("row")).mapInArrow(scan, schema)
 
 
 def _listed(spans: Column) -> Column:
