@@ -33,7 +33,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 from tokenizers.pre_tokenizers import ByteLevel
 
-from scriptorium.llm.shared import map_file, new_folder, put_file, table
+from scriptorium.llm.shared import lean, map_file, new_folder, put_file, table
 from scriptorium.llm.textscan import word_hashes
 
 LEXICON_WORDS = 1 << 16  # entries of the automaton
@@ -283,10 +283,10 @@ def look_up(parts: dict[str, np.ndarray], words: list[bytes]) -> list[bytes | No
 # --- the corpus -------------------------------------------------------------------------
 
 
-def _texts(part: pa.RecordBatch, column: int) -> Iterator[list[str]]:
-    """The texts of a batch, null as empty, about a million characters at a time."""
+def _texts(column: pa.Array) -> Iterator[list[str]]:
+    """The texts of a column, null as empty, about a million characters at a time."""
     block, size = [], 0
-    for value in part.column(column):
+    for value in column:
         text = value.as_py() or ""
         block.append(text)
         size += len(text)
@@ -399,6 +399,7 @@ def count_pretokens(df: DataFrame, text: str, path: str, table_uri: str) -> Data
     """(word, n) over every whole text: each task counts its own words first, and passes on partial counts when it holds many."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lean()
         vocab, seen, classes = vocabulary(path), Counter(), map_file(table_uri)
 
         def flush() -> pa.RecordBatch:
@@ -407,7 +408,7 @@ def count_pretokens(df: DataFrame, text: str, path: str, table_uri: str) -> Data
             return out
 
         for batch in batches:
-            for block in _texts(batch, 0):
+            for block in _texts(batch.column(0)):
                 words, numbers, _ = split_texts(block, vocab.added, vocab.split_added, classes)
                 for word, n in zip(words, np.bincount(numbers, minlength=len(words)).tolist()):
                     seen[word] += n
@@ -469,10 +470,11 @@ def encode(df: DataFrame, lexicon: str, text: str = "text", path: str | None = N
         schema = T.StructType([row, T.StructField("ids", T.BinaryType())] + [T.StructField("decoded", T.StringType())] * decode)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lean()
         vocab, parts, classes = vocabulary(path), open_transducer(lexicon + "/transducer.bin"), map_file(lexicon + "/classes.bin")
         for batch in batches:
             done = 0
-            for block in _texts(batch, 1):
+            for block in _texts(batch.column(0).field(place)):
                 words, numbers, counts = split_texts(block, vocab.added, vocab.split_added, classes)
                 memo = _memo(lexicon, {w: np.array([i], "<u4").tobytes() for w, i in vocab.added.items()})
                 missing = [w for w in words if w not in memo]
@@ -493,7 +495,8 @@ def encode(df: DataFrame, lexicon: str, text: str = "text", path: str | None = N
                 yield pa.RecordBatch.from_arrays(columns, names=schema.names)
                 done += len(block)
 
-    return df.select(F.struct(*[df[c] for c in df.columns]).alias("row"), df[text].alias("scanned")).mapInArrow(run, schema)
+    place = df.columns.index(text)
+    return df.select(F.struct(*[df[c] for c in df.columns]).alias("row")).mapInArrow(run, schema)
 
 
 def op8_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -25,7 +25,7 @@ import pyarrow as pa
 import tiktoken
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
-from scriptorium.llm.shared import table
+from scriptorium.llm.shared import lean, table
 
 RULES = ("majority", "first")
 NEWLINE = 10
@@ -69,6 +69,7 @@ def count_sections(df: DataFrame, keep: list[str], text: str = "text", rule: str
     many, names = len(columns), schema.names
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lean()
         encoding, sizes = encoder(path)
         for batch in batches:
             at, found = [], []
