@@ -66,7 +66,7 @@ FLUSH_ENTRIES = 1 << 21
 BUCKET_ENTRIES = 1 << 19
 SEEN_SETS = 1 << 18
 BLOCK_SETS, BLOCK_SHINGLES = 1024, 1 << 20
-GROUP_SHINGLES = 1 << 16
+GROUP_SHINGLES = 1 << 15
 NEIGHBOURS, PARTNERS = 6, 3
 
 
@@ -603,11 +603,13 @@ def link_documents(df: DataFrame, key: str = "doc_id", text: str = "text") -> Da
     larger = F.greatest("n_a", "n_b")
     own = F.when(larger <= SMALL, LAST_BAND).otherwise(F.size(F.filter(F.array(*[F.lit(x).cast("long") for x in lows]), lambda x: x <= larger)) - 1)
     summed = shared.where("code = -1").groupBy("a", "b", "band", "budget_a", "budget_b").agg(F.sum("times").alias("times"))
-    size_of = lambda c: sizes.select(F.col("cls").alias(c), F.col("n").alias("n_" + c))
-    fitting = summed.join(size_of("a"), "a").join(size_of("b"), "b").where("4 * n_a >= 3 * n_b and 4 * n_b >= 3 * n_a")
-    crowd = hot.groupBy("cls", "band").agg(F.count("*").alias("many"))
-    of = lambda c: crowd.select(F.col("cls").alias(c), "band", F.col("many").alias("many_" + c))
-    cold = fitting.where(F.floor(F.col("band") / HASHES) == own).join(of("a"), ["a", "band"], "left").join(of("b"), ["b", "band"], "left").fillna(0, ["many_a", "many_b"])
+    # a class comes with its size and how many much-shared signatures it has by band
+    crowd = hot.groupBy("cls", "band").agg(F.count("*").alias("many")).groupBy("cls").agg(F.map_from_entries(F.collect_list(F.struct("band", "many"))).alias("crowd"))
+    known = sizes.join(crowd, "cls", "left")
+    of = lambda c: known.select(F.col("cls").alias(c), F.col("n").alias("n_" + c), F.col("crowd").alias("crowd_" + c))
+    fitting = summed.join(of("a"), "a").join(of("b"), "b").where("4 * n_a >= 3 * n_b and 4 * n_b >= 3 * n_a")
+    many = lambda c: F.coalesce(F.try_element_at("crowd_" + c, F.col("band")), F.lit(0)).alias("many_" + c)
+    cold = fitting.where(F.floor(F.col("band") / HASHES) == own).select("a", "b", "times", "budget_a", "budget_b", many("a"), many("b"))
     gone = lambda c: F.least(F.greatest(F.col("budget_" + c), F.lit(0)), F.col("many_" + c))
     # what either set leaves out is the top of one order, so that the longer of both tops holds all shared ones left out
     enough = F.greatest("budget_a", "budget_b") + 1 - F.greatest(gone("a"), gone("b"))
