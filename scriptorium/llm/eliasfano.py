@@ -84,8 +84,11 @@ class Monotone:
             return np.zeros(0, np.uint64)
         return (self._select(i, True) - i).astype(np.uint64) << np.uint64(self.low_bits) | self._low(i)
 
-    def find(self, values: np.ndarray) -> np.ndarray:
-        """The place of each value, -1 where the sequence lacks it: its high bits give a run, searched by the low bits."""
+    def find(self, values: np.ndarray, first: np.ndarray | None = None, end: np.ndarray | None = None) -> np.ndarray:
+        """The place of each value, -1 where the sequence lacks it: its high bits give a run, searched by the low bits.
+
+        With ``first`` and ``end``, only places from the one up to the other are searched for each value.
+        """
         out = np.full(len(values), -1, np.int64)
         if not len(values) or not self.n:
             return out
@@ -96,7 +99,10 @@ class Monotone:
         high, want = high[inside], values[inside] & np.uint64((1 << self.low_bits) - 1)
         lo = np.where(high > 0, self._select(np.maximum(high - 1, 0), False) + 1 - high, 0)
         hi = self._select(high, False) - high
-        lo, hi, top = lo.copy(), np.minimum(hi, self.n), np.minimum(hi, self.n)
+        lo, hi = lo.copy(), np.minimum(hi, self.n)
+        if first is not None:
+            lo, hi = np.maximum(lo, first[inside]), np.minimum(hi, end[inside])
+        top = hi.copy()
         live = np.flatnonzero(lo < hi)
         while len(live):
             middle = (lo[live] + hi[live]) >> 1

@@ -3,13 +3,15 @@
 The model is an interpolated bigram model with modified absolute discounting over the unigrams.
 Its trie has two levels, in shards of a shared folder that tasks memory-map:
 
-* words: an Elias-Fano sequence of hashes with their counts (:mod:`scriptorium.llm.ngrams`);
+* words: an Elias-Fano sequence of hashes, one of running sums of their counts (:mod:`scriptorium.llm.ngrams`),
+  and two bytes for each word's quantised probability;
 * successors: for the contexts of a shard, an Elias-Fano sequence of context numbers, one of
   pointers to where each context's successors start, and one of all successors, each relative to its
   context (context rank * vocabulary + word), with a byte for its quantised discounted probability and two for
   each context's back-off weight.
 
-A bigram is found by a successor search relative to its context. p(w | c) is the successor's probability,
+A bigram is found by a successor search relative to its context, between the pointers of that context. Bigram counts
+are kept in files of their own only until their shard of the trie is whole. p(w | c) is the successor's probability,
 if it has one, plus the context's back-off weight times p(w). Discounted unigram mass goes to the one class of
 unknown words, so that the probabilities of the vocabulary and that class add up to 1. An unknown word as context
 backs off with weight 1. Quantisation is uniform in the logarithm.
@@ -32,11 +34,12 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from scriptorium.llm.eliasfano import Monotone, pack_monotone
 from scriptorium.llm.langid import fold
-from scriptorium.llm.ngrams import count_pairs, count_words, merged, open_vocabulary, pair_shard, pairs_of, tokens
-from scriptorium.llm.shared import cut, map_file, new_folder, put_file, table
+from scriptorium.llm.ngrams import count_pairs, count_shards, count_words, merged, open_vocabulary, pair_shard, tokens, vocabulary_offsets
+from scriptorium.llm.shared import drop_file, has_file, map_file, new_folder, put_file, stored, table
 
 LEVELS = 255  # of a quantised probability
 LEAST = -12.0  # its least base-10 logarithm
+WORD_LEVELS, WORD_LEAST = 65535, -20.0  # the same of a word's
 HEAVY_SHARE = 0.1  # a context with more than this part of a mean shard's tokens is dealt out
 
 
@@ -48,13 +51,14 @@ class Model:
     heavy: tuple[int, ...]
     heavy_weight: tuple[float, ...]
     once_discount: float  # of unigrams
+    filled: frozenset[int] = frozenset()  # the shards that have bigrams
 
     @property
     def words(self) -> int:
         return self.offsets[-1]
 
     def unigram(self, counts: np.ndarray) -> np.ndarray:
-        """p(w) by count; a count of 0 is the class of unknown words."""
+        """p(w) by count, before it is quantised; a count of 0 is the class of unknown words."""
         total = max(1, self.tokens)
         unknown = self.once_discount * self.words / total if self.tokens else 1.0
         return np.where(counts > 0, (counts - self.once_discount) / total, unknown)
@@ -79,18 +83,21 @@ def _runs(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 def train(texts: DataFrame) -> Model:
     """Learns from a one-column frame of texts."""
     spark = texts.sparkSession
-    folder, shards = new_folder(spark, "trie"), int(spark.conf.get("spark.sql.shuffle.partitions"))
+    folder, shards = new_folder(spark, "trie"), count_shards(texts)
     stats = {r.shard: r for r in count_words(texts, folder, shards)}
-    offsets = tuple(np.cumsum([0, *(stats[k].words if k in stats else 0 for k in range(shards))]).tolist())
+    offsets = vocabulary_offsets(stats, shards)
     total, once, twice = (sum(getattr(r, name) for r in stats.values()) for name in ("tokens", "once", "twice"))
     once_discount = once / (once + 2 * twice) if once and twice else 0.5
     limit = HEAVY_SHARE * total / shards
+    model = Model(folder, offsets, total, (), (), once_discount)
 
     def heavy_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        vocabulary = open_vocabulary(folder, offsets)
         for batch in batches:
             for shard in batch.column(0).to_pylist():
-                data = map_file(f"{folder}/words-{shard:05d}.bin")
-                counts = data[Monotone(data).end :].view(np.int64)
+                counts = vocabulary.counts_of(shard)
+                level = np.round(np.maximum(np.log10(model.unigram(counts)), WORD_LEAST) / WORD_LEAST * WORD_LEVELS)
+                put_file(f"{folder}/chances-{shard:05d}.bin", [level.astype("<u2").tobytes()])
                 at = np.flatnonzero(counts > limit)
                 yield pa.RecordBatch.from_arrays([pa.array(at + offsets[shard], pa.int64()), pa.array(counts[at], pa.int64())], names=["id", "n"])
 
@@ -111,7 +118,7 @@ def train(texts: DataFrame) -> Model:
         return pa.Table.from_pylist([row], schema=pa.schema([("shard", pa.int32()), *((k, pa.list_(pa.int64())) for k in ("n", "contexts", "sums", "ones", "twos", "threes"))]))
 
     counts = count_pairs(texts, folder, offsets, heavy).groupBy("shard").applyInArrow(write_counts, "shard int, " + ", ".join(f"{k} array<long>" for k in ("n", "contexts", "sums", "ones", "twos", "threes")))
-    counts = cut(counts)
+    counts = stored(counts, "counts")
     n = [sum(r.n[k] for r in counts.select("n").collect()) for k in range(4)]  # a row for each shard
     d = discounts(n) if counts is not None and any(n) else (0.5, 0.75, 0.9)
     parts = counts.select(F.explode(F.arrays_zip("contexts", "sums", "ones", "twos", "threes")).alias("x")).select("x.*").groupBy("contexts").agg(*[F.sum(k).alias(k) for k in ("sums", "ones", "twos", "threes")])
@@ -123,7 +130,12 @@ def train(texts: DataFrame) -> Model:
         many, many_sums = np.array(heavy, np.uint64), np.array(sums, np.int64)
         for batch in batches:
             for shard in batch.column(0).to_pylist():
-                data = map_file(f"{folder}/pairs-{shard:05d}.bin")
+                raw = f"{folder}/pairs-{shard:05d}.bin"
+                if has_file(f"{folder}/trie-{shard:05d}.bin"):  # by an attempt of this task before, which may have dropped the counts
+                    drop_file(raw)
+                    yield pa.RecordBatch.from_arrays([pa.array([shard], pa.int32())], names=["shard"])
+                    continue
+                data = map_file(raw)
                 size = int(data[:8].view(np.int64)[0])
                 keys, counts = data[8 : 8 + 8 * size].view(np.uint64), data[8 + 8 * size :].view(np.int64)
                 context, opens, number = _runs(keys)
@@ -137,11 +149,12 @@ def train(texts: DataFrame) -> Model:
                 pieces = [pack_monotone(context, words + 1), pack_monotone(np.append(opens, size), size + 1), pack_monotone(relative, len(context) * words)]
                 extra = [np.round(back * 65535).astype("<u2").tobytes(), level.tobytes()]
                 put_file(f"{folder}/trie-{shard:05d}.bin", [x + b"\0" * (-len(x) % 8) for x in [*pieces, *extra]])
+                del data, keys, counts
+                drop_file(raw)
                 yield pa.RecordBatch.from_arrays([pa.array([shard], pa.int32())], names=["shard"])
 
-    built = cut(counts.select("shard").repartition(shards, "shard").mapInArrow(write_trie, "shard int"))
-    built.count()
-    return Model(folder, offsets, total, heavy, weights, once_discount)
+    built = counts.select("shard").repartition(shards, "shard").mapInArrow(write_trie, "shard int").collect()  # a row for each shard
+    return Model(folder, offsets, total, heavy, weights, once_discount, frozenset(r.shard for r in built))
 
 
 class Trie:
@@ -164,28 +177,36 @@ class Trie:
         back = np.where(rank >= 0, self.back[np.maximum(rank, 0)] / 65535 if len(self.back) else 1.0, 1.0)
         chance = np.zeros(len(context))
         try_ = np.flatnonzero((rank >= 0) & (word >= 0))
-        at = self.successors.find(rank[try_].astype(np.uint64) * self.words + word[try_].astype(np.uint64))
+        first, end = (self.pointers.get(rank[try_] + k).astype(np.int64) for k in (0, 1))
+        at = self.successors.find(rank[try_].astype(np.uint64) * self.words + word[try_].astype(np.uint64), first, end)
         hit = at >= 0
         chance[try_[hit]] = 10 ** (self.level[at[hit]] / LEVELS * LEAST)
         return chance, back
 
-    def successors_of(self, rank: int) -> np.ndarray:
-        """The words that follow a context, by its rank."""
-        lo, hi = self.pointers.get(np.array([rank, rank + 1])).astype(np.int64).tolist()
-        return (self.successors.get(np.arange(lo, hi)) - np.uint64(rank) * self.words).astype(np.int64)
+
+@functools.lru_cache(maxsize=4096)
+def open_trie(folder: str, shard: int, words: int) -> Trie:
+    return Trie(f"{folder}/trie-{shard:05d}.bin", words)
 
 
 @functools.lru_cache(maxsize=4096)
-def open_trie(folder: str, shard: int, words: int) -> Trie | None:
-    try:
-        return Trie(f"{folder}/trie-{shard:05d}.bin", words)
-    except FileNotFoundError:  # a shard without bigrams
-        return None
+def open_chances(folder: str, shard: int) -> np.ndarray:
+    return map_file(f"{folder}/chances-{shard:05d}.bin").view("<u2")
+
+
+def word_probabilities(model: Model, ids: np.ndarray) -> np.ndarray:
+    """The quantised p(w) of words by number; of -1, that of the class of unknown words."""
+    out = np.full(len(ids), float(model.unigram(np.zeros(1, np.int64))[0]))
+    offsets = np.array(model.offsets)
+    shard = np.searchsorted(offsets, ids, "right") - 1
+    for k in np.unique(shard[ids >= 0]).tolist():
+        at = np.flatnonzero((shard == k) & (ids >= 0))
+        out[at] = 10 ** (open_chances(model.folder, k)[ids[at] - offsets[k]] / WORD_LEVELS * WORD_LEAST)
+    return out
 
 
-def token_probabilities(model: Model, ids: np.ndarray, counts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """p(token | token before) for texts of ``sizes`` tokens, given numbers and counts of the tokens."""
-    lower = model.unigram(counts)
+def token_probabilities(model: Model, ids: np.ndarray, lower: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """p(token | token before) for texts of ``sizes`` tokens, given numbers and probabilities of the tokens."""
     if not model.tokens:
         return np.ones(len(ids))
     offsets, heavy = np.array(model.offsets), np.array(model.heavy, np.int64)
@@ -200,11 +221,11 @@ def token_probabilities(model: Model, ids: np.ndarray, counts: np.ndarray, sizes
     order = np.argsort(shard, kind="stable")
     cuts = np.searchsorted(shard[order], np.arange(len(offsets)))
     for k in np.flatnonzero(cuts[1:] > cuts[:-1]).tolist():
+        if k not in model.filled:
+            continue
         at = live[order[cuts[k] : cuts[k + 1]]]
-        trie = open_trie(model.folder, k, model.words)
-        if trie is not None:
-            word = distinct[at] & 0xFFFFFFFF
-            chance[at], back[at] = trie.query(distinct[at] >> 32, np.where(word == 0xFFFFFFFF, -1, word))
+        word = distinct[at] & 0xFFFFFFFF
+        chance[at], back[at] = open_trie(model.folder, k, model.words).query(distinct[at] >> 32, np.where(word == 0xFFFFFFFF, -1, word))
     of = distinct >> 32
     at = np.minimum(np.searchsorted(heavy, of), len(heavy) - 1)
     back = np.where((heavy[at] == of) & (distinct >= 0), np.array(model.heavy_weight)[at], back)
@@ -218,16 +239,19 @@ def score_texts(df: DataFrame, model: Model, text: str = "text") -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary = open_vocabulary(model.folder, model.offsets)
         for batch in batches:
-            for lo, hi, hashes, sizes in tokens(batch.column(1)):
+            for lo, hi, hashes, sizes in tokens(batch.column(0).field(at)):
                 distinct, place = np.unique(hashes, return_inverse=True)
-                ids, counts = (x[place] for x in vocabulary.look_up(distinct))
+                numbers, counts = vocabulary.look_up(distinct)
+                lower = word_probabilities(model, numbers)[place]
+                ids, counts = numbers[place], counts[place]
                 opens = np.cumsum(sizes) - sizes
                 base = np.add.reduceat(np.log10((counts + 1) / (model.tokens + model.words + 1)), opens)
-                score = np.add.reduceat(np.log10(token_probabilities(model, ids, counts, sizes)), opens)
+                score = np.add.reduceat(np.log10(token_probabilities(model, ids, lower, sizes)), opens)
                 columns = [sizes, np.add.reduceat((counts > 0).astype(np.int64), opens), base, score]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), *(pa.array(c) for c in columns)], names=schema.names)
 
-    return df.select(F.struct(*[df[c] for c in df.columns]).alias("row"), df[text].alias("scanned")).mapInArrow(run, schema)
+    at = df.columns.index(text)
+    return df.select(F.struct(*[df[c] for c in df.columns]).alias("row")).mapInArrow(run, schema)
 
 
 def op6_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -10,12 +10,13 @@ tokens are dealt out over all shards by their own hash.
 from __future__ import annotations
 
 import functools
+import math
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Row
+from pyspark.sql import DataFrame, Row, functions as F
 
 from scriptorium.llm.eliasfano import Monotone, pack_monotone
 from scriptorium.llm.shared import map_file, put_file
@@ -23,9 +24,24 @@ from scriptorium.llm.textscan import hashed_words, mix
 
 END = np.uint64(0x9AE16A3B2F90404F)  # the token after a text's last word
 HELD = 1 << 20  # distinct entries that a task gathers before it sends them
+SHARD_BYTES = 16 << 20  # of text, for which there is about a shard
 PACKED = "shard int, keys binary, counts binary"
 
 
+def count_shards(texts: DataFrame) -> int:
+    """How many shards the counts of a one-column frame of texts take: by the size of the texts, and at least as many as shuffles have partitions."""
+    size = texts.agg(F.sum(F.octet_length(texts.columns[0]))).first()[0] or 0
+    return max(int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil(size / SHARD_BYTES))
+
+
+def vocabulary_offsets(stats: dict[int, Row], shards: int) -> tuple[int, ...]:
+    """The number of each shard's first word, and of all words; from the rows that :func:`count_words` gave."""
+    offsets = tuple(np.cumsum([0, *(stats[k].words if k in stats else 0 for k in range(shards))]).tolist())
+    if offsets[-1] >= 1 << 32:
+        raise ValueError(f"{offsets[-1]} distinct words, more than 32 bits can number")
+    return offsets
+
+
 def shard_of(hashes: np.ndarray, shards: int) -> np.ndarray:
     return ((hashes >> np.uint64(40)) * np.uint64(shards) >> np.uint64(24)).astype(np.int64)
 
@@ -98,15 +114,20 @@ class Vocabulary:
 
     def __init__(self, folder: str, offsets: tuple[int, ...]):
         self.folder, self.offsets, self.shards = folder, np.array(offsets, np.int64), len(offsets) - 1
-        self._open: dict[int, tuple[Monotone, np.ndarray]] = {}
+        self._open: dict[int, tuple[Monotone, Monotone]] = {}
 
-    def _shard(self, k: int) -> tuple[Monotone, np.ndarray]:
+    def _shard(self, k: int) -> tuple[Monotone, Monotone]:
+        """The words of a shard, and the running sums of their counts."""
         if k not in self._open:
             data = map_file(f"{self.folder}/words-{k:05d}.bin")
             words = Monotone(data)
-            self._open[k] = words, data[words.end :].view(np.int64)
+            self._open[k] = words, Monotone(data, words.end + -words.end % 8)
         return self._open[k]
 
+    def counts_of(self, k: int) -> np.ndarray:
+        sums = self._shard(k)[1]
+        return np.diff(sums.get(np.arange(sums.n)).astype(np.int64))
+
     def look_up(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Number (-1: unknown) and count of each word; ``hashes`` are sorted."""
         ids, counts = np.full(len(hashes), -1, np.int64), np.zeros(len(hashes), np.int64)
@@ -114,12 +135,13 @@ class Vocabulary:
         cuts = np.searchsorted(shard, np.arange(self.shards + 1))
         for k in np.flatnonzero(cuts[1:] > cuts[:-1]).tolist():
             if self.offsets[k + 1] > self.offsets[k]:
-                words, count = self._shard(k)
+                words, sums = self._shard(k)
                 part = slice(cuts[k], cuts[k + 1])
                 at = words.find(hashes[part] - shard_low(k, self.shards))
                 known = at >= 0
                 ids[part] = np.where(known, at + self.offsets[k], -1)
-                counts[part] = np.where(known, count[np.maximum(at, 0)], 0)
+                at = np.maximum(at, 0)
+                counts[part] = np.where(known, (sums.get(at + 1) - sums.get(at)).astype(np.int64), 0)
         return ids, counts
 
 
@@ -144,7 +166,9 @@ def count_words(texts: DataFrame, folder: str, shards: int) -> list[Row]:
         keys, counts = merged(table)
         low = shard_low(shard, shards)
         universe = int(shard_low(shard + 1, shards) - low) if shard + 1 < shards else (1 << 64) - int(low)
-        put_file(f"{folder}/words-{shard:05d}.bin", [pack_monotone(keys - low, universe), counts.tobytes()])
+        sums = np.concatenate([[0], np.cumsum(counts)])
+        pieces = [pack_monotone(keys - low, universe), pack_monotone(sums, int(sums[-1]) + 1)]
+        put_file(f"{folder}/words-{shard:05d}.bin", [x + b"\0" * (-len(x) % 8) for x in pieces])
         return pa.table({"shard": pa.array([shard], pa.int32()), "words": [len(keys)], "tokens": [int(counts.sum())], "once": [int((counts == 1).sum())], "twice": [int((counts == 2).sum())]})
 
     packed = texts.mapInArrow(run, PACKED)

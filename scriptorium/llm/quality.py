@@ -4,8 +4,8 @@ The model is trained on trusted text. Its tables, written to a shared folder in
 of bigrams by context, and of the distinct contexts of each word. A document's distinct bigrams are joined with
 the sorted count shards, its words with theirs, slice by slice of the scan; no document is shuffled.
 
-p(w | c) = (n(c w) - D) / n(c) + backoff(c) * p(w), where p(w) comes from the number of contexts of w and D from the
-counts of counts. The mass that discounting takes from p(w) is spread over as many unknown words as the
+p(w | c) = (n(c w) - D) / n(c) + backoff(c) * p(w), where p(w) comes from the number of contexts of w, discounted too. At each
+order D is one of three discounts, for counts of 1, 2 and more, from the counts of counts. The mass that discounting takes from p(w) is spread over as many unknown words as the
 vocabulary has known ones, so that a text of unknown words is improbable.
 
 A document is kept if its perplexity is no more than its language's threshold: ``MARGIN`` times the ``QUANTILE``
@@ -30,14 +30,15 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 from scriptorium.llm.langid import fold
 from scriptorium.llm.lm import discounts
 from scriptorium.llm.lookup import filter_rows, write_lookup
-from scriptorium.llm.ngrams import PACKED, Vocabulary, _gather, count_pairs, count_words, merged, open_vocabulary, pair_shard, tokens
-from scriptorium.llm.shared import cut, map_file, new_folder, put_file, table
+from scriptorium.llm.ngrams import PACKED, Vocabulary, _gather, count_pairs, count_shards, count_words, merged, open_vocabulary, pair_shard, tokens, vocabulary_offsets
+from scriptorium.llm.shared import map_file, new_folder, put_file, stored, table
 
 QUANTILE = 0.99
 MARGIN = 1.25
 ACCURACY = 10_000
 FOLDS, HELD_FOLD = 5, 0
 HEAVY_SHARE = 0.1
+LARGE = 2**32 - 1  # counts from here on take more than four bytes
 
 
 @dataclass(frozen=True)
@@ -46,10 +47,12 @@ class CountModel:
     offsets: tuple[int, ...]
     pairs: int  # distinct bigrams
     discount: tuple[float, float, float]
-    lower_discount: float
+    lower_discount: tuple[float, float, float]
+    unknown: float  # p(w) of one of the unknown words
     heavy: tuple[int, ...]
     heavy_back: tuple[float, ...]
     heavy_sums: tuple[int, ...]
+    filled: frozenset[int]  # the shards that have bigrams
 
 
 def _contexts(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -60,21 +63,20 @@ def _contexts(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndar
     return context[opens], np.add.reduceat(counts, opens), kinds
 
 
-def train(texts: DataFrame) -> CountModel | None:
+def train(texts: DataFrame, shards: int) -> CountModel | None:
     """Counts a one-column frame of trusted texts; None if it has no rows."""
-    spark = texts.sparkSession
-    folder, shards = new_folder(spark, "quality"), int(spark.conf.get("spark.sql.shuffle.partitions"))
+    spark, folder = texts.sparkSession, new_folder(texts.sparkSession, "quality")
     stats = {r.shard: r for r in count_words(texts, folder, shards)}
     if not stats:
         return None
-    offsets = tuple(np.cumsum([0, *(stats[k].words if k in stats else 0 for k in range(shards))]).tolist())
+    offsets = vocabulary_offsets(stats, shards)
     limit = HEAVY_SHARE * sum(r.tokens for r in stats.values()) / shards
 
     def heavy_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary = open_vocabulary(folder, offsets)
         for batch in batches:
             for shard in batch.column(0).to_pylist():
-                yield pa.RecordBatch.from_arrays([pa.array(np.flatnonzero(vocabulary._shard(shard)[1] > limit) + offsets[shard], pa.int64())], names=["id"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.flatnonzero(vocabulary.counts_of(shard) > limit) + offsets[shard], pa.int64())], names=["id"])
 
     found = spark.createDataFrame([(k,) for k in sorted(stats)], "shard int").mapInArrow(heavy_words, "id long").collect()  # at most 1 / HEAVY_SHARE a shard
     heavy = tuple(sorted({*(r.id for r in found), offsets[-1]}))
@@ -83,16 +85,20 @@ def train(texts: DataFrame) -> CountModel | None:
     def write(table_: pa.Table) -> pa.Table:
         shard = table_.column("shard")[0].as_py()
         keys, counts = merged(table_)
-        put_file(f"{folder}/pairs-{shard:05d}.bin", [np.array([len(keys)], np.int64).tobytes(), keys.tobytes(), np.minimum(counts, 2**32 - 1).astype(np.uint32).tobytes()])
+        large = np.flatnonzero(counts >= LARGE)  # their counts follow whole
+        short = np.minimum(counts, LARGE).astype(np.uint32).tobytes()
+        pieces = [np.array([len(keys), len(large)], np.int64).tobytes(), keys.tobytes(), large.tobytes(), counts[large].tobytes(), short]
+        put_file(f"{folder}/pairs-{shard:05d}.bin", pieces)
         context, sums, kinds = _contexts(keys, counts)
-        table = np.minimum(np.column_stack([sums, kinds]), 2**32 - 1).astype(np.uint32)
-        put_file(f"{folder}/sums-{shard:05d}.bin", [np.array([len(context)], np.int64).tobytes(), context.tobytes(), table.tobytes()])
+        put_file(f"{folder}/sums-{shard:05d}.bin", [np.array([len(context)], np.int64).tobytes(), context.tobytes(), np.column_stack([sums, kinds]).astype(np.int64).tobytes()])
         which = np.flatnonzero(np.isin(context, np.array(heavy)))
         row = {"shard": shard, "n": [len(keys), *(int((counts == k).sum()) for k in (1, 2, 3, 4))], "contexts": context[which].tolist(), "sums": sums[which].tolist()}
         row |= {name: kinds[which, k].tolist() for k, name in enumerate(lists[3:])}
         return pa.Table.from_pylist([row], schema=pa.schema([("shard", pa.int32()), *((k, pa.list_(pa.int64())) for k in lists)]))
 
-    counts = cut(count_pairs(texts, folder, offsets, heavy).groupBy("shard").applyInArrow(write, "shard int, " + ", ".join(f"{k} array<long>" for k in lists)))
+    counts = count_pairs(texts, folder, offsets, heavy).groupBy("shard").applyInArrow(write, "shard int, " + ", ".join(f"{k} array<long>" for k in lists))
+    counts = stored(counts, "counts")
+    filled = frozenset(r.shard for r in counts.select("shard").collect())
     n = np.sum([r.n for r in counts.select("n").collect()], axis=0).tolist()  # a row for each shard
     d = discounts(n[1:])
     parts = counts.select(F.explode(F.arrays_zip(*lists[1:])).alias("x")).select("x.*").groupBy("contexts").agg(*[F.sum(k).alias(k) for k in lists[2:]])
@@ -102,8 +108,7 @@ def train(texts: DataFrame) -> CountModel | None:
         def each() -> Iterator[tuple[np.ndarray, np.ndarray]]:
             for batch in batches:
                 for shard in batch.column(0).to_pylist():
-                    keys = open_pairs(folder, shard)[0]
-                    yield np.unique(np.asarray(keys) & np.uint64(0xFFFFFFFF), return_counts=True)
+                    yield np.unique(np.asarray(Pairs(folder, shard).keys) & np.uint64(0xFFFFFFFF), return_counts=True)
 
         cuts = np.array(offsets)
         yield from _gather(each(), lambda k: np.searchsorted(cuts, k.astype(np.int64), "right") - 1)
@@ -111,27 +116,37 @@ def train(texts: DataFrame) -> CountModel | None:
     def write_continuations(table_: pa.Table) -> pa.Table:
         shard = table_.column("shard")[0].as_py()
         keys, values = merged(table_)
-        out = np.zeros(offsets[shard + 1] - offsets[shard], np.uint32)
+        out = np.zeros(offsets[shard + 1] - offsets[shard], np.int64)
         out[keys.astype(np.int64) - offsets[shard]] = values
         put_file(f"{folder}/contexts-{shard:05d}.bin", [out.tobytes()])
-        return pa.table({"shard": pa.array([shard], pa.int32()), "once": [int((values == 1).sum())], "twice": [int((values == 2).sum())]})
+        return pa.Table.from_pylist([{"shard": shard, "n": [*(int((values == k).sum()) for k in (1, 2, 3, 4)), len(values)]}], schema=pa.schema([("shard", pa.int32()), ("n", pa.list_(pa.int64()))]))
 
-    lower = counts.select("shard").repartition(shards, "shard").mapInArrow(continuations, PACKED).groupBy("shard").applyInArrow(write_continuations, "shard int, once long, twice long").collect()
-    once, twice = sum(r.once for r in lower), sum(r.twice for r in lower)
+    lower = counts.select("shard").repartition(shards, "shard").mapInArrow(continuations, PACKED).groupBy("shard").applyInArrow(write_continuations, "shard int, n array<long>").collect()
+    m = np.sum([r.n for r in lower], axis=0).tolist()
+    e = discounts(m[:4])
+    taken = e[0] * m[0] + e[1] * m[1] + e[2] * (m[4] - m[0] - m[1])
     return CountModel(
-        folder, offsets, n[0], d, once / (once + 2 * twice) if once and twice else 0.5, heavy,
-        tuple(known.get(c, (1, 1.0))[1] for c in heavy), tuple(known.get(c, (1, 1.0))[0] for c in heavy),
+        folder, offsets, n[0], d, e, taken / n[0] / offsets[-1], heavy,
+        tuple(known.get(c, (1, 1.0))[1] for c in heavy), tuple(known.get(c, (1, 1.0))[0] for c in heavy), filled,
     )
 
 
-def open_pairs(folder: str, shard: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+class Pairs:
     """A shard's bigrams and their counts; its contexts and, for each, its tokens and its bigrams by count."""
-    try:
+
+    def __init__(self, folder: str, shard: int):
         data, sums = map_file(f"{folder}/pairs-{shard:05d}.bin"), map_file(f"{folder}/sums-{shard:05d}.bin")
-    except FileNotFoundError:  # a shard without bigrams
-        return np.zeros(0, np.uint64), np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros((0, 4), np.uint32)
-    size, many = int(data[:8].view(np.int64)[0]), int(sums[:8].view(np.int64)[0])
-    return data[8 : 8 + 8 * size].view(np.uint64), data[8 + 8 * size :].view(np.uint32), sums[8 : 8 + 8 * many].view(np.int64), sums[8 + 8 * many :].view(np.uint32).reshape(-1, 4)
+        (size, large), many = data[:16].view(np.int64).tolist(), int(sums[:8].view(np.int64)[0])
+        at = 16 + 8 * size
+        self.keys, self.large, self.wholes = data[16:at].view(np.uint64), data[at : at + 8 * large].view(np.int64), data[at + 8 * large : at + 16 * large].view(np.int64)
+        self.short = data[at + 16 * large :].view(np.uint32)
+        self.contexts, self.sums = sums[8 : 8 + 8 * many].view(np.int64), sums[8 + 8 * many :].view(np.int64).reshape(-1, 4)
+
+    def count(self, at: np.ndarray) -> np.ndarray:
+        out = self.short[at].astype(np.int64)
+        big = np.flatnonzero(out == LARGE)
+        out[big] = self.wholes[np.searchsorted(self.large, at[big])]
+        return out
 
 
 class Tables:
@@ -140,7 +155,7 @@ class Tables:
     def __init__(self, model: CountModel):
         self.model, self.vocabulary = model, Vocabulary(model.folder, model.offsets)
         self.offsets, self.heavy = np.array(model.offsets), np.array(model.heavy, np.int64)
-        self._pairs: dict[int, tuple[np.ndarray, ...]] = {}
+        self._pairs: dict[int, Pairs] = {}
         self._contexts: dict[int, np.ndarray] = {}
 
     def lower(self, ids: np.ndarray) -> np.ndarray:
@@ -149,10 +164,11 @@ class Tables:
         shard = np.searchsorted(self.offsets, ids, "right") - 1
         for k in np.unique(shard[ids >= 0]).tolist():
             if k not in self._contexts:
-                self._contexts[k] = map_file(f"{model.folder}/contexts-{k:05d}.bin").view(np.uint32)
+                self._contexts[k] = map_file(f"{model.folder}/contexts-{k:05d}.bin").view(np.int64)
             at = np.flatnonzero((shard == k) & (ids >= 0))
-            out[at] = np.maximum(self._contexts[k][ids[at] - self.offsets[k]] - model.lower_discount, 0)
-        return np.where(ids >= 0, np.maximum(out, 1e-3), model.lower_discount) / max(1, model.pairs)
+            n = self._contexts[k][ids[at] - self.offsets[k]]  # 1 at least: a word of the vocabulary follows another or opens a text
+            out[at] = (n - np.array(model.lower_discount)[np.minimum(n, 3) - 1]) / model.pairs
+        return np.where(ids >= 0, out, model.unknown)
 
     def join(self, pairs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Discounted probability and back-off weight for sorted distinct bigrams whose contexts are known."""
@@ -163,15 +179,15 @@ class Tables:
         heavy_at = np.minimum(np.searchsorted(self.heavy, context), len(self.heavy) - 1)
         is_heavy = self.heavy[heavy_at] == context
         for k in np.unique(shard).tolist():
-            if k not in self._pairs:
-                self._pairs[k] = open_pairs(model.folder, k)
-            keys, counts, contexts, sums = self._pairs[k]
-            if not len(keys):
+            if k not in model.filled:
                 continue
+            if k not in self._pairs:
+                self._pairs[k] = Pairs(model.folder, k)
+            keys, contexts, sums = self._pairs[k].keys, self._pairs[k].contexts, self._pairs[k].sums
             at = np.flatnonzero(shard == k)
             place = np.minimum(np.searchsorted(keys, pairs[at]), len(keys) - 1)
             hit = keys[place] == pairs[at]
-            n = np.where(hit, counts[place], 0).astype(np.int64)
+            n = np.where(hit, self._pairs[k].count(place), 0)
             place = np.minimum(np.searchsorted(contexts, context[at]), len(contexts) - 1)
             seen = contexts[place] == context[at]
             whole = np.where(seen, sums[place, 0], 1).astype(np.float64)
@@ -212,11 +228,12 @@ def perplexities(df: DataFrame, model: CountModel, text: str = "text") -> DataFr
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tables = open_tables(model)
         for batch in batches:
-            for lo, hi, hashes, sizes in tokens(batch.column(1)):
+            for lo, hi, hashes, sizes in tokens(batch.column(0).field(at)):
                 total = np.add.reduceat(tables.log_probabilities(hashes, sizes), np.cumsum(sizes) - sizes)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(sizes), pa.array(10 ** np.minimum(300, -total / sizes))], names=schema.names)
 
-    return df.select(F.struct(*[df[c] for c in df.columns]).alias("row"), df[text].alias("scanned")).mapInArrow(run, schema)
+    at = df.columns.index(text)
+    return df.select(F.struct(*[df[c] for c in df.columns]).alias("row")).mapInArrow(run, schema)
 
 
 def classify(docs: DataFrame, trusted: DataFrame, quantile: float = QUANTILE) -> DataFrame:
@@ -224,10 +241,10 @@ def classify(docs: DataFrame, trusted: DataFrame, quantile: float = QUANTILE) ->
     sure = trusted.select("doc_id").where("doc_id is not null").distinct().withColumn("is_trusted", F.lit(True))
     held = fold(F.col("doc_id"), FOLDS) == HELD_FOLD
     learned = write_lookup(sure.where(~held).select(F.col("doc_id").cast("long").alias("key"), F.lit(1).cast("long").alias("value")), "trusted")
-    model = train(filter_rows(docs.select("doc_id", "text"), "doc_id", learned).select("text"))
+    model = train(filter_rows(docs.select("doc_id", "text"), "doc_id", learned).select("text"), count_shards(docs.select("text")))
     if model is None:
         return docs.select("doc_id", "lang", F.lit(0).cast("long").alias("n_tokens"), F.lit(None).cast("double").alias("perplexity"), F.lit(None).cast("double").alias("threshold"), F.lit(True).alias("keep"))
-    scored = cut(perplexities(docs.select("doc_id", "lang", "text"), model).select("row.doc_id", "row.lang", "n_tokens", "perplexity"))
+    scored = stored(perplexities(docs.select("doc_id", "lang", "text"), model).select("row.doc_id", "row.lang", "n_tokens", "perplexity"), "scored")
     known = scored.join(sure.where(held), "doc_id", "left_semi")
     limits = known.groupBy("lang").agg(F.percentile_approx("perplexity", F.lit(quantile), F.lit(ACCURACY)).alias("at")).select("lang", (F.col("at") * MARGIN).alias("threshold"))  # a row for each language
     out = scored.join(F.broadcast(limits), scored["lang"].eqNullSafe(limits["lang"]), "left").select(scored["*"], "threshold")

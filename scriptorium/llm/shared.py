@@ -5,6 +5,7 @@ from __future__ import annotations
 import ctypes
 import functools
 import os
+import re
 import sys
 import tempfile
 import uuid
@@ -20,9 +21,11 @@ ROWS_PER_FILE = 1 << 19
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir. Where that is unset, as in tests, a temporary folder is set for the session."""
+    """The folder of spark.checkpoint.dir. Where that is unset, a session on this machine alone, as in tests, gets a temporary folder."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not re.fullmatch(r"local(\[[^,\]]*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         base = spark.conf.get("spark.scriptorium.sharedDir", None)
         if not base:
             base = "file://" + tempfile.mkdtemp(prefix="scriptorium-")
@@ -36,12 +39,6 @@ def new_folder(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """The rows of ``df`` from reliable checkpoint files: its lineage ends there, and no lost executor brings it back."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def stored(df: DataFrame, label: str, rows: int | None = None) -> DataFrame:
     """The rows of ``df`` from a table in the shared folder: its lineage ends there, and the plan has run once.
 
@@ -95,6 +92,17 @@ def put_file(uri: str, pieces) -> int:
     return size
 
 
+def has_file(uri: str) -> bool:
+    fs, path = filesystem(uri)
+    return fs.get_file_info(path).type == pafs.FileType.File
+
+
+def drop_file(uri: str) -> None:
+    fs, path = filesystem(uri)
+    if fs.get_file_info(path).type == pafs.FileType.File:  # another attempt of the task may have come first
+        fs.delete_file(path)
+
+
 def map_file(uri: str) -> np.ndarray:
     """The bytes of a shared file, memory-mapped. From a store without local paths, a copy is mapped that vanishes with the process."""
     fs, path = filesystem(uri)
