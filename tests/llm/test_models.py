@@ -13,7 +13,7 @@ from pyspark.sql import Window, functions as F
 import corpus_pipeline
 from scriptorium.llm import jaccard, lm, quality
 from scriptorium.llm.eliasfano import Monotone, pack_monotone
-from scriptorium.llm.shared import cut
+from scriptorium.llm.shared import stored
 
 WORDS = re.compile(r"[^\x20\x09-\x0D]+")
 AWKWARD = [(900, None), (901, ""), (902, " \n"), (903, "One Two"), (904, "one two"), (905, "one two three"), (None, "one two"), (906, "w " * 20_000)]
@@ -107,7 +107,7 @@ def test_keep_one_with_other_partitions_by_job(spark, tmp_path, monkeypatch):
     def exact_links(df, key):
         spark.conf.set(bytes_key, "200")
         found = df.select(F.col(key), F.min(key).over(Window.partitionBy(F.coalesce(F.nullif("text", F.lit("")), F.col(key).cast("string")))).alias("component_id"))
-        found = cut(found)
+        found = stored(found, "found")
         spark.conf.set(bytes_key, before)
         return found
 
