@@ -1,8 +1,8 @@
 """Hybrid retrieval for a whole set of questions: candidate layers, fusion, diversity, top-k, routing.
 
 The question set is the small side. It is broadcast only while its measured size is below
-``BROADCAST_QUESTIONS`` rows; beyond, questions are dealt into blocks and each block is met with the
-chunks of its twin by an equi-join on the twin.
+``BROADCAST_QUESTIONS`` rows; beyond, chunks are dealt into ``SLICES`` and each slice of a twin's chunks is met with a
+copy of its questions, so that no twin's pairs are one task's.
 """
 
 from __future__ import annotations
@@ -15,7 +15,7 @@ MAX_PER_SOURCE = 2
 DENSE_BUDGET, LEXICAL_BUDGET, PATH_BUDGET = 8, 6, 4
 GUARANTEED_TOTAL, GUARANTEED_PER_REF = 8, 2
 MAX_TOKENS = 16
-BROADCAST_QUESTIONS = 20_000
+BROADCAST_QUESTIONS, SLICES = 20_000, 64
 
 # Words that lexical search passes over.
 STOPWORDS = (
@@ -29,9 +29,12 @@ def cosine(a: Column, b: Column) -> Column:
     return total(F.zip_with(a, b, lambda x, y: x * y)) / (F.sqrt(total(F.transform(a, lambda x: x * x))) * F.sqrt(total(F.transform(b, lambda x: x * x))))
 
 
-def small(questions: DataFrame) -> DataFrame:
-    """The questions, marked for broadcast if they are few enough: that they are is counted, not assumed."""
-    return F.broadcast(questions) if questions.limit(BROADCAST_QUESTIONS + 1).count() <= BROADCAST_QUESTIONS else questions
+def met(rows: DataFrame, questions: DataFrame, scope: str) -> DataFrame:
+    """Rows (chunk_id, ..) joined with the questions of their scope. That the questions are few enough to broadcast is counted, not assumed."""
+    if questions.limit(BROADCAST_QUESTIONS + 1).count() <= BROADCAST_QUESTIONS:
+        return rows.join(F.broadcast(questions), scope)
+    dealt = questions.withColumn("slice", F.explode(F.sequence(F.lit(0), F.lit(SLICES - 1))))
+    return rows.withColumn("slice", F.pmod(F.xxhash64("chunk_id"), F.lit(SLICES)).cast("int")).join(dealt, [scope, "slice"]).drop("slice")
 
 
 def eligible(chunks: DataFrame, sources: DataFrame) -> DataFrame:
@@ -43,15 +46,18 @@ def top_per_query(df: DataFrame, order: list[Column], k: int, keys: tuple[str, .
     return df.withColumn("rank", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col("rank") <= k)
 
 
-def vector_candidates(questions: DataFrame, chunks: DataFrame, k: int = DENSE_BUDGET, snippets: bool = False, scope: str = "twin_id") -> DataFrame:
-    """(query_id, chunk_id, source_ref, twin, score): the ``k`` nearest chunks of the question's twin that reach MIN_SCORE."""
+def vector_candidates(questions: DataFrame, chunks: DataFrame, k: int = DENSE_BUDGET, snippets: bool = False, scope: str = "twin_id", keys: tuple[str, ...] = ("query_id",)) -> DataFrame:
+    """(query_id, chunk_id, source_ref, twin_id, score): for each of ``keys`` the ``k`` nearest chunks of the question's scope that reach MIN_SCORE."""
     kinds = F.col("chunk_type") != "memory_brief"
     if not snippets:
         kinds &= F.col("chunk_type") != "code_snippet"
     ready = chunks.where(F.col("embedding").isNotNull() & kinds).select("chunk_id", "source_ref", "embedding", *dict.fromkeys((scope, "twin_id")))
     asked = questions.where("vector is not null").select("query_id", scope, "vector")
-    pairs = ready.join(small(asked), scope).withColumn("score", F.round(cosine(F.col("embedding"), F.col("vector")), 6))
-    return top_per_query(pairs.where(F.col("score") >= MIN_SCORE).select("query_id", "chunk_id", "source_ref", "twin_id", "score"), [F.desc("score"), F.col("chunk_id")], k)
+    pairs = met(ready, asked, scope).withColumn("score", F.round(cosine(F.col("embedding"), F.col("vector")), 6))
+    return top_per_query(pairs.where(F.col("score") >= MIN_SCORE).select("query_id", "chunk_id", "source_ref", "twin_id", "score"), [F.desc("score"), F.col("chunk_id")], k, keys)
+
+
+RUN = "[a-z0-9_./-]{3,}"
 
 
 def query_tokens(text: Column) -> Column:
@@ -65,11 +71,21 @@ def query_tokens(text: Column) -> Column:
 
 
 def substring_candidates(questions: DataFrame, chunks: DataFrame, k: int = LEXICAL_BUDGET) -> DataFrame:
-    """(query_id, chunk_id, source_ref, score): chunks of the twin holding any search word, by the number of words held."""
-    asked = questions.select("query_id", "twin_id", F.slice(query_tokens(F.col("query")), 1, MAX_TOKENS).alias("tokens")).where(F.size("tokens") > 0)
+    """(query_id, chunk_id, source_ref, score): chunks of the twin holding any search word, by the number of words held.
+
+    A search word is held by a text exactly if it is held by a run of search-word characters there. So the distinct runs
+    of all chunks are met with the distinct words, by the word's first three characters, and the texts are passed over once
+    for all questions.
+    """
+    asked = questions.select("query_id", "twin_id", F.explode(F.slice(query_tokens(F.col("query")), 1, MAX_TOKENS)).alias("token"))
     rows = chunks.where("chunk_type <> 'memory_brief' and coalesce(source_ref, '') not like '__memory__/%'").select("chunk_id", "twin_id", "source_ref", F.concat(F.lower(F.coalesce("source_ref", F.lit(""))), F.lit("\n"), F.lower(F.coalesce("content", F.lit("")))).alias("low"))
-    pairs = rows.join(small(asked), "twin_id").withColumn("hits", F.size(F.filter("tokens", lambda t: F.col("low").contains(t)))).where("hits > 0")
-    scored = pairs.select("query_id", "chunk_id", "source_ref", F.round(F.least(F.lit(0.9), 0.32 + 0.08 * F.col("hits")), 6).alias("score"))
+    runs = rows.select("chunk_id", "twin_id", "source_ref", F.explode(F.array_distinct(F.regexp_extract_all("low", F.lit(RUN), 0))).alias("run"))
+    tokens = asked.select("token", F.substring("token", 1, 3).alias("gram")).distinct()
+    grams = F.transform(F.sequence(F.lit(1), F.length("run") - 2), lambda i: F.substr(F.col("run"), i, F.lit(3)))
+    held = runs.select("run").distinct().select("run", F.explode(F.array_distinct(grams)).alias("gram")).join(tokens, "gram").where(F.col("run").contains(F.col("token"))).select("run", "token")
+    found = runs.join(held, "run").select("chunk_id", "twin_id", "source_ref", "token").distinct()
+    counted = found.join(asked, ["twin_id", "token"]).groupBy("query_id", "chunk_id", "source_ref").agg(F.count("*").alias("hits"))
+    scored = counted.select("query_id", "chunk_id", "source_ref", F.round(F.least(F.lit(0.9), 0.32 + 0.08 * F.col("hits")), 6).alias("score"))
     return top_per_query(scored, [F.desc("score"), F.col("source_ref"), F.col("chunk_id")], k)
 
 
@@ -77,7 +93,7 @@ def path_candidates(hints: DataFrame, chunks: DataFrame, k: int = PATH_BUDGET, s
     """(query_id, hint, chunk_id, source_ref, score) for (query_id, twin_id, hint, vector): chunks whose path starts so, embedded ones first.
     The wildcards of LIKE in a hint keep their meaning."""
     rows = chunks if snippets else chunks.where("chunk_type <> 'code_snippet'")
-    pairs = rows.select("chunk_id", "twin_id", "source_ref", "embedding").join(small(hints), "twin_id").where("lower(source_ref) like concat(hint, '%')")
+    pairs = rows.select("chunk_id", "twin_id", "source_ref", "embedding").transform(met, hints, "twin_id").where("lower(source_ref) like concat(hint, '%')")
     near = F.round(cosine(F.col("embedding"), F.col("vector")), 6)
     scored = pairs.select("query_id", "hint", "chunk_id", "source_ref", near.alias("near"), F.coalesce(near, F.lit(0.5)).alias("score"))
     return top_per_query(scored, [F.col("near").isNull(), F.desc("near"), F.lower("source_ref"), F.col("chunk_id")], k, ("query_id", "hint"))

@@ -171,36 +171,6 @@ def multihop_chunks(spark, sf_dir):
     return found.withColumn("no", F.row_number().over(first)).where("no <= 4").select("query_id", "chunk_id", F.lit(0.5).alias("score"))
 
 
-NEGATIVE = r"(?i)\b(does not exist|is not implemented|there is no|no such|not found)\b"
-BOUNDED = r"(?i)\b(in the indexed|in the retrieved|available evidence)\b"
-
-
-@query(
-    "j18_bounded_negatives",
-    f"""WITH a AS (SELECT conv_id, turn, concat(text, CASE turn % 3 WHEN 0 THEN ' There is no cache.' WHEN 1 THEN ' No such file in the indexed sources.' ELSE '' END) AS t FROM conversations WHERE role = 'assistant')
-    SELECT conv_id, turn, regexp_matches(t, '{NEGATIVE}') AND NOT regexp_matches(t, '{BOUNDED}') AS needs_bounds, length(regexp_replace(t, '[^.]', '', 'g'))::INT AS sentences FROM a""",
-)
-def bounded_negatives(spark, sf_dir):
-    tail = F.when(F.col("turn") % 3 == 0, " There is no cache.").when(F.col("turn") % 3 == 1, " No such file in the indexed sources.").otherwise("")
-    answers = table(spark, sf_dir, "conversations").where("role = 'assistant'").select("conv_id", "turn", F.concat("text", tail).alias("t"))
-    return answers.select("conv_id", "turn", (F.col("t").rlike(NEGATIVE) & ~F.col("t").rlike(BOUNDED)).alias("needs_bounds"), F.length(F.regexp_replace("t", "[^.]", "")).alias("sentences"))
-
-
-@query(
-    "j20_quality_metrics",
-    """WITH m AS (SELECT *, lag(text) OVER (PARTITION BY conv_id ORDER BY turn) AS question FROM conversations),
-    w AS (SELECT conv_id, turn, list_distinct(string_split(lower(text), ' ')) AS a, list_distinct(string_split(lower(coalesce(question, '')), ' ')) AS q FROM m WHERE role = 'assistant')
-    SELECT conv_id, turn, len(list_filter(a, lambda x: list_contains(q, x)))::INT AS shared_words, round(len(list_filter(a, lambda x: list_contains(q, x))) / len(a), 6)::DOUBLE AS share FROM w""",
-)
-def quality_metrics(spark, sf_dir):
-    question = F.lag("text").over(Window.partitionBy("conv_id").orderBy("turn"))
-    words = lambda c: F.array_distinct(F.split(F.lower(c), " "))
-    rows = table(spark, sf_dir, "conversations").withColumn("question", question).where("role = 'assistant'")
-    both = rows.select("conv_id", "turn", words(F.col("text")).alias("a"), words(F.coalesce("question", F.lit(""))).alias("q"))
-    shared = F.size(F.array_intersect("a", "q"))
-    return both.select("conv_id", "turn", shared.alias("shared_words"), F.round(shared / F.size("a"), 6).alias("share"))
-
-
 @query(
     "j28_status_lifecycle",
     with_views("""SELECT source_id, CASE WHEN status = 'failed' THEN 'failed' WHEN status = 'processing' AND source_id % 4 = 1 THEN 'ready' ELSE status END AS next_status,

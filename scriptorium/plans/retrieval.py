@@ -22,8 +22,7 @@ toks AS (SELECT query_id, twin_id, array_agg(w ORDER BY no) AS tokens FROM tr WH
 sp AS (SELECT t.query_id, c.chunk_id, c.source_ref, len(list_filter(t.tokens, lambda x: contains(lower(c.source_ref) || chr(10) || lower(coalesce(c.content, '')), x))) AS hits
   FROM ready c JOIN toks t ON t.twin_id = c.twin_id WHERE chunk_type <> 'memory_brief' AND source_ref NOT LIKE '__memory__/%'),
 sub AS (SELECT query_id, chunk_id, source_ref, round(least(0.9, 0.32 + 0.08 * hits)::DOUBLE, 6) AS score,
-  row_number() OVER (PARTITION BY query_id ORDER BY hits DESC, source_ref, chunk_id) AS rank FROM sp WHERE hits > 0 QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY least(hits, 8) DESC, source_ref, chunk_id) <= 6)"""
-_LAYERS = _LAYERS.replace("row_number() OVER (PARTITION BY query_id ORDER BY hits DESC, source_ref, chunk_id) AS rank", "row_number() OVER (PARTITION BY query_id ORDER BY least(0.9, 0.32 + 0.08 * hits) DESC, source_ref, chunk_id) AS rank").replace("ORDER BY least(hits, 8) DESC, source_ref, chunk_id) <= 6", "ORDER BY least(0.9, 0.32 + 0.08 * hits) DESC, source_ref, chunk_id) <= 6")
+  row_number() OVER (PARTITION BY query_id ORDER BY least(0.9, 0.32 + 0.08 * hits) DESC, source_ref, chunk_id) AS rank FROM sp WHERE hits > 0 QUALIFY rank <= 6)"""
 _HINTS = """, hints AS (SELECT query_id, twin_id, vector, ['en/src', 'fr/', 'de/src_/part', 'es/%part2'][query_id % 4 + 1] AS hint FROM questions),
 pp AS (SELECT h.query_id, h.hint, c.chunk_id, c.source_ref, round(list_cosine_similarity(c.embedding, h.vector), 6) AS near FROM ready c JOIN hints h ON h.twin_id = c.twin_id
   WHERE chunk_type <> 'code_snippet' AND lower(source_ref) LIKE concat(hint, '%')),
@@ -33,8 +32,8 @@ allc AS (SELECT query_id, chunk_id, source_ref, score, 'vector' AS reason, 0 AS
 fused AS (SELECT query_id, chunk_id, min(source_ref) AS source_ref, max(score) AS score, array_agg(reason ORDER BY layer, rank) AS match_reasons FROM allc GROUP BY query_id, chunk_id)"""
 
 
-def _base(spark, sf_dir):
-    return questions(spark, sf_dir), rt.eligible(chunks(spark, sf_dir), sources(spark, sf_dir))
+def _base(spark, sf_dir, vectors=True):
+    return questions(spark, sf_dir), rt.eligible(chunks(spark, sf_dir, vectors), sources(spark, sf_dir))
 
 
 @query("f01_vector_topk", with_views(_LAYERS + " SELECT query_id, chunk_id, source_ref, twin_id, score, rank::INT AS rank FROM vec"))
@@ -49,7 +48,7 @@ def tokens(spark, sf_dir):
 
 @query("f03_substring_topk", with_views(_LAYERS + " SELECT query_id, chunk_id, source_ref, score, rank::INT AS rank FROM sub"))
 def substring_topk(spark, sf_dir):
-    return rt.substring_candidates(*_base(spark, sf_dir))
+    return rt.substring_candidates(*_base(spark, sf_dir, vectors=False))
 
 
 def _hints(asked):
@@ -68,7 +67,7 @@ def _fused(spark, sf_dir):
     columns = ["query_id", "chunk_id", "source_ref", "score", "reason", "layer", "rank"]
     layers = [
         rt.vector_candidates(asked, ready).withColumn("reason", F.lit("vector")).withColumn("layer", F.lit(0)),
-        rt.substring_candidates(asked, ready).withColumn("reason", F.lit("lexical")).withColumn("layer", F.lit(1)),
+        rt.substring_candidates(*_base(spark, sf_dir, vectors=False)).withColumn("reason", F.lit("lexical")).withColumn("layer", F.lit(1)),
         rt.path_candidates(_hints(asked), ready).withColumn("reason", F.concat(F.lit("path:"), "hint")).withColumn("layer", F.lit(2)),
     ]
     return rt.fuse(layers[0].select(*columns).unionByName(layers[1].select(*columns)).unionByName(layers[2].select(*columns)))

@@ -165,11 +165,15 @@ def log_metrics(spark, sf_dir):
 @query("s01_log_metrics_stream", _PERIODS)
 def log_metrics_stream(spark, sf_dir):
     events = table(spark, sf_dir, "events")
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="scriptorium-")
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        base = "file://" + tempfile.mkdtemp(prefix="scriptorium-")
     name = "log_metrics_" + uuid.uuid4().hex
     # a folder of files is streamed as it is, a single file by its name
     folder, _, leaf = f"{sf_dir}/events.parquet".rpartition("/")
-    return _rounded(metrics.stream_metrics(spark, f"{folder}/{leaf[:-1]}[{leaf[-1]}]", events.schema, os.path.join(base, name), name))
+    return _rounded(metrics.stream_metrics(spark, f"{folder}/{leaf[:-1]}[{leaf[-1]}]", events.schema, os.path.join(base, name)))
 
 
 @query(
@@ -209,14 +213,3 @@ def file_references(spark, sf_dir):
     refs = F.array_sort(F.array_distinct(F.regexp_extract_all("answer", F.lit(REFERENCE), 0)))
     allowed = F.array(F.lit("docs/a1.md"), F.lit("docs/a3.md"))
     return answers.select("conv_id", "turn", F.array_join(refs, ",").alias("refs"), F.array_join(F.array_except(refs, allowed), ",").alias("unsupported"))
-
-
-@query(
-    "j15_answer_sections",
-    """WITH a AS (SELECT conv_id, turn, string_split(concat('## One', chr(10), text, chr(10), '## Two', chr(10), role), '## ') AS ps FROM conversations)
-    , s AS (SELECT conv_id, turn, unnest(ps[2:]) AS p FROM a) SELECT conv_id, turn, string_split(p, chr(10))[1] AS name, length(p) AS chars FROM s""",
-)
-def answer_sections(spark, sf_dir):
-    parts = F.split(F.concat(F.lit("## One\n"), "text", F.lit("\n## Two\n"), "role"), "## ")
-    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.explode(F.slice(parts, 2, 1_000_000)).alias("p"))
-    return rows.select("conv_id", "turn", F.substring_index("p", "\n", 1).alias("name"), F.length("p").cast("long").alias("chars"))

@@ -14,13 +14,22 @@ def period_metrics(events: DataFrame) -> DataFrame:
     return grouped.select(F.col("w.start").alias("period"), "event_type", "events", "total", "average", "highest")
 
 
-def stream_metrics(spark: SparkSession, path: str, schema, checkpoint: str, name: str) -> DataFrame:
-    """The same from a stream over files of events, run until all that is there is counted. Late events count while
-    their window is open; the result is complete, and equals the batch's."""
+def stream_metrics(spark: SparkSession, path: str, schema, folder: str) -> DataFrame:
+    """The same from a stream over files of events, run until all that is there is counted.
+
+    Each micro-batch writes the periods that it changed below ``folder``, under its number, so that a batch that is run
+    again replaces its own rows; of a period the last batch counts. Events later than ``LATENESS`` are not counted any more.
+    No state or result passes through the driver.
+    """
     events = spark.readStream.schema(schema).parquet(path).withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", LATENESS)
-    running = period_metrics(events).writeStream.outputMode("complete").format("memory").queryName(name).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-    running.awaitTermination()
-    return spark.table(name)
+    counted, place = period_metrics(events), folder + "/batches"
+    spark.createDataFrame([], counted.schema).write.mode("overwrite").parquet(f"{place}/batch=-1")
+    put = lambda rows, number: rows.write.mode("overwrite").parquet(f"{place}/batch={number}")
+    counted.writeStream.outputMode("update").foreachBatch(put).option("checkpointLocation", folder + "/state").trigger(availableNow=True).start().awaitTermination()
+    written = spark.read.schema(counted.schema.add("batch", "long")).parquet(place)
+    values = [c for c in counted.columns if c not in ("period", "event_type")]
+    last = written.groupBy("period", "event_type").agg(F.max_by(F.struct(*values), "batch").alias("last"))
+    return last.select("period", "event_type", "last.*")
 
 
 def alarms(metrics: DataFrame, breach: Column, periods: int, seconds: int = 300) -> DataFrame:
