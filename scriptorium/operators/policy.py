@@ -30,6 +30,7 @@ SECRET_PATTERNS = (
     r"""-----BEGIN (RSA |EC )?PRIVATE KEY-----""",
     r"""AKIA[0-9A-Z]{16}""",
 )
+# Fixed value: what stands in for a line with a secret.
 REDACTED = "[REDACTED — possible sensitive value]"
 
 

@@ -134,13 +134,13 @@ def brief_excerpt(spark, sf_dir):
     SELECT q.query_id, count(chunk_id) AS matches, count(chunk_id) = 0 AS falls_back FROM q LEFT JOIN ready r ON r.twin_id = q.twin_id AND list_has_all(r.words, q.ws) GROUP BY q.query_id"""),
 )
 def full_text(spark, sf_dir):
-    """Questions all of whose words a chunk holds; the others fall back on substrings. Joined by each question's rarest word."""
+    """Questions all of whose words a chunk holds; the others fall back on substrings. Joined by twin and word."""
     split = lambda c: F.array_distinct(F.filter(F.split(F.lower(c), r"[^\p{L}\p{N}]+"), lambda x: x != ""))
     ready = chunks(spark, sf_dir, vectors=False).where("chunk_type <> 'memory_brief'").join(sources(spark, sf_dir).where("status = 'ready'"), "source_id")
     asked = questions(spark, sf_dir).select("query_id", "twin_id", split(F.col("query")).alias("ws"))
     needed = asked.select("query_id", "twin_id", F.size("ws").alias("n"), F.explode("ws").alias("word"))
     postings = ready.select("chunk_id", "twin_id", F.explode(split(F.col("content"))).alias("word"))
-    held = postings.join(F.broadcast(needed), ["twin_id", "word"]).groupBy("query_id", "chunk_id").agg(F.count("*").alias("held"), F.first("n").alias("n")).where("held = n")
+    held = postings.join(needed, ["twin_id", "word"]).groupBy("query_id", "chunk_id").agg(F.count("*").alias("held"), F.first("n").alias("n")).where("held = n")
     counts = held.groupBy("query_id").agg(F.count("*").alias("matches"))
     return asked.select("query_id").join(counts, "query_id", "left").select("query_id", F.coalesce("matches", F.lit(0)).cast("long").alias("matches"), F.col("matches").isNull().alias("falls_back"))
 
@@ -240,7 +240,7 @@ def missing_evidence(spark, sf_dir):
     rows = chunks(spark, sf_dir).join(live, "source_id").select("twin_id", F.lower("content").alias("low"), F.col("embedding").isNotNull().alias("embedded"))
     embedded = rows.groupBy("twin_id").agg(F.count_if("embedded").alias("embedded"))
     words = asked.select("twin_id", "word").distinct()
-    lexical = rows.join(F.broadcast(words), "twin_id").where(F.col("low").contains(F.col("word"))).groupBy("twin_id", "word").agg(F.count("*").alias("lexical"))
+    lexical = rows.join(words, "twin_id").where(F.col("low").contains(F.col("word"))).groupBy("twin_id", "word").agg(F.count("*").alias("lexical"))
     both = asked.join(embedded, "twin_id", "left").join(lexical, ["twin_id", "word"], "left").fillna(0, ["embedded", "lexical"])
     return both.select("query_id", F.array_join(F.array_compact(F.array(F.when(F.col("lexical") == 0, "lexical"), F.when(F.col("embedded") == 0, "no_embedding_profiles"))), ",").alias("missing"))
 

@@ -18,7 +18,8 @@ def manual_notes(notes: DataFrame, title: str = "title", content: str = "content
 
 
 def text_folder(spark: SparkSession, root: str, pattern: str = "*.md") -> DataFrame:
-    """The text files below a folder, each whole, with a revision of its time and size. Nothing outside the folder is read."""
+    """The text files below a folder, each whole, with a revision of its time and size. Nothing outside the folder is read.
+    A file goes by its name alone, so that files of one name in different folders are one path."""
     files = spark.read.option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").text(root, wholetext=True)
     meta = F.col("_metadata")
     revision = F.concat_ws(":", F.unix_micros(meta["file_modification_time"]).cast("string"), meta["file_size"].cast("string"))
