@@ -11,11 +11,11 @@ CONTROL = r"[\u0000-\u0008\u000E-\u001F]"
 def readable_ratio(text: Column) -> Column:
     """The share of readable characters, 0 for an empty text."""
     size = F.length(text)
-    return F.when(size == 0, 0.0).otherwise((size - F.length(F.regexp_replace(text, READABLE, ""))) / size)
+    return F.when(size == 0, 0.0).otherwise((size - F.length(F.regexp_replace(text, READABLE + "+", ""))) / size)
 
 
 def control_count(text: Column) -> Column:
-    return F.length(text) - F.length(F.regexp_replace(text, CONTROL, ""))
+    return F.length(text) - F.length(F.regexp_replace(text, CONTROL + "+", ""))
 
 
 def replacement_count(text: Column) -> Column:

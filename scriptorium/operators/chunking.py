@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from scriptorium.functions.text import content_hash, leaf_name, segment_id, token_estimate
 
@@ -13,27 +13,23 @@ MAX_CHARS, OVERLAP = 2000, 200
 HEADING = r"^(#{1,3})\s+(.+)$"
 
 
-def section_lines(df: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, line_no, line, section) for each line; section 0 is what stands before the first heading."""
-    lines = df.select(key, F.posexplode(F.split(F.regexp_replace(text, r"\n\z", ""), "\n")).alias("pos", "line"))
-    upto = Window.partitionBy(key).orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
-    return lines.select(key, (F.col("pos") + 1).alias("line_no"), "line", F.sum(F.col("line").rlike(HEADING).cast("int")).over(upto).alias("section"))
+def sections(df: DataFrame, key: str, text: str, *others: str) -> DataFrame:
+    """(key, others.., section, title, body, start_line, end_line): headings of level 1 to 3 start sections; a blank preamble, section 0, is dropped.
 
+    A text's sections are cut within its row, so that nothing is shuffled; rows that repeat a key are cut each on their own, and a null text has no section.
+    """
+    lines = df.select(key, *others, F.split(F.regexp_replace(text, r"\n\z", ""), "\n").alias("lines"))
+    heads = F.filter(F.transform("lines", lambda x, i: F.when(x.rlike(HEADING), i + 1)), lambda i: i.isNotNull())
+    opened = lines.withColumn("opens", F.concat(F.array(F.lit(0)), heads))
 
-def sections(df: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, section, title, body, start_line, end_line): headings of level 1 to 3 start sections; a blank preamble is dropped."""
-    rows = section_lines(df, key, text)
-    head = (F.col("section") > 0) & F.col("line").rlike(HEADING)
-    grouped = rows.groupBy(key, "section").agg(
-        F.max(F.when(head, F.trim(F.regexp_extract("line", HEADING, 2)))).alias("title"),
-        F.array_sort(F.collect_list(F.when(~head, F.struct("line_no", "line")))).alias("lines"),
-        F.min("line_no").alias("first"),
-        F.max("line_no").alias("last"),
-    )
-    body = F.regexp_replace(F.array_join(F.transform("lines", lambda x: x["line"]), "\n"), r"^\s+|\s+$", "")
-    start = F.when(F.col("section") > 0, F.col("first") + 1).otherwise(F.lit(1))
-    out = grouped.select(key, "section", F.coalesce("title", F.lit("")).alias("title"), body.alias("body"), start.cast("int").alias("start_line"), F.greatest(start, F.col("last")).cast("int").alias("end_line"))
-    return out.where((F.col("section") > 0) | (F.col("body") != ""))
+    def section(opens: Column, number: Column) -> Column:
+        last = F.coalesce(F.get("opens", number + 1) - 1, F.size("lines"))
+        title = F.coalesce(F.trim(F.regexp_extract(F.get("lines", opens - 1), HEADING, 2)), F.lit(""))
+        body = F.regexp_replace(F.array_join(F.slice("lines", opens + 1, last - opens), "\n"), r"^\s+|\s+$", "")
+        return F.struct(number.cast("long").alias("section"), title.alias("title"), body.alias("body"), (opens + 1).alias("start_line"), F.greatest(opens + 1, last).alias("end_line"))
+
+    found = opened.select(key, *others, F.explode(F.transform("opens", section)).alias("found")).select(key, *others, "found.*")
+    return found.where((F.col("section") > 0) | (F.col("body") != ""))
 
 
 def pack_lines(text: str, start_line: int, max_chars: int = MAX_CHARS, overlap: int = OVERLAP) -> Iterator[tuple[str, int, int]]:
@@ -67,24 +63,25 @@ def pack_lines(text: str, start_line: int, max_chars: int = MAX_CHARS, overlap:
         yield "\n".join(held), first, number
 
 
-def chunk_sections(found: DataFrame, key: str) -> DataFrame:
-    """(key, section, title, part, piece, start_line, end_line) for each section of :func:`sections`; blank pieces are dropped."""
-    schema = T.StructType([found.schema[key], found.schema["section"], found.schema["title"], T.StructField("part", T.IntegerType()), T.StructField("piece", T.StringType()), T.StructField("start_line", T.IntegerType()), T.StructField("end_line", T.IntegerType())])
+def chunk_sections(found: DataFrame, *kept: str) -> DataFrame:
+    """(kept.., section, title, part, piece, start_line, end_line) for each section of :func:`sections`; blank pieces are dropped."""
+    own = (*kept, "section", "title")
+    schema = T.StructType([*(found.schema[c] for c in own), T.StructField("part", T.IntegerType()), T.StructField("piece", T.StringType()), T.StructField("start_line", T.IntegerType()), T.StructField("end_line", T.IntegerType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             at, rows = [], []
-            for i, (body, start) in enumerate(zip(batch.column(3).to_pylist(), batch.column(4).to_pylist())):
+            for i, (body, start) in enumerate(zip(batch.column("body").to_pylist(), batch.column("start_line").to_pylist())):
                 for part, (piece, a, b) in enumerate(pack_lines(body, start)):
                     if piece.strip():
                         at.append(i)
                         rows.append((part, piece, a, b))
             if at:
-                own = [batch.column(k).take(pa.array(at)) for k in range(3)]
+                taken = [batch.column(c).take(pa.array(at)) for c in own]
                 kinds = [pa.int32(), pa.string(), pa.int32(), pa.int32()]
-                yield pa.RecordBatch.from_arrays([*own, *(pa.array(c, k) for c, k in zip(zip(*rows), kinds))], names=schema.names)
+                yield pa.RecordBatch.from_arrays([*taken, *(pa.array(c, k) for c, k in zip(zip(*rows), kinds))], names=schema.names)
 
-    return found.select(key, "section", "title", "body", "start_line").mapInArrow(run, schema)
+    return found.select(*own, "body", "start_line").mapInArrow(run, schema)
 
 
 def annotate(pieces: DataFrame, path: Column) -> DataFrame:

@@ -117,9 +117,8 @@ def heading_sections(spark, sf_dir):
 @query("i11_overlap_chunks")
 def overlap_chunks(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", F.concat("lang", F.lit("/"), "source", F.lit("/"), "doc_id", F.lit(".md")).alias("path"))
-    pieces = chunking.chunk_sections(chunking.sections(docs, "doc_id", "text"), "doc_id")
-    named = pieces.join(docs.select("doc_id", "path"), "doc_id")
-    return chunking.annotate(named, F.col("path")).select("doc_id", "section", "part", "start_line", "end_line", "segment_id", "content_hash", "token_count")
+    pieces = chunking.chunk_sections(chunking.sections(docs, "doc_id", "text", "path"), "doc_id", "path")
+    return chunking.annotate(pieces, F.col("path")).select("doc_id", "section", "part", "start_line", "end_line", "segment_id", "content_hash", "token_count")
 
 
 @query(
