@@ -42,6 +42,14 @@ def test_text_quality(spark):
     assert one(spark, tx.leaf_name(F.col("t")), t="a/Resume.pdf [abcdefghijk]") == "Resume.pdf"
 
 
+def test_sections_of_awkward_texts(spark):
+    texts = [(1, None, 5), (2, "", 5), (3, "# a", 5), (4, "\n \n# a\nx\n\n## b", 5), (4, "no heading\n", 6), (None, "p\n#not\n### c  \n y \n", 7)]
+    rows = chunking.sections(spark.createDataFrame(texts, "id long, text string, section_of int"), "id", "text", "section_of").collect()
+    assert sorted(tuple(r) for r in rows if r.id is not None) == [(3, 5, 1, "a", "", 2, 2), (4, 5, 1, "a", "x", 4, 5), (4, 5, 2, "b", "", 7, 7), (4, 6, 0, "", "no heading", 1, 1)]
+    assert sorted(tuple(r)[1:] for r in rows if r.id is None) == [(7, 0, "", "p\n#not", 1, 2), (7, 1, "c", "y", 4, 4)]
+    assert chunking.sections(spark.createDataFrame([], "id long, text string"), "id", "text").count() == 0
+
+
 def test_sections(spark):
     text = "intro\n\n# One\nbody\n## Two\n#### not a heading\nlast"
     rows = chunking.sections(spark.createDataFrame([(1, text)], "id long, text string"), "id", "text").orderBy("section").collect()
