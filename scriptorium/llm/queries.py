@@ -12,6 +12,7 @@ from scriptorium.llm.secrets import op1_secret_scan
 from scriptorium.llm.tokencounts import op9_token_counts
 from scriptorium.llm.topk import OP7_SQL, op7_exact_topk
 from scriptorium.llm.warc import OP2_SQL, op2_warc_roundtrip
+from scriptorium.llm.whitening import op11_whitening
 
 QUERIES = {
     "op1_secret_scan": op1_secret_scan,
@@ -24,6 +25,7 @@ QUERIES = {
     "op8_bpe_codec": op8_bpe_codec,
     "op9_token_counts": op9_token_counts,
     "op10_jaccard_join": op10_jaccard_join,
+    "op11_whitening": op11_whitening,
 }
 
 ORACLE_SQL: dict[str, str] = {
