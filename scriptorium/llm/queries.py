@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from scriptorium.llm.bpe import op8_bpe_codec
+from scriptorium.llm.collocations import OP13_SQL, op13_collocations
 from scriptorium.llm.decontaminate import op4_decontamination
 from scriptorium.llm.jaccard import OP10_SQL, op10_jaccard_join
 from scriptorium.llm.langid import op5_language_id
@@ -26,10 +27,12 @@ QUERIES = {
     "op9_token_counts": op9_token_counts,
     "op10_jaccard_join": op10_jaccard_join,
     "op11_whitening": op11_whitening,
+    "op13_collocations": op13_collocations,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op2_warc_roundtrip": OP2_SQL,
     "op7_exact_topk": OP7_SQL,
     "op10_jaccard_join": OP10_SQL,
+    "op13_collocations": OP13_SQL,
 }

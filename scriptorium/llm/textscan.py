@@ -63,14 +63,14 @@ def lower(data: np.ndarray) -> np.ndarray:
     return _LOWER[data]
 
 
-def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def word_spans(data: np.ndarray, offsets: np.ndarray, letters: np.ndarray = _WORD) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Starts and ends of the words of consecutive rows, and how many words each row has.
 
-    ``offsets`` counts from 0 over ``data``; no word crosses a row's end.
+    ``offsets`` counts from 0 over ``data``; no word crosses a row's end. ``letters`` says for each byte whether words have it.
     """
     if not len(data):
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(len(offsets) - 1, np.int64)
-    word = _WORD[data]
+    word = letters[data]
     before = np.empty(len(word) + 1, bool)
     before[0], before[1:] = False, word
     after = np.empty(len(word) + 1, bool)
@@ -139,20 +139,20 @@ def shingles(hashes: np.ndarray) -> np.ndarray:
     return out
 
 
-def shingle_sets(hashes: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The distinct shingles of consecutive rows, sorted within each row, and the size of each row's set."""
+def shingle_sets(hashes: np.ndarray, counts: np.ndarray, words: int = SHINGLE_WORDS) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct shingles of so many words of consecutive rows, sorted within each row, and the size of each row's set."""
     ends = np.cumsum(counts)
     values, rows = [], []
-    full = np.flatnonzero(counts >= SHINGLE_WORDS)
+    full = np.flatnonzero(counts >= words)
     if len(full):
-        size = counts[full] - SHINGLE_WORDS + 1
+        size = counts[full] - words + 1
         at = np.repeat((ends - counts)[full], size) + ragged(size)
         out = np.zeros(len(at), np.uint64)
-        for k in range(SHINGLE_WORDS):
+        for k in range(words):
             out = mix(out + hashes[at + k])
         values.append(out)
         rows.append(np.repeat(full, size))
-    for n in range(1, SHINGLE_WORDS):
+    for n in range(1, words):
         few = np.flatnonzero(counts == n)
         if len(few):
             out = np.zeros(len(few), np.uint64)
