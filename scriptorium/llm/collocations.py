@@ -135,8 +135,8 @@ def _rows_of(schema: pa.Schema, columns: dict[str, pa.Array]) -> pa.RecordBatch:
 _SCHEMA = pa.schema([("lang", pa.string()), ("phrase", pa.string()), ("hash", pa.int64()), ("a", pa.int64()), ("range", pa.int32()), ("places", pa.binary()), ("counts", pa.binary())])
 
 
-def count_pass(docs: DataFrame, k: int, bits: int, support: int, last: bool, frequent: str | None = None, hopeful: str | None = None) -> DataFrame:
-    """Rows of COUNTED: the phrases of k words that each task counted, and packed buckets of those of k + 1; in pass 1 also all words by language, with no phrase."""
+def count_pass(docs: DataFrame, k: int, bits: int, support: int, last: bool, frequent: str | None = None, hopeful: str | None = None, most: tuple[int, int] = (HELD_PHRASES, HELD_PLACES)) -> DataFrame:
+    """Rows of COUNTED: the phrases of k words that each task counted, and packed buckets of those of k + 1; in pass 1 also all words by language, with no phrase. A task sends on what it holds beyond ``most`` phrases and buckets."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lean()
@@ -194,9 +194,9 @@ def count_pass(docs: DataFrame, k: int, bits: int, support: int, last: bool, fre
                     place, _, count = _distinct(found.hash_of(k + 1)[longer] >> np.uint64(64 - bits))
                     places.append((place, count))
                     held[1] += len(place)
-                if held[0] > HELD_PHRASES:
+                if held[0] > most[0]:
                     yield from send_phrases()
-                if held[1] > HELD_PLACES:
+                if held[1] > most[1]:
                     yield from send_places()
             if k == 1:
                 yield _rows_of(_SCHEMA, {"lang": names, "a": pa.array(totals)})

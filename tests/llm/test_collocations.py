@@ -62,13 +62,29 @@ def test_against_plain_counts(spark):
     assert mine(spark, rows, support=10) == want
 
 
-def test_small_bitmaps_and_buffers(spark, monkeypatch):
-    for name, value in (("LEAST_BITS", 5), ("MOST_BITS", 5), ("RANGE_BITS", 3), ("HELD_PHRASES", 40), ("HELD_PLACES", 40)):
-        monkeypatch.setattr(collocations, name, value)
+def test_crowded_buckets(spark, monkeypatch):
+    monkeypatch.setattr(collocations, "LEAST_BITS", 5)
+    monkeypatch.setattr(collocations, "MOST_BITS", 5)
     rows = texts(4, 90)
     assert mine(spark, rows, support=5) == brute(rows, 5)
 
 
+def test_small_buffers(spark):
+    docs = spark.createDataFrame(texts(5, 90), "doc_id long, text string, lang string").select("text", "lang").repartition(3)
+
+    def passed(most):
+        rows = collocations.count_pass(docs, 1, 22, 30, False, most=most).collect()
+        words, buckets = Counter(), Counter()
+        for r in rows:
+            if r.range is None:
+                words[r.lang, r.phrase] += r.a
+            else:
+                buckets.update(dict(zip([(r.range, x) for x in np.cumsum(collocations._numbers(r.places)).tolist()], collocations._numbers(r.counts).tolist())))
+        return words, buckets
+
+    assert passed((40, 40)) == passed((1 << 20, 1 << 20))
+
+
 def test_best_with_ties(spark):
     rows = [(k, f"p{k % 9} q{k % 9}. r s t.", "en") for k in range(90)]
     found = mine(spark, rows, support=10, best=4)
