@@ -54,7 +54,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from scriptorium.llm.lookup import Lookup, filter_rows, write_lookup
 from scriptorium.llm.shared import drop_folder, drop_table, stored, table
-from scriptorium.llm.textscan import hashed_words, mix, ragged, shingle_sets
+from scriptorium.llm.textscan import SHINGLE_WORDS, hashed_words, mix, ragged, shingle_sets
 
 COLD = 8  # sets that share a signature whose pairs are all taken at once
 BAND_RATIO = 1.5
@@ -194,9 +194,10 @@ def signatures(values: np.ndarray, sizes: np.ndarray, plan: Plan, hash_no: int)
     return at, np.concatenate(found), np.where(over, -1, np.minimum(budget, 32_000))[at].astype(np.int16), np.flatnonzero(over)
 
 
-def _sets(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    for lo, hi, words, counts in hashed_words(column):
-        yield lo, hi, *shingle_sets(words, counts)
+def text_sets(column: pa.Array, words: int = SHINGLE_WORDS) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """For each slice of rows: its first and last row, the distinct shingles of its texts, and the sizes of their sets."""
+    for lo, hi, hashes, counts in hashed_words(column):
+        yield lo, hi, *shingle_sets(hashes, counts, words)
 
 
 def classes(docs: DataFrame) -> DataFrame:
@@ -204,7 +205,7 @@ def classes(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for lo, hi, values, sizes in _sets(batch.column(1)):
+            for lo, hi, values, sizes in text_sets(batch.column(1)):
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(sizes, pa.int64()), pa.array(fingerprints(values, sizes), pa.int64())], names=["key", "n", "cls"])
 
     return docs.select("key", "text").mapInArrow(run, f"key {docs.schema['key'].dataType.simpleString()}, n long, cls long")
@@ -254,7 +255,7 @@ def signature_blocks(docs: DataFrame, buckets: int) -> DataFrame:
                 )
 
         for batch in batches:
-            for _, _, values, sizes in _sets(batch.column(0)):
+            for _, _, values, sizes in text_sets(batch.column(0)):
                 if not len(values):
                     continue
                 cls = fingerprints(values, sizes)
@@ -486,7 +487,7 @@ def draw(docs: DataFrame, wanted: DataFrame, members: DataFrame) -> DataFrame:
         lookup = Lookup(place)
         for batch in batches:
             row, expected = lookup.find(batch.column(0).to_numpy())
-            for lo, hi, values, sizes in _sets(batch.column(1).take(pa.array(row))):
+            for lo, hi, values, sizes in text_sets(batch.column(1).take(pa.array(row))):
                 cls = fingerprints(values, sizes)
                 right = np.flatnonzero(cls == expected[lo:hi])  # a row that repeats the key may hold another text
                 drawn = sketches(values, sizes)
@@ -498,8 +499,8 @@ def draw(docs: DataFrame, wanted: DataFrame, members: DataFrame) -> DataFrame:
     return out
 
 
-def verify(pairs: DataFrame, docs: DataFrame, members: DataFrame) -> DataFrame:
-    """Links (a, b) of classes that join what the similar ones of the pairs (a, b) join.
+def verify(pairs: DataFrame, docs: DataFrame, members: DataFrame, words: int = SHINGLE_WORDS, percent: int = 75) -> DataFrame:
+    """Links (a, b) of classes that join what the similar ones of the pairs (a, b) join: those with so many percent of their shingles in common.
 
     Classes with a common near one are cut into blocks, and a group takes the pairs of two blocks: a text goes once to
     each group that has a pair of it, however many those are. Any cut gives the same components.
@@ -525,7 +526,7 @@ def verify(pairs: DataFrame, docs: DataFrame, members: DataFrame) -> DataFrame:
 
     def links(texts: pa.Table, asked: pa.Table) -> pa.Table:
         sets: dict[int, np.ndarray] = {}
-        for _, _, values, sizes in _sets(_column(texts, "text")):
+        for _, _, values, sizes in text_sets(_column(texts, "text"), words):
             ends = np.cumsum(sizes).tolist()
             for c, x, y in zip(fingerprints(values, sizes).tolist(), [0, *ends], ends):
                 sets[c] = values[x:y]
@@ -542,7 +543,7 @@ def verify(pairs: DataFrame, docs: DataFrame, members: DataFrame) -> DataFrame:
             if x != y:
                 p, q = sets[a], sets[b]
                 shared = np.intersect1d(p, q, assume_unique=True).size
-                if 100 * shared >= 75 * (len(p) + len(q) - shared):
+                if 100 * shared >= percent * (len(p) + len(q) - shared):
                     root[max(x, y)] = min(x, y)
         ends = [(c, find(c)) for c in root]
         return pa.table({"a": pa.array([c for c, r in ends if c != r], pa.int64()), "b": pa.array([r for c, r in ends if c != r], pa.int64())})

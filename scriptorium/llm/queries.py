@@ -8,6 +8,7 @@ from scriptorium.llm.decontaminate import op4_decontamination
 from scriptorium.llm.jaccard import OP10_SQL, op10_jaccard_join
 from scriptorium.llm.langid import op5_language_id
 from scriptorium.llm.lm import op6_lm_score
+from scriptorium.llm.minhash import OP12_SQL, op12_minhash
 from scriptorium.llm.quality import op3_quality
 from scriptorium.llm.secrets import op1_secret_scan
 from scriptorium.llm.tokencounts import op9_token_counts
@@ -27,6 +28,7 @@ QUERIES = {
     "op9_token_counts": op9_token_counts,
     "op10_jaccard_join": op10_jaccard_join,
     "op11_whitening": op11_whitening,
+    "op12_minhash": op12_minhash,
     "op13_collocations": op13_collocations,
 }
 
@@ -34,5 +36,6 @@ ORACLE_SQL: dict[str, str] = {
     "op2_warc_roundtrip": OP2_SQL,
     "op7_exact_topk": OP7_SQL,
     "op10_jaccard_join": OP10_SQL,
+    "op12_minhash": OP12_SQL,
     "op13_collocations": OP13_SQL,
 }
