@@ -1,49 +1,104 @@
-"""Ranked full-text search of a whole set of questions: an inverted index by word, all words required, cover density as rank."""
+"""Ranked full-text search of a whole set of questions in web search syntax, over an inverted index by word.
+
+A question is made of groups, parted by an ``or`` between two terms; a group of terms, all of which a chunk must have or,
+after ``-``, must not have; a term of words, which have to follow each other: what stands in quotes, to the end of the question
+if the quote is left open, or else a run without spaces, whose words are its letters and digits. Repeated terms of a group count once, a
+term without words not at all, and a group without a required term matches nothing.
+
+The words of the questions are met with the distinct words of each chunk; of each group only the rarest word in its twin names
+candidates, and only candidates that hold all required words are looked at by position.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from scriptorium.operators.retrieval import BROADCAST_QUESTIONS
+
 WORD_GAP = r"[^\p{L}\p{N}]+"
+TERM = r'-?"[^"]*"?|[^\s"!&|()]+'
 # What a word costs in a cover, by where it stands; the inverse of its weight there.
 PATH_COST, CONTENT_COST = 1.0, 2.5
 LEXICAL_FLOOR, LEXICAL_CAP = 0.35, 0.95
+PAIR = ("query_id", "chunk_id")
 
 
 def words(text: Column) -> Column:
     return F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), WORD_GAP), lambda x: x != "")
 
 
-def word_hits(asked: DataFrame, chunks: DataFrame) -> DataFrame:
-    """Where the words of (query_id, twin_id, terms) stand in chunks of the twin that have them all: query_id, chunk_id, source_ref, n, term, pos, cost.
+def terms(asked: DataFrame) -> DataFrame:
+    """(query_id, twin_id, grp, item, negative, words) for the terms of each (query_id, twin_id, query)."""
+    cut = asked.select("query_id", "twin_id", F.regexp_extract_all(F.coalesce("query", F.lit("")), F.lit(TERM), 0).alias("parts"))
+    # an `or` between two terms parts groups; of several in a row, the first
+    parting = lambda x, i: (F.lower(x) == "or") & (i > 0) & (i < F.size("parts") - 1) & (F.lower(F.get("parts", i - 1)) != "or")
+    marked = cut.withColumn("ors", F.array_compact(F.transform("parts", lambda x, i: F.when(parting(x, i), i))))
+    each = marked.select("query_id", "twin_id", "ors", F.posexplode("parts").alias("item", "part")).where(~F.array_contains("ors", F.col("item")))
+    grp = F.size(F.filter("ors", lambda i: i < F.col("item"))).alias("grp")
+    found = each.select("query_id", "twin_id", grp, "item", F.col("part").startswith("-").alias("negative"), words(F.col("part")).alias("words"))
+    return found.where(F.size("words") > 0).groupBy("query_id", "twin_id", "grp", "negative", "words").agg(F.min("item").alias("item"))
+
+
+def few(rows: DataFrame) -> DataFrame:
+    """Marked for broadcast while its counted size allows."""
+    return F.broadcast(rows) if rows.limit(BROADCAST_QUESTIONS + 1).count() <= BROADCAST_QUESTIONS else rows
+
 
-    Words of the path come first, those of the content go on from there. Joined by twin and word; a question without words matches nothing.
+def candidates(wanted: DataFrame, texts: DataFrame) -> DataFrame:
+    """(query_id, grp, chunk_id, source_ref, first, ws): the chunks of the twin with all required words of a group."""
+    required = wanted.where("not negative").select("query_id", "twin_id", "grp", F.explode("words").alias("word")).distinct()
+    asked_words = required.select("twin_id", "word").distinct()
+    held = texts.select("chunk_id", "twin_id", F.explode(F.array_distinct("ws")).alias("word")).join(few(asked_words), ["twin_id", "word"])
+    often = held.groupBy("twin_id", "word").agg(F.count("*").alias("chunks"))
+    ranked = required.join(often, ["twin_id", "word"], "left")
+    rarest = ranked.groupBy("query_id", "twin_id", "grp").agg(F.min_by("word", F.struct(F.coalesce("chunks", F.lit(0)), F.col("word"))).alias("word"), F.collect_set("word").alias("all"))
+    named = rarest.join(held, ["twin_id", "word"]).select("query_id", "grp", "all", "chunk_id")
+    return named.join(texts, "chunk_id").where(F.size(F.array_except("all", "ws")) == 0).select("query_id", "grp", "chunk_id", "source_ref", "first", "ws")
+
+
+def matches(asked: DataFrame, chunks: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Where the terms of each question stand in the chunks that match it.
+
+    Occurrences (query_id, chunk_id, grp, item, n, size, pos, own) of the required terms of groups that match, by the place of
+    their last word, with the cost of all their words; and the places (query_id, chunk_id, source_ref, pos, cost) of all required words.
+    Words of the path come first, those of the content go on from there.
     """
-    needed = asked.select("query_id", "twin_id", F.size("terms").alias("n"), F.posexplode("terms").alias("term", "word"))
-    texts = chunks.select("chunk_id", "twin_id", "source_ref", words(F.col("source_ref")).alias("head"), words(F.col("content")).alias("body"))
-    placed = texts.select("chunk_id", "twin_id", "source_ref", F.size("head").alias("first"), F.posexplode(F.concat("head", "body")).alias("at", "word"))
-    wanted = needed.select("twin_id", "word").distinct()
-    held = placed.join(wanted, ["twin_id", "word"]).join(needed, ["twin_id", "word"])
-    hits = held.select("query_id", "chunk_id", "source_ref", "n", "term", (F.col("at") + 1).alias("pos"), F.when(F.col("at") < F.col("first"), PATH_COST).otherwise(CONTENT_COST).alias("cost"))
-    whole = hits.groupBy("query_id", "chunk_id").agg(F.count_distinct("term").alias("held"), F.max("n").alias("asked")).where("held = asked")
-    return hits.join(whole.select("query_id", "chunk_id"), ["query_id", "chunk_id"])
-
-
-def cover_density(hits: DataFrame) -> DataFrame:
-    """(query_id, chunk_id, source_ref, covers, density): over the least stretches with all words, their mean weight by the other words within."""
-    pair = ("query_id", "chunk_id")
-    in_order = Window.partitionBy(*pair).orderBy("pos")
-    rows = hits.withColumn("idx", F.row_number().over(in_order)).withColumn("upto", F.sum("cost").over(in_order))
-    each = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
-    here = F.when(F.col("term") == F.col("other"), F.struct("idx", "pos", (F.col("upto") - F.col("cost")).alias("before")))
-    last = each.withColumn("last", F.max(here).over(Window.partitionBy(*pair, "other").orderBy("idx")))
-    # a stretch that ends here begins with the word whose last place is furthest back
-    ends = last.groupBy(*pair, "source_ref", "n", "idx", "pos", "upto").agg(F.min("last").alias("begin"), F.count("last").alias("held")).where("held = n")
-    before = F.lag("begin.idx").over(Window.partitionBy(*pair).orderBy("idx"))
-    covers = ends.withColumn("earlier", before).where("earlier is null or begin.idx > earlier")
+    found = terms(asked)
+    head, body = words(F.col("source_ref")), words(F.col("content"))
+    texts = chunks.select("chunk_id", "twin_id", "source_ref", F.size(head).alias("first"), F.concat(head, body).alias("ws"))
+    named = candidates(found, texts)
+    vocabulary = found.groupBy("query_id").agg(F.array_distinct(F.flatten(F.collect_list("words"))).alias("vocabulary"))
+    placed = named.drop("grp").dropDuplicates(PAIR).join(vocabulary, "query_id")
+    told = F.filter(F.transform("ws", lambda w, i: F.struct((i + 1).alias("pos"), w.alias("word"))), lambda s: F.array_contains("vocabulary", s["word"]))
+    hits = placed.select(*PAIR, "source_ref", "first", F.explode(told).alias("hit")).select(*PAIR, "source_ref", F.col("hit.pos").alias("pos"), F.col("hit.word").alias("word"), F.when(F.col("hit.pos") <= F.col("first"), PATH_COST).otherwise(CONTENT_COST).alias("cost"))
+    each = found.select("query_id", "grp", "item", "negative", F.size("words").alias("size"), F.posexplode("words").alias("offset", "word"))
+    at = hits.join(each, ["query_id", "word"])
+    whole = at.groupBy(*PAIR, "grp", "item", "negative", "size", (F.col("pos") - F.col("offset") + F.col("size") - 1).alias("end")).agg(F.count("*").alias("held"), F.sum("cost").alias("own")).where("held = size")
+    needs = found.where("not negative").groupBy("query_id", "grp").agg(F.count("*").alias("n"))
+    good = whole.join(needs, ["query_id", "grp"]).groupBy(*PAIR, "grp", "n").agg(F.count_distinct(F.when(~F.col("negative"), F.col("item"))).alias("has"), F.bool_or("negative").alias("hurt")).where("has = n and not hurt")
+    occurrences = whole.join(good.select(*PAIR, "grp", "n"), [*PAIR, "grp"]).select(*PAIR, "grp", "item", "n", "size", F.col("end").alias("pos"), "own")
+    plain = at.where("not negative").select(*PAIR, "source_ref", "pos", "cost").distinct()
+    return occurrences, plain.join(good.select(*PAIR).distinct(), list(PAIR), "left_semi")
+
+
+def cover_density(asked: DataFrame, chunks: DataFrame) -> DataFrame:
+    """(query_id, chunk_id, source_ref, covers, density): over the least stretches that satisfy a question, their mean weight by the other words within."""
+    occurrences, places = matches(asked, chunks)
+    in_order = Window.partitionBy(*PAIR).orderBy("pos")
+    entries = places.withColumn("idx", F.row_number().over(in_order)).withColumn("upto", F.sum("cost").over(in_order))
+    # the words of a term follow each other, so that they are so many entries in a row
+    begin = F.struct((F.col("idx") - F.col("size") + 1).alias("idx"), (F.col("pos") - F.col("size") + 1).alias("pos"), (F.col("upto") - F.col("own")).alias("before"))
+    ends = occurrences.join(entries, [*PAIR, "pos"]).select(*PAIR, "source_ref", "grp", "item", "n", "idx", "pos", "upto", begin.alias("begin"))
+    others = occurrences.groupBy(*PAIR, "grp").agg(F.collect_set("item").alias("items"))
+    each = ends.join(others, [*PAIR, "grp"]).withColumn("other", F.explode("items"))
+    last = each.withColumn("last", F.max(F.when(F.col("item") == F.col("other"), F.col("begin"))).over(Window.partitionBy(*PAIR, "grp", "other").orderBy("idx")))
+    # a stretch that ends here begins with the term whose last place is furthest back; of several groups the shortest stretch counts
+    by_group = last.groupBy(*PAIR, "source_ref", "grp", "n", "idx", "pos", "upto").agg(F.min("last").alias("begin"), F.count_distinct(F.when(F.col("last").isNotNull(), F.col("other"))).alias("held")).where("held = n")
+    stretches = by_group.groupBy(*PAIR, "source_ref", "idx", "pos", "upto").agg(F.max("begin").alias("begin"))
+    covers = stretches.withColumn("earlier", F.lag("begin.idx").over(Window.partitionBy(*PAIR).orderBy("idx"))).where("earlier is null or begin.idx > earlier")
     inner = F.col("idx") - F.col("begin.idx")
     weight = (inner + 1) / (F.col("upto") - F.col("begin.before")) / (1 + F.col("pos") - F.col("begin.pos") - inner)
-    return covers.groupBy(*pair, "source_ref").agg(F.count("*").alias("covers"), F.sum(weight).alias("density"))
+    return covers.groupBy(*PAIR, "source_ref").agg(F.count("*").alias("covers"), F.sum(weight).alias("density"))
 
 
 def lexical_score(density: Column) -> Column:
