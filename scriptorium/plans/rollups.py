@@ -2,15 +2,12 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
-import uuid
-
 from pyspark.sql import Window, functions as F
 
 from scriptorium.operators import conversation as cv
 from scriptorium.plans.registry import query
 from scriptorium.plans.views import chunks, sources, table, with_views
+from scriptorium.sources.folders import shared_folder
 from scriptorium.streaming import metrics
 
 
@@ -165,15 +162,9 @@ def log_metrics(spark, sf_dir):
 @query("s01_log_metrics_stream", _PERIODS)
 def log_metrics_stream(spark, sf_dir):
     events = table(spark, sf_dir, "events")
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        base = "file://" + tempfile.mkdtemp(prefix="scriptorium-")
-    name = "log_metrics_" + uuid.uuid4().hex
     # a folder of files is streamed as it is, a single file by its name
     folder, _, leaf = f"{sf_dir}/events.parquet".rpartition("/")
-    return _rounded(metrics.stream_metrics(spark, f"{folder}/{leaf[:-1]}[{leaf[-1]}]", events.schema, os.path.join(base, name)))
+    return _rounded(metrics.stream_metrics(spark, f"{folder}/{leaf[:-1]}[{leaf[-1]}]", events.schema, shared_folder(spark, "log_metrics")))
 
 
 @query(

@@ -32,6 +32,28 @@ def stream_metrics(spark: SparkSession, path: str, schema, folder: str) -> DataF
     return last.select("period", "event_type", "last.*")
 
 
+def stream_closed(spark: SparkSession, path: str, schema, folder: str, files: int = 1) -> DataFrame:
+    """(period, event_type, events, total, sketch) of the periods that are over, each written once and for good.
+
+    Files are taken ``files`` at a time, oldest first. A period closes when the watermark, the latest time seen less ``LATENESS``,
+    has passed its end; its state goes then, and an event that comes for it later is dropped. The sketch of its values can be merged
+    with those of other periods (:func:`percentile_of`). Each micro-batch writes the periods that it closed under its number.
+    """
+    events = spark.readStream.schema(schema).option("maxFilesPerTrigger", files).parquet(path).withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", LATENESS)
+    grouped = events.groupBy(F.window("ts", PERIOD).alias("w"), "event_type").agg(F.count("*").alias("events"), F.sum("value").alias("total"), F.kll_sketch_agg_double("value").alias("sketch"))
+    closed, place = grouped.select(F.col("w.start").alias("period"), "event_type", "events", "total", "sketch"), folder + "/closed"
+    spark.createDataFrame([], closed.schema).write.mode("overwrite").parquet(f"{place}/batch=-1")
+    put = lambda rows, number: rows.write.mode("overwrite").parquet(f"{place}/batch={number}")
+    closed.writeStream.outputMode("append").foreachBatch(put).option("checkpointLocation", folder + "/state").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(closed.schema).parquet(f"{place}/batch=*")
+
+
+def percentile_of(periods: DataFrame, keys: list[Column | str], share: float = 0.95) -> DataFrame:
+    """``keys``, events and the percentile of all values of the periods, from their merged sketches: exact up to some 200 values, within about 1.3 % of ranks beyond."""
+    merged = periods.groupBy(*keys).agg(F.sum("events").alias("events"), F.kll_merge_agg_double("sketch").alias("sketch"))
+    return merged.withColumn("percentile", F.kll_sketch_get_quantile_double("sketch", F.lit(share))).drop("sketch")
+
+
 def alarms(metrics: DataFrame, breach: Column, periods: int, seconds: int = 300) -> DataFrame:
     """Periods that end a run of ``periods`` consecutive breaches; a period without events is no breach."""
     order = Window.partitionBy("event_type").orderBy("at")
