@@ -438,7 +438,7 @@ _memos: dict[str, dict[str, bytes]] = {}
 
 
 def _memo(lexicon: str, start: dict[str, bytes]) -> dict[str, bytes]:
-    """What this worker remembers between tasks; emptied when it holds more than MEMO_WORDS words."""
+    """What a task remembers; emptied when it holds more than MEMO_WORDS words."""
     memo = _memos.get(lexicon)
     if memo is None or len(memo) > MEMO_WORDS:
         _memos.clear()
@@ -494,6 +494,7 @@ def encode(df: DataFrame, lexicon: str, text: str = "text", path: str | None = N
                         columns.append(pa.array([vocab.decode_bytes(np.frombuffer(x, "<u4")).decode("utf-8", "replace") for x in packed], pa.string()))
                 yield pa.RecordBatch.from_arrays(columns, names=schema.names)
                 done += len(block)
+        _memos.clear()  # Spark keeps the worker, other operators need the memory
 
     place = df.columns.index(text)
     return df.select(F.struct(*[df[c] for c in df.columns]).alias("row")).mapInArrow(run, schema)

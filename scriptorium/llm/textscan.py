@@ -87,13 +87,17 @@ def word_spans(data: np.ndarray, offsets: np.ndarray, letters: np.ndarray = _WOR
 
 
 def _tables(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if len(_powers[0]) < n:
-        size = max(n, SLICE_BYTES + 4096)
-        for k, base in enumerate((_BASE, _INVERSE)):
-            table = np.full(size, base, np.uint64)
+    """Powers of the base and of its inverse. Those for a common slice are kept; longer tables, for very long texts, go again."""
+    found, size = _powers, SLICE_BYTES + 4096
+    if len(found[0]) < n:
+        found = []
+        for base in (_BASE, _INVERSE):
+            table = np.full(max(n, size), base, np.uint64)
             table[0] = 1
-            _powers[k] = np.multiply.accumulate(table)
-    return _powers[0][:n], _powers[1][:n]
+            found.append(np.multiply.accumulate(table))
+        if n <= size:
+            _powers[:] = found
+    return found[0][:n], found[1][:n]
 
 
 def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
