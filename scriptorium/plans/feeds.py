@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F, types as T
 
+from scriptorium.plans import helpers  # noqa: F401  (its query's SQL is used here)
 from scriptorium.plans.registry import ORACLE_SQL, query
 from scriptorium.plans.views import table
 from scriptorium.sources import feed

@@ -6,7 +6,7 @@ from pyspark.sql import Window, functions as F
 
 from scriptorium.operators import retrieval as rt
 from scriptorium.plans.registry import query
-from scriptorium.plans.retrieval import _HINTS, _LAYERS, _base, twin_retrieval, twin_routing
+from scriptorium.plans.retrieval import _HINTS, _LAYERS, twin_retrieval, twin_routing
 from scriptorium.plans.views import chunks, questions, sources, table, with_views
 
 _KEYS = ("EN / src1", "fr/", "part2", "en/src13", "nowhere", "de/src13/part1")
@@ -77,29 +77,6 @@ def workspace_routing(spark, sf_dir):
     return both.select("query_id", F.coalesce("named", "scored").alias("twin_id"), how.alias("routed_by"))
 
 
-@query(
-    "j24_workspace_fan_out",
-    with_views("""ready AS (SELECT c.*, s.twin_id, s.workspace_id FROM chunks c JOIN sources s USING (source_id) WHERE s.status = 'ready'),
-    vp AS (SELECT q.query_id, c.chunk_id, c.twin_id, round(list_cosine_similarity(c.embedding, q.vector), 6) AS score FROM ready c JOIN questions q ON q.query_id % 2 = c.workspace_id
-      WHERE c.embedding IS NOT NULL AND q.vector IS NOT NULL AND chunk_type NOT IN ('memory_brief', 'code_snippet')),
-    v AS (SELECT *, row_number() OVER (PARTITION BY query_id, twin_id ORDER BY score DESC, chunk_id) AS rank FROM vp WHERE score >= 0.15 QUALIFY rank <= 4),
-    br AS (SELECT twin_id, workspace_id, min(chunk_id) AS chunk_id FROM ready WHERE chunk_type = 'memory_brief' GROUP BY ALL),
-    u AS (SELECT query_id, twin_id, chunk_id, score, rank FROM v UNION ALL SELECT q.query_id, br.twin_id, br.chunk_id, 1.0, 0 FROM questions q JOIN br ON q.query_id % 2 = br.workspace_id),
-    d AS (SELECT * FROM u QUALIFY row_number() OVER (PARTITION BY query_id, chunk_id ORDER BY twin_id, rank) = 1)
-    SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY twin_id, rank)::INT AS position, twin_id, chunk_id, score::DOUBLE AS score FROM d"""),
-)
-def workspace_fan_out(spark, sf_dir):
-    """For each question the best chunks of every ready twin of its workspace, each twin's brief before them; a chunk counts once."""
-    asked, ready = _base(spark, sf_dir)
-    asked = asked.withColumn("workspace_id", (F.col("query_id") % 2).cast("int"))
-    found = rt.vector_candidates(asked, ready, 4, scope="workspace_id", keys=("query_id", "twin_id")).select("query_id", "twin_id", "chunk_id", "score", "rank")
-    briefs = ready.where("chunk_type = 'memory_brief'").groupBy("twin_id", "workspace_id").agg(F.min("chunk_id").alias("chunk_id"))
-    first = asked.select("query_id", "workspace_id").join(briefs, "workspace_id").select("query_id", "twin_id", "chunk_id", F.lit(1.0).alias("score"), F.lit(0).alias("rank"))
-    once = rt.top_per_query(found.unionByName(first).withColumnRenamed("rank", "place"), [F.col("twin_id"), F.col("place")], 1, ("query_id", "chunk_id")).drop("rank")
-    order = Window.partitionBy("query_id").orderBy("twin_id", "place")
-    return once.select("query_id", F.row_number().over(order).alias("position"), "twin_id", "chunk_id", "score")
-
-
 _BEST = _LAYERS + _HINTS + """, dm AS (SELECT *, count(*) OVER (PARTITION BY query_id) AS many, row_number() OVER (PARTITION BY query_id, source_ref ORDER BY score DESC, chunk_id) AS place FROM fused),
 sc AS (SELECT query_id, chunk_id, source_ref, round(CASE WHEN many >= 4 AND place > 2 THEN score * 0.62 ELSE score END, 6)::DOUBLE AS score, match_reasons FROM dm),
 best AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM sc QUALIFY rank <= 8),
@@ -127,18 +104,6 @@ def packet_files(spark, sf_dir):
     return _packet_files(spark, sf_dir).withColumn("position", F.row_number().over(Window.partitionBy("query_id").orderBy("priority", "path")))
 
 
-@query(
-    "j26_answer_contract",
-    with_views(_BEST + """ SELECT query_id, concat('<answer_contract>', chr(10), 'mode: general', chr(10), 'searched_layers: vector, lexical, path', chr(10), 'file_anchors:', chr(10),
-      string_agg(concat('  - ', path, ' [', reasons, ']'), chr(10) ORDER BY priority, path), chr(10), '</answer_contract>') AS contract FROM pf GROUP BY query_id"""),
-)
-def answer_contract(spark, sf_dir):
-    line = F.concat(F.lit("  - "), "path", F.lit(" ["), "reasons", F.lit("]"))
-    lines = F.transform(F.array_sort(F.collect_list(F.struct("priority", "path", line.alias("line")))), lambda s: s["line"])
-    head = F.lit("<answer_contract>\nmode: general\nsearched_layers: vector, lexical, path\nfile_anchors:\n")
-    return _packet_files(spark, sf_dir).groupBy("query_id").agg(F.concat(head, F.array_join(lines, "\n"), F.lit("\n</answer_contract>")).alias("contract"))
-
-
 @query(
     "j08_graph_seeds",
     with_views("""s AS (SELECT q.query_id, e.vec_id, round(list_cosine_similarity(e.embedding::DOUBLE[], q.vector), 6) AS score FROM questions q JOIN embeddings e ON e.vec_id % 4 = q.twin_id WHERE q.vector IS NOT NULL)

@@ -9,7 +9,7 @@ import uuid
 from urllib.parse import urlparse
 
 import pyarrow.fs as pafs
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession, label: str) -> str:
@@ -24,3 +24,10 @@ def shared_folder(spark: SparkSession, label: str) -> str:
 
 def filesystem(uri: str) -> tuple[pafs.FileSystem, str]:
     return pafs.FileSystem.from_uri(uri if urlparse(uri).scheme else "file://" + os.path.abspath(uri))
+
+
+def stored(df: DataFrame, label: str) -> DataFrame:
+    """The rows of ``df`` from a table in a shared folder: what many parts of a plan read is worked out once, and lost tasks don't repeat it."""
+    place = shared_folder(df.sparkSession, label)
+    df.write.parquet(place)
+    return df.sparkSession.read.schema(df.schema).parquet(place)
