@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -102,3 +103,41 @@ def hard_pieces(df: DataFrame, key: str, text: str, max_chars: int = MAX_CHARS,
 def paragraphs(df: DataFrame, key: str, text: str) -> DataFrame:
     """(key, paragraph_no, paragraph): blank lines part them."""
     return df.select(key, F.posexplode(F.split(text, r"\n\s*\n")).alias("paragraph_no", "paragraph"))
+
+
+def packed_paragraphs(text: str, most: int, overlap: int) -> Iterator[str]:
+    """Pieces of up to ``most`` characters: whole paragraphs while they fit, and before the first that doesn't, the tail of the piece that it ends.
+    A paragraph that is itself too long is cut into overlapping parts, and what follows starts without a tail."""
+    if len(text) <= most:
+        yield text
+        return
+    piece = ""
+    for paragraph in re.split(r"\n\s*\n", text):
+        joined = (piece + "\n\n" + paragraph).lstrip("\n")
+        if len(piece) + 2 + len(paragraph) <= most:
+            piece = joined
+            continue
+        if piece:
+            yield piece
+        if len(paragraph) > most:
+            yield from (paragraph[at : at + most] for at in range(0, len(paragraph), most - overlap))
+            piece = ""
+        else:
+            tail = piece[-overlap:] if overlap else piece
+            piece = (tail + "\n\n" + paragraph).lstrip("\n") if tail else paragraph
+    if piece:
+        yield piece
+
+
+def paragraph_pieces(df: DataFrame, key: str, text: str, max_chars: int = MAX_CHARS, overlap: int = OVERLAP) -> DataFrame:
+    """(key, piece_no, piece) for the pieces of each text. A null text has none, an empty one an empty piece."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i, value in enumerate(batch.column(1)):
+                if value.is_valid:
+                    pieces = list(packed_paragraphs(value.as_py(), max_chars, overlap))
+                    own = batch.column(0).take(pa.array([i] * len(pieces), pa.int64()))
+                    yield pa.RecordBatch.from_arrays([own, pa.array(range(len(pieces)), pa.int32()), pa.array(pieces, pa.string())], names=[key, "piece_no", "piece"])
+
+    return df.select(df[key], df[text]).mapInArrow(run, f"{key} {df.schema[key].dataType.simpleString()}, piece_no int, piece string")

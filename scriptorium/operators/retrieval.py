@@ -2,12 +2,17 @@
 
 The question set is the small side. It is broadcast only while its measured size is below
 ``BROADCAST_QUESTIONS`` rows; beyond, chunks are dealt into ``SLICES`` and each slice of a twin's chunks is met with a
-copy of its questions, so that no twin's pairs are one task's.
+copy of its questions, so that no twin's pairs are one task's. Vectors are searched block by block against the packed vectors
+of the questions, as long as those take ``PACKED_VALUES`` numbers at most: a task sends on its own best chunks of each question only.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 MIN_SCORE = 0.15
 DEMOTION = 0.62
@@ -16,6 +21,7 @@ DENSE_BUDGET, LEXICAL_BUDGET, PATH_BUDGET = 8, 6, 4
 GUARANTEED_TOTAL, GUARANTEED_PER_REF = 8, 2
 MAX_TOKENS = 16
 BROADCAST_QUESTIONS, SLICES = 20_000, 64
+PACKED_VALUES, BLOCK_PAIRS, HELD_PAIRS = 1 << 23, 1 << 21, 1 << 18
 
 # Words that lexical search passes over.
 STOPWORDS = (
@@ -53,10 +59,76 @@ def vector_candidates(questions: DataFrame, chunks: DataFrame, k: int = DENSE_BU
         kinds &= F.col("chunk_type") != "code_snippet"
     ready = chunks.where(F.col("embedding").isNotNull() & kinds).select("chunk_id", "source_ref", "embedding", *dict.fromkeys((scope, "twin_id")))
     asked = questions.where("vector is not null").select("query_id", scope, "vector")
+    packed = _packed(asked, scope)
+    if packed is not None:
+        return top_per_query(_nearest(ready, packed, k, scope, keys), [F.desc("score"), F.col("chunk_id")], k, keys)
     pairs = met(ready, asked, scope).withColumn("score", F.round(cosine(F.col("embedding"), F.col("vector")), 6))
     return top_per_query(pairs.where(F.col("score") >= MIN_SCORE).select("query_id", "chunk_id", "source_ref", "twin_id", "score"), [F.desc("score"), F.col("chunk_id")], k, keys)
 
 
+def _packed(asked: DataFrame, scope: str) -> pa.Table | None:
+    """Keys, scopes and vectors of the questions, if their measured size is small; null otherwise."""
+    size = asked.limit(BROADCAST_QUESTIONS + 1).agg(F.count("*").alias("n"), F.sum(F.size("vector")).alias("values")).first()
+    return asked.select("query_id", scope, "vector").toArrow() if size.n <= BROADCAST_QUESTIONS and (size["values"] or 0) <= PACKED_VALUES else None
+
+
+def _matrix(column: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """The rows of so many components, and their unit vectors; a null component is not a number."""
+    rows = np.flatnonzero(np.asarray(column.value_lengths().fill_null(-1)) == width)
+    x = column.take(pa.array(rows)).flatten().cast(pa.float64()).to_numpy(zero_copy_only=False).reshape(len(rows), width)
+    with np.errstate(invalid="ignore", divide="ignore"):
+        return rows, x / np.sqrt((x * x).sum(1, keepdims=True))
+
+
+def _nearest(ready: DataFrame, packed: pa.Table, k: int, scope: str, keys: tuple[str, ...]) -> DataFrame:
+    """(query_id, chunk_id, source_ref, twin_id, score): of each task its ``k`` best chunks for each question, or for each twin of a question if ``keys`` say so."""
+    packed = packed.combine_chunks()
+    column = lambda name: packed.column(name).chunk(0) if packed.num_rows else pa.array([], packed.schema.field(name).type)
+    query_ids, scopes, vectors = column("query_id"), np.array(packed.column(scope).to_pylist(), object), column("vector")
+    by_twin = "twin_id" in keys
+    blocks = []  # of questions of one scope whose vectors have one length
+    for width in sorted({n for n in vectors.value_lengths().to_pylist() if n}):
+        rows, unit = _matrix(vectors, width)
+        for one in sorted(set(scopes[rows].tolist()), key=repr):
+            mine = np.array([x == one for x in scopes[rows]])
+            blocks.append((width, one, rows[mine], unit[mine]))
+    fields = dict(zip(ready.columns, ready.schema.fields))
+    schema = T.StructType([T.StructField("question", T.IntegerType()), fields["chunk_id"], fields["source_ref"], fields["twin_id"], T.StructField("score", T.DoubleType())])
+
+    def best(held: list[pa.Table]) -> pa.Table:
+        rows = pa.concat_tables(held)
+        question, score, chunk = (rows.column(c).to_numpy() for c in ("question", "score", "chunk_id"))
+        group = question if not by_twin else np.unique(np.array([f"{q}/{t}" for q, t in zip(question.tolist(), rows.column("twin_id").to_pylist())], object).astype(str), return_inverse=True)[1]
+        order = np.lexsort((chunk, -score, group))
+        opens = np.concatenate([[True], group[order][1:] != group[order][:-1]]) if len(order) else np.zeros(0, bool)
+        place = np.arange(len(order)) - np.maximum.accumulate(np.where(opens, np.arange(len(order)), 0))
+        return rows.take(pa.array(order[place < k]))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.Table] = []
+        for batch in batches:
+            of = np.array(batch.column(scope).to_pylist(), object)
+            for width in sorted({b[0] for b in blocks}):
+                rows, unit = _matrix(batch.column("embedding"), width)
+                for _, one, asked, vector in (b for b in blocks if b[0] == width):
+                    mine = np.flatnonzero(np.array([x == one for x in of[rows]], bool)) if len(rows) else rows
+                    for lo in range(0, len(mine), max(1, BLOCK_PAIRS // len(asked))):
+                        part = mine[lo : lo + max(1, BLOCK_PAIRS // len(asked))]
+                        score = np.floor(unit[part] @ vector.T * 1e6 + 0.5) / 1e6  # rounded half up, as everywhere
+                        i, j = np.nonzero(score >= MIN_SCORE)
+                        own = pa.array(rows[part[i]])
+                        columns = {"question": pa.array(asked[j], pa.int32())} | {c: batch.column(c).take(own) for c in ("chunk_id", "source_ref", "twin_id")} | {"score": pa.array(score[i, j])}
+                        held.append(pa.table(columns))
+                        if sum(t.num_rows for t in held) > HELD_PAIRS:
+                            held = [best(held)]
+        if held:
+            yield from best(held).combine_chunks().to_batches()
+
+    found = ready.select("chunk_id", "source_ref", "embedding", *dict.fromkeys((scope, "twin_id"))).mapInArrow(run, schema)
+    names = ready.sparkSession.createDataFrame(pa.table({"question": pa.array(np.arange(len(query_ids)), pa.int32()), "query_id": query_ids}))
+    return found.join(F.broadcast(names), "question").select("query_id", "chunk_id", "source_ref", "twin_id", "score")
+
+
 RUN = "[a-z0-9_./-]{3,}"
 
 

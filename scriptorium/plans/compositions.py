@@ -6,12 +6,12 @@ import re
 
 from pyspark.sql import Window, functions as F
 
-from scriptorium.operators import packets as pk, retrieval as rt
+from scriptorium.operators import context, packets as pk, policy, retrieval as rt
 from scriptorium.plans import modes, planning
 from scriptorium.plans.registry import query
 from scriptorium.plans.retrieval import _LAYERS, _base
 from scriptorium.plans.search import _FULL_TEXT
-from scriptorium.plans.views import sources, with_views
+from scriptorium.plans.views import chunks, sources, with_views
 from scriptorium.plans.workspace import _MATCH, _ROUTE, _structure_route
 from scriptorium.sources.folders import stored
 
@@ -192,3 +192,34 @@ def evidence_packets(spark, sf_dir):
 @query("j26_answer_contract", with_views(_PACKETS + " SELECT query_id, contract FROM ct"))
 def answer_contract(spark, sf_dir):
     return packets(spark, sf_dir).select("query_id", pk.answer_contract(F.col("mode"), F.col("intent"), F.col("layers"), F.col("files"), F.col("missing")).alias("contract"))
+
+
+_SECRET = policy.ANY_SECRET.replace("'", "''")
+
+
+@query(
+    "j31_question_prompts",
+    with_views("asks AS (SELECT *, query_id AS qno FROM questions), " + _ASKED + f""", rd AS (SELECT chunk_id, concat('[', source_ref, ']', chr(10), CASE WHEN content = '' THEN '' ELSE array_to_string(list_transform(string_split(regexp_replace(content, '\\n$', ''), chr(10)), lambda x: CASE WHEN regexp_matches(x, '{_SECRET}') THEN '{policy.REDACTED}' ELSE x END), chr(10)) END) AS part FROM ready_a),
+    cx AS (SELECT query_id, string_agg(part, concat(chr(10), chr(10), '---', chr(10), chr(10)) ORDER BY rank) AS context FROM best_a JOIN rd USING (chunk_id) GROUP BY query_id),
+    sl AS (SELECT twin_id, string_agg(concat('- ', name, ' (', replace(source_type, '_', ' '), ')', CASE WHEN status = 'ready' THEN '' ELSE concat(' [', status, ']') END), chr(10) ORDER BY name) AS sources FROM sources GROUP BY twin_id)
+    SELECT a.query_id, length(context) AS chars, sha256(coalesce(context, '{context.NO_EXCERPTS}')) AS context_sha256, coalesce(sources, '(none)') AS sources FROM asks a LEFT JOIN cx USING (query_id) LEFT JOIN sl ON sl.twin_id = a.twin_id"""),
+)
+def question_prompts(spark, sf_dir):
+    """The excerpts that a question is answered from, whole and redacted, and the list of its twin's sources."""
+    asked = stored(_base(spark, sf_dir)[0].withColumn("qno", F.col("query_id")), "asks")
+    best, _ = _retrieved(spark, sf_dir, asked)
+    found = context.excerpts(asked, best, chunks(spark, sf_dir, vectors=False))
+    lines = asked.select("query_id", "twin_id").join(context.source_lines(sources(spark, sf_dir), "twin_id"), "twin_id", "left")
+    both = found.join(lines, "query_id")
+    return both.select("query_id", F.length("context").cast("long").alias("chars"), F.sha2("context", 256).alias("context_sha256"), F.coalesce("sources", F.lit(context.NO_SOURCES)).alias("sources"))
+
+
+@query(
+    "j33_budgeted_memory",
+    with_views("""o AS (SELECT twin_id, chunk_id, chunk_type, source_ref, content, row_number() OVER w AS no, sum(length(content)) OVER w AS spent FROM chunks JOIN sources USING (source_id) WINDOW w AS (PARTITION BY twin_id ORDER BY chunk_id))
+    SELECT twin_id, count(*) AS chunks, sha256(string_agg(concat('[', chunk_type, '] ', source_ref, chr(10), content), concat(chr(10), chr(10), '---', chr(10), chr(10)) ORDER BY chunk_id)) AS context_sha256 FROM o WHERE no <= 200 AND spent <= 80000 GROUP BY twin_id"""),
+)
+def budgeted_memory(spark, sf_dir):
+    """What is remembered of each twin: its first chunks, at most 200, as long as they stay within 80,000 characters."""
+    rows = chunks(spark, sf_dir, vectors=False).join(sources(spark, sf_dir).select("source_id", "twin_id"), "source_id")
+    return context.memory_context(rows).select("twin_id", "chunks", F.sha2("context", 256).alias("context_sha256"))

@@ -140,6 +140,13 @@ def paragraph_rows(spark, sf_dir):
     return chunking.paragraphs(table(spark, sf_dir, "documents"), "doc_id", "text").select("doc_id", "paragraph_no", tx.content_hash(F.col("paragraph")).alias("paragraph_sha256"))
 
 
+@query("i12_paragraph_pieces")
+def paragraph_pieces(spark, sf_dir):
+    """Texts packed by paragraph with the tail of the piece before; paragraphs end before sentences that start with `The`. A fold, which SQL doesn't express."""
+    text = F.replace("text", F.lit("\nThe "), F.lit("\n\nThe ")).alias("text")
+    return chunking.paragraph_pieces(table(spark, sf_dir, "documents").select("doc_id", text), "doc_id", "text").select("doc_id", "piece_no", F.length("piece").alias("chars"), tx.content_hash(F.col("piece")).alias("piece_sha256"))
+
+
 @query(
     "d11_root_hash",
     with_views("""l AS (SELECT DISTINCT source_id, concat(source_ref, ':', sha256(content)) AS line FROM chunks)
