@@ -62,7 +62,7 @@ def memory_refs(provenance: Column, content: Column) -> Column:
     """The files behind a memory chunk, with how they are known: those of its provenance, or else those that its text names."""
     known = F.filter(F.coalesce(provenance, F.array().cast("array<string>")), looks_like_path)
     text = F.coalesce(content, F.lit(""))
-    told = F.concat(F.transform(F.regexp_extract_all(text, F.lit(QUOTED), 1), F.trim), F.regexp_extract_all(text, F.lit(FILE), 0))
+    told = F.concat(F.transform(F.regexp_extract_all(text, F.lit(QUOTED), 1), lambda x: F.trim(x)), F.regexp_extract_all(text, F.lit(FILE), 0))
     as_refs = lambda paths, how: F.transform(F.array_distinct(paths), lambda p: F.struct(p.alias("path"), F.lit(how).alias("how")))
     return F.when(F.size(known) > 0, as_refs(known, "memory:provenance")).otherwise(as_refs(F.filter(told, looks_like_path), "memory:content"))
 

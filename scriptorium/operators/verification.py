@@ -124,6 +124,47 @@ def unsupported_code(answer: Column, snippets: Column) -> Column:
     return F.exists(F.regexp_extract_all(answer, F.lit(FENCED), 1), lambda b: ~is_grounded_block(b, snippets))
 
 
+def _tidy(answer: Column) -> Column:
+    return F.regexp_replace(F.regexp_replace(answer, r"^\s+|\s+$", ""), "\n{3,}", "\n\n")
+
+
+def drop_code(answer: Column, snippets: Column) -> Column:
+    """The answer without fenced blocks that stand in no snippet."""
+    parts = F.split(F.regexp_replace(answer, FENCED, "\u0001$0\u0001"), "\u0001")  # every other part is a block
+    kept = F.transform(parts, lambda p, i: F.when((i % 2 == 1) & ~is_grounded_block(F.regexp_extract(p, FENCED, 1), snippets), "").otherwise(p))
+    return _tidy(F.array_join(kept, ""))
+
+
+def is_denial(line: Column, facts: Column) -> Column:
+    """Whether a line denies, bounded or not, a kind of fact that the evidence has."""
+    return (line.rlike(NEGATIVE) | line.rlike(BOUNDED)) & denies_present(line, facts)
+
+
+def drop_denials(answer: Column, facts: Column) -> Column:
+    return _tidy(F.array_join(F.filter(F.split(answer, "\n"), lambda line: ~is_denial(line, facts)), "\n"))
+
+
+def with_bounds_and_gaps(answer: Column, layers: Column, gaps: Column) -> Column:
+    """:func:`with_bounds`, followed by what retrieval says it lacks, six items at most."""
+    # fixed values: the headings and the closing remark
+    told = F.slice(F.filter(F.transform(gaps, lambda g: F.trim(g)), lambda g: g != ""), 1, 6)
+    lines = F.array_join(F.transform(told, lambda g: F.concat(F.lit("- "), g)), "\n")
+    more = F.concat(F.lit("\n\n## Grounded gaps (from retrieval)\n"), lines, F.lit("\n\nTreat these as unknown within the current packet—not as proof something does not exist globally."))
+    return F.when(claims_absence(answer), F.concat(with_bounds(answer, layers), F.when(F.size(told) > 0, more).otherwise(""))).otherwise(answer)
+
+
+def rewritten(answer: Column, issues: Column, bad_refs: Column, snippets: Column, facts: Column) -> Column:
+    """What is left of an answer with issues: no line that cites what the evidence lacks, no invented code, no denial of what is there."""
+    clean = drop_code(drop_lines(answer, bad_refs), snippets)
+    return F.when(F.size(issues) == 0, answer).when(F.array_contains(issues, "contradicted_absence_claim"), drop_denials(clean, facts)).otherwise(clean)
+
+
+def leaks(body: Column, others: Column) -> Column:
+    """Whether a project's section names another project, as a whole word in any case."""
+    quoted = lambda x: F.regexp_replace(x, r"([^\p{L}\p{N}_\s])", r"\\$1")
+    return F.exists(others, lambda x: F.rlike(body, F.concat(F.lit(r"(?i)\b"), quoted(x), F.lit(r"\b"))))
+
+
 def sections(answer: Column) -> Column:
     """A map from the names of an answer's second-level headings to the text below; of repeated names the last counts."""
     marked = F.regexp_replace(answer, r"(?m)^##[ \t]+(\S.*?)[ \t]*$", "\u0001$1\u0002")

@@ -27,13 +27,17 @@ def _packet(spread: str) -> str:
 
 
 def _answers(spark, sf_dir):
-    table(spark, sf_dir, "conversations").createOrReplaceTempView("verified_conversations")
-    return spark.sql(_packet("array({})").replace("FROM conversations", "FROM verified_conversations").replace("chr(10)", "char(10)"))
+    return spark.sql(_packet("array({})").replace("FROM conversations", "FROM {turns}").replace("chr(10)", "char(10)"), turns=table(spark, sf_dir, "conversations"))
 
 
 _q = lambda pattern: "'" + pattern.replace("'", "''") + "'"
 _IS_FILE = f"(x <> '' AND NOT contains(x, '@') AND (NOT contains(x, ':') OR regexp_full_match(x, {_q(vf.PLAIN_FILE)})) AND (contains(x, '/') OR regexp_full_match(x, {_q(vf.PLAIN_FILE)})))"
 _DENIES = " OR ".join(f"(list_has_any(facts, {list(kinds)}) AND len(list_filter({list(phrases)}, lambda p: contains(lower(l), p))) > 0)" for kinds, phrases in vf.DENIALS)
+_CODE_LINE = "CASE WHEN trim(l) IN ('', '```', 'pass') OR regexp_matches(trim(l), '^(#|//|/\\*|\\*)') THEN '' ELSE regexp_replace(trim(l), '\\s+', ' ', 'g') END"
+_CODE = f"list_filter(list_transform(string_split({{}}, chr(10)), lambda l: {_CODE_LINE}), lambda l: l <> '')"
+_BLOB = f"array_to_string({_CODE.format('snippet')}, chr(10))"
+_GROUNDED = f"""(len(list_filter(string_split({{0}}, chr(10)), lambda l: regexp_matches(l, {_q(vf.PLACEHOLDER)}) AND ({_CODE_LINE} = '' OR NOT contains(lower({_BLOB}), lower({_CODE_LINE}))))) = 0
+  AND (len({_CODE.format('{0}')}) = 0 OR len(list_filter({_CODE.format('{0}')}, lambda l: contains({_BLOB}, l))) >= greatest(1, least(2, len({_CODE.format('{0}')})))))"""
 _SQL = f"""WITH p AS ({_packet("[{}]")}),
 r AS (SELECT *, list_transform(regexp_extract_all(answer, {_q(vf.BACKTICK)}, 1), lambda x: trim(x)) AS ticks, list_distinct(files || list_transform(files, lambda x: string_split(x, '/')[-1])) AS allowed FROM p),
 s AS (SELECT *, list_sort(list_distinct(regexp_extract_all(answer, {_q(vf.PLAIN_FILE)}) || list_filter(ticks, lambda x: {_IS_FILE}))) AS file_refs,
@@ -43,7 +47,7 @@ t AS (SELECT *, list_filter(file_refs, lambda x: NOT list_contains(allowed, x))
   len(list_filter(allowed || symbols, lambda x: contains(lower(answer), lower(x)))) > 0 AS anchored,
   regexp_matches(answer, {_q(vf.NEGATIVE)}) AND NOT regexp_matches(answer, {_q(vf.BOUNDED)}) AS unbounded,
   len(list_filter(string_split(answer, chr(10)), lambda l: (regexp_matches(l, {_q(vf.NEGATIVE)}) OR regexp_matches(l, {_q(vf.BOUNDED)})) AND ({_DENIES}))) > 0 AS contradicted,
-  (conv_id + turn) % 6 IN (4) AS bad_code FROM s)"""
+  len(list_filter(regexp_extract_all(answer, {_q(vf.FENCED)}, 1), lambda b: NOT {_GROUNDED.format("b")})) > 0 AS bad_code FROM s)"""
 
 
 @query("i25_references", _SQL + " SELECT conv_id, turn, array_to_string(file_refs, ',') AS files, array_to_string(symbol_refs, ',') AS symbols FROM t")
@@ -54,7 +58,7 @@ def references(spark, sf_dir):
 
 @query("j16_grounded_code", _SQL + " SELECT conv_id, turn, bad_code AS unsupported_code FROM t WHERE contains(answer, '```')")
 def grounded_code(spark, sf_dir):
-    """Of answers with fenced code: whether a block of it stands in no snippet. The SQL states the answers made so."""
+    """Of answers with fenced code: whether a block of it stands in no snippet."""
     return _answers(spark, sf_dir).where("contains(answer, '```')").select("conv_id", "turn", vf.unsupported_code(F.col("answer"), F.array("snippet")).alias("unsupported_code"))
 
 
@@ -91,6 +95,40 @@ def verified_answer(spark, sf_dir):
     return rows.select("conv_id", "turn", F.array_join("issues", ",").alias("issues"), (F.size("issues") == 0).alias("verified"), F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"), falls.alias("falls_back"))
 
 
+_TIDY = "regexp_replace(regexp_replace({}, '^\\s+|\\s+$', '', 'g'), '\\n{{3,}}', chr(10) || chr(10), 'g')"
+_GAPS = "CASE WHEN conv_id % 5 < 2 THEN {} ELSE {} END"
+
+
+@query(
+    "j13_rewritten_answer",
+    _SQL + f""", v AS (SELECT *, bad_files || bad_symbols AS bad, len(bad_files) > 0 OR len(bad_symbols) > 0 OR bad_code OR contradicted OR (mode <> 'general' AND NOT anchored) AS faulty FROM t),
+    d AS (SELECT *, CASE WHEN len(bad) = 0 THEN answer ELSE {_TIDY.format("array_to_string(list_filter(string_split(answer, chr(10)), lambda l: len(list_filter(bad, lambda b: contains(lower(l), lower(b)))) = 0), chr(10))")} END AS no_refs FROM v),
+    b AS (SELECT *, string_split(regexp_replace(no_refs, {_q(vf.FENCED)}, chr(1) || '\\0' || chr(1), 'g'), chr(1)) AS parts FROM d),
+    c AS (SELECT *, {_TIDY.format(f"array_to_string(list_transform(parts, lambda x, i: CASE WHEN i % 2 = 0 AND NOT {_GROUNDED.format('regexp_extract(x, ' + _q(vf.FENCED) + ', 1)')} THEN '' ELSE x END), '')")} AS no_code FROM b),
+    e AS (SELECT *, CASE WHEN NOT faulty THEN answer WHEN contradicted THEN {_TIDY.format(f"array_to_string(list_filter(string_split(no_code, chr(10)), lambda l: NOT ((regexp_matches(l, {_q(vf.NEGATIVE)}) OR regexp_matches(l, {_q(vf.BOUNDED)})) AND ({_DENIES}))), chr(10))")} ELSE no_code END AS kept,
+      list_filter(list_transform({_GAPS.format("['lexical', '  ', ' no_embedding_profiles']", "[]::VARCHAR[]")}, lambda g: trim(g)), lambda g: g <> '') AS gaps FROM c),
+    o AS (SELECT *, CASE WHEN regexp_matches(kept, {_q(vf.NEGATIVE)}) AND NOT regexp_matches(kept, {_q(vf.BOUNDED)}) THEN concat(regexp_replace(kept, '\\s+$', ''), chr(10), chr(10), '## Bounds', chr(10), 'Any absence claims above are bounded to the searched layers for this turn: ', array_to_string(layers, ', '), '.',
+      CASE WHEN len(gaps) > 0 THEN concat(chr(10), chr(10), '## Grounded gaps (from retrieval)', chr(10), array_to_string(list_transform(gaps, lambda g: concat('- ', g)), chr(10)), chr(10), chr(10), 'Treat these as unknown within the current packet—not as proof something does not exist globally.') ELSE '' END) ELSE kept END AS final FROM e)
+    SELECT conv_id, turn, final <> answer AS rewritten, length(final) AS chars, sha256(final) AS answer_sha256 FROM o""",
+)
+def rewritten_answer(spark, sf_dir):
+    """Each answer as it may stand: without what its packet doesn't support, its denials bounded, with the packet's gaps."""
+    answer, files, symbols, facts = F.col("answer"), F.col("files"), F.col("symbols"), F.col("facts")
+    rows = _answers(spark, sf_dir).withColumn("bad_files", vf.unsupported_files(answer, files)).withColumn("bad_symbols", vf.unsupported_symbols(answer, files, symbols, F.col("snippet")))
+    flags = {
+        "unsupported_file_reference": F.size("bad_files") > 0,
+        "unsupported_symbol_reference": F.size("bad_symbols") > 0,
+        "unsupported_code_block": vf.unsupported_code(answer, F.array("snippet")),
+        "contradicted_absence_claim": F.exists(F.split(answer, "\n"), lambda line: vf.is_denial(line, facts)),
+        "missing_grounded_anchor": F.col("mode").isin(*vf.ANCHORED_MODES) & ~vf.has_anchor(answer, files, symbols),
+    }
+    rows = rows.withColumn("issues", F.array_compact(F.array(*[F.when(found, name) for name, found in flags.items()])))
+    kept = rows.withColumn("kept", vf.rewritten(answer, F.col("issues"), F.concat("bad_files", "bad_symbols"), F.array("snippet"), facts))
+    gaps = F.expr(_GAPS.format("array('lexical', '  ', ' no_embedding_profiles')", "cast(array() as array<string>)"))
+    final = kept.withColumn("final", vf.with_bounds_and_gaps(F.col("kept"), F.col("layers"), gaps))
+    return final.select("conv_id", "turn", (F.col("final") != answer).alias("rewritten"), F.length("final").cast("long").alias("chars"), F.sha2("final", 256).alias("answer_sha256"))
+
+
 @query(
     "j18_bounded_negatives",
     _SQL + r""" SELECT conv_id, turn, unbounded AS needs_bounds, sha256(CASE WHEN unbounded THEN concat(regexp_replace(answer, '\s+$', ''), chr(10), chr(10), '## Bounds', chr(10), 'Any absence claims above are bounded to the searched layers for this turn: ', array_to_string(layers, ', '), '.') ELSE answer END) AS answer_sha256 FROM t""",
