@@ -359,10 +359,10 @@ class Sketches:
             x = x[:, :width] ^ x[:, width:]
         return x
 
-    def near(self, i: np.ndarray, other: Sketches, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def near(self, i: np.ndarray, other: Sketches, j: np.ndarray, percent: int = 75) -> tuple[np.ndarray, np.ndarray]:
         """The places of the pairs (i, j) that may be similar, and in how many bits they differ."""
         m, n = self.n[i], other.n[j]
-        at = np.flatnonzero((4 * m >= 3 * n) & (4 * n >= 3 * m))
+        at = np.flatnonzero((100 * m >= percent * n) & (100 * n >= percent * m))
         shape = self.width[i[at]] << 32 | other.width[j[at]]
         found, off = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         for both in np.unique(shape).tolist():
@@ -371,7 +371,7 @@ class Sketches:
             for lo in range(0, len(mine), step):
                 part = mine[lo : lo + step]
                 d = np.bitwise_count(self._rows(i[part], w, min(w, v)) ^ other._rows(j[part], v, min(w, v))).sum(1, dtype=np.int64)
-                ok = d <= (m[part] + n[part]) // 7
+                ok = d <= (m[part] + n[part]) * (100 - percent) // (100 + percent)
                 found.append(part[ok])
                 off.append(d[ok])
         return np.concatenate(found), np.concatenate(off)
@@ -412,14 +412,14 @@ def _column(table_: pa.Table, name: str) -> pa.Array:
     return chunks.chunk(0) if chunks.num_chunks == 1 else chunks.combine_chunks()
 
 
-def near_pairs(pairs: DataFrame, drawn: DataFrame) -> DataFrame:
+def near_pairs(pairs: DataFrame, drawn: DataFrame, percent: int = 75) -> DataFrame:
     """(a, b, off) for those of the pairs (a, b) whose sketches allow a link; ``drawn`` is (cls, n, sketch)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             a, b = (Sketches(batch.column("sketch_" + c), batch.column("n_" + c)) for c in "ab")
             each = np.arange(batch.num_rows)
-            at, off = a.near(each, b, each)
+            at, off = a.near(each, b, each, percent)
             yield _pairs(batch.column("a").to_numpy()[at], batch.column("b").to_numpy()[at], off)
 
     of = lambda c: drawn.select(F.col("cls").alias(c), F.col("n").alias("n_" + c), F.col("sketch").alias("sketch_" + c))
@@ -443,7 +443,7 @@ def near_neighbours(kept: DataFrame, drawn: DataFrame) -> DataFrame:
     return placed.join(drawn, "cls").select("grp", "cls", "n", "sketch").repartition("grp").sortWithinPartitions("grp", "n", "cls").mapInArrow(run, NEAR)
 
 
-def near_across(kept: DataFrame, drawn: DataFrame, roots: DataFrame) -> DataFrame:
+def near_across(kept: DataFrame, drawn: DataFrame, roots: DataFrame, percent: int = 75) -> DataFrame:
     """(a, b, off) for all sets that share a signature of ``kept`` across components, where their sketches allow a link.
 
     Blocks of a signature's sets meet block by block; no group holds more than two.
@@ -461,7 +461,7 @@ def near_across(kept: DataFrame, drawn: DataFrame, roots: DataFrame) -> DataFram
                     if crossed[lo]:
                         other = block[i] != block[j]
                         i, j = i[other], j[other]
-                    at, off = own.near(i, own, j)
+                    at, off = own.near(i, own, j, percent)
                     if len(at):
                         yield _pairs(cls[i[at]], cls[j[at]], off)
 

@@ -6,11 +6,11 @@ permutations make all ``BANDS * ROWS`` coordinates, and a shingle reads them as
 all coordinates of a band meet in a bucket.
 
 * Documents of equal sets are one class from the start. A bucket holds each class once, and no bucket gives all its pairs:
-  in a few rounds each class is verified with the members that its buckets name as centres, of those the ones that most of
-  its buckets name. The components of the links are known then, and only buckets across components go on.
+  in a few rounds each class is verified with the members that its buckets name as centres, first the best-connected ones,
+  of those the ones that most of its buckets name. The components of the links are known then, and only buckets across components go on.
 * Of those, buckets of up to ``COLD`` classes give their pairs across components. The classes of larger ones are compared
   without the buckets, by an exact prefix filter: similar sets share one of the smaller one's rarest ninth of shingles, so
-  sets that only have a long common passage never meet.
+  sets that only have a long common passage never meet; pairs whose odd sketches differ too much are dropped, which no link is.
 * Pairs are verified on the whole texts (``jaccard.verify``), and components found by star rounds (``jaccard.components``).
 
 A pair of similarity 0.8 is in no common bucket with a probability of (1 - 0.8**5) ** 40, about 1.3e-7, a nearer pair with
@@ -31,7 +31,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from scriptorium.llm.jaccard import components, fingerprints, text_sets, verify
+from scriptorium.llm.jaccard import components, fingerprints, near_across, sketches, text_sets, verify
 from scriptorium.llm.lookup import Lookup, write_lookup
 from scriptorium.llm.shared import drop_folder, drop_table, map_file, new_folder, put_file, stored, table
 from scriptorium.llm.textscan import mix, ragged
@@ -110,9 +110,14 @@ def _rooted(shared: DataFrame, roots: DataFrame | None) -> DataFrame:
 
 
 def star_pairs(shared: DataFrame, roots: DataFrame | None, number: int) -> DataFrame:
-    """(a, b): each class with those centres of its buckets, of other components, that most of its buckets name."""
+    """(a, b): each class with those centres of its buckets, of other components, that most of its buckets name.
+
+    At first a bucket's centre is the class that meets most others in all its buckets, as the text that others are copies
+    of does; later, one by a hash.
+    """
     placed = _rooted(shared, roots)
-    centre = F.min_by(F.struct(F.col("cls").alias("centre"), F.col("root").alias("its")), F.xxhash64(F.lit(number), "cls"))
+    first = F.struct(-F.col("met") if number == 0 else F.lit(0), F.xxhash64(F.lit(number), "cls"))
+    centre = F.min_by(F.struct(F.col("cls").alias("centre"), F.col("root").alias("its")), first)
     centres = placed.groupBy("grp").agg(centre.alias("c"), F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("grp", "c.*")
     named = placed.join(centres, "grp").where("root <> its").groupBy("cls", "centre").agg(F.count("*").alias("times"))
     best = F.row_number().over(Window.partitionBy("cls").orderBy(F.desc("times"), "centre"))  # a class has BANDS centres at most
@@ -139,7 +144,7 @@ def draw_sets(docs: DataFrame, wanted: DataFrame, members: DataFrame, words: int
 
 
 def prefix_pairs(drawn: DataFrame, roots: DataFrame | None, percent: int) -> DataFrame:
-    """(a, b): all pairs across components that share one of their rarest shingles, as every similar pair does.
+    """(a, b): the pairs across components that share one of their rarest shingles, as every similar pair does, and whose sketches allow a link.
 
     Similar sets of sizes m <= n have at least p / (100 + p) * (m + n) shingles in common, hence 2 p / (100 + p) * m and
     p / 100 * n. So one of the smaller set's first m - 2 p m / (100 + p) + 1 is among the larger one's first n - p n / 100 + 1.
@@ -171,19 +176,32 @@ def prefix_pairs(drawn: DataFrame, roots: DataFrame | None, percent: int) -> Dat
                 columns = np.concatenate(rare).view(np.int64), np.repeat(batch.column(0).to_numpy(), each), np.repeat(n, each), first
                 yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], names=["grp", "cls", "n", "first"])
 
-    placed = stored(_rooted(drawn.mapInArrow(prefix, "grp long, cls long, n long, first boolean"), roots), "prefixes")
+    placed = stored(drawn.mapInArrow(prefix, "grp long, cls long, n long, first boolean"), "prefixes")
     drop_folder(folder)
-    return across(placed, percent).distinct()
+    shared = placed.groupBy("grp").agg(F.max("first").alias("any"), F.min("cls").alias("x"), F.max("cls").alias("y")).where("any and x <> y").select("grp")
+    kept = placed.join(shared, "grp", "left_semi").select(F.col("grp").alias("bucket"), F.lit(0).cast("long").alias("code"), "cls", "n")
+    known = drawn.select("cls", F.col("cls").alias("root")).limit(0) if roots is None else roots
+    return near_across(kept, draw_sketches(drawn), known, percent).select("a", "b").distinct()
+
+
+def draw_sketches(drawn: DataFrame) -> DataFrame:
+    """(cls, n, sketch) of (cls, shingles)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [np.frombuffer(x, np.uint64) for x in batch.column(1).to_pylist()]
+            n = np.array([len(x) for x in sets], np.int64)
+            found = sketches(np.concatenate(sets), n) if sets else []
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n), pa.array(found, pa.binary())], names=["cls", "n", "sketch"])
+
+    return drawn.select("cls", "shingles").mapInArrow(run, "cls long, n long, sketch binary")
 
 
 def across(placed: DataFrame, percent: int) -> DataFrame:
-    """(a, b): the pairs of classes of different components and fitting sizes in each group of (grp, cls, root, n, first), where ``first`` holds for the smaller set."""
-    mixed = placed.groupBy("grp").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.max("first").alias("any")).where("x <> y and any").select("grp")
-    met = placed.join(mixed, "grp", "left_semi")
-    of = lambda c: [F.col("cls").alias(c), F.col("root").alias("root_" + c), F.col("n").alias("n_" + c)]
-    pairs = met.where("first").select("grp", *of("s")).join(met.select("grp", *of("l")), "grp")
-    fitting = pairs.where(f"root_s <> root_l and 100 * n_s >= {percent} * n_l and (n_s < n_l or n_s = n_l and s < l)")
-    return fitting.select(F.least("s", "l").alias("a"), F.greatest("s", "l").alias("b"))
+    """(a, b): the pairs of classes of different components and fitting sizes in each group of (grp, cls, root, n)."""
+    of = lambda c: placed.select("grp", F.col("cls").alias(c), F.col("root").alias("root_" + c), F.col("n").alias("n_" + c))
+    fitting = f"a < b and root_a <> root_b and 100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b)"
+    return of("a").join(of("b"), "grp").where(fitting).select("a", "b")
 
 
 def link_near(df: DataFrame, key: str = "doc_id", text: str = "text", words: int = WORDS, percent: int = PERCENT) -> DataFrame:
@@ -192,10 +210,11 @@ def link_near(df: DataFrame, key: str = "doc_id", text: str = "text", words: int
     sized = stored(sign(docs, words), "signed")
     members = stored(sized.where("key is not null and n > 0").groupBy("cls").agg(F.min("n").alias("n"), F.min("key").alias("key")).withColumn("key_hash", F.xxhash64("key")), "members")
     entries = sized.select("cls", F.explode("buckets").alias("grp"))
-    met = entries.groupBy("grp").agg(F.min("cls").alias("x"), F.max("cls").alias("y")).where("x <> y").select("grp")
-    shared = stored(entries.join(met, "grp", "left_semi").distinct(), "shared")
+    crowds = entries.groupBy("grp").agg(F.min("cls").alias("x"), F.max("cls").alias("y"), F.count("*").alias("size")).where("x <> y").select("grp", "size")
+    together = stored(entries.join(crowds, "grp").distinct(), "together")
+    shared = stored(together.join(together.groupBy("cls").agg(F.sum("size").alias("met")), "cls").select("cls", "grp", "met"), "shared")
 
-    used, roots, tried = [members, shared], None, shared.select(F.col("cls").alias("a"), F.col("cls").alias("b")).limit(0)
+    used, roots, tried = [members, together, shared], None, shared.select(F.col("cls").alias("a"), F.col("cls").alias("b")).limit(0)
     settle = lambda pairs: components(verify(pairs, docs, members, words, percent), roots)
     for number in range(ROUNDS):
         pairs = stored(star_pairs(shared, roots, number).join(tried, ["a", "b"], "left_anti"), "stars")
@@ -208,7 +227,7 @@ def link_near(df: DataFrame, key: str = "doc_id", text: str = "text", words: int
     mixed = placed.groupBy("grp").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.count("*").alias("classes")).where("x <> y").select("grp", "classes")
     left = stored(placed.join(mixed, "grp"), "left")
     used.append(left)
-    rest = across(left.where(F.col("classes") <= COLD).select("grp", "cls", "root", "n", F.lit(True).alias("first")), percent)
+    rest = across(left.where(F.col("classes") <= COLD), percent)
     crowd = left.where(F.col("classes") > COLD).select("cls").distinct()
     if not crowd.isEmpty():
         drawn = draw_sets(docs, crowd, members, words)
