@@ -26,7 +26,7 @@ import binascii
 import functools
 import json
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import ahocorasick
 import pyarrow as pa
@@ -42,8 +42,7 @@ HEX = re.compile(r"[0-9a-f]{32,}")
 
 # Token formats with something to validate.
 CHECKED = re.compile(r"(?:gh[pousr]|npm)_([A-Za-z0-9]{30})([A-Za-z0-9]{6})(?![A-Za-z0-9])")
-JWT = re.compile(r"(eyJ[A-Za-z0-9_-]{5,})\.[A-Za-z0-9_-]{5,}\.[A-Za-z0-9_-]{10,}")
-JWT_PART = re.compile(r"[A-Za-z0-9_-]*")
+JWT_PART, JWT_REST = re.compile(r"[A-Za-z0-9_-]*"), re.compile(r"\.[A-Za-z0-9_-]{5,}\.[A-Za-z0-9_-]{10,}")
 PEM = re.compile(r"-----BEGIN (?:[A-Z]+ )?PRIVATE KEY-----(?:[A-Za-z0-9+/=\s]*?-----END (?:[A-Z]+ )?PRIVATE KEY-----)?")
 BASE62 = "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
 
@@ -88,10 +87,35 @@ def _valid(kind: str, found: re.Match) -> bool:
         return len(found[0]) >= 16
     if kind in ("github", "npm"):
         return base62_crc(found[1]) == found[2]
-    return kind != "jwt" or _jwt_header(found[1])
+    return True
 
 
-_ANCHORED = {"assign": ASSIGN, "access": ACCESS, "github": CHECKED, "npm": CHECKED, "jwt": JWT, "pem": PEM}
+_ANCHORED = {"assign": ASSIGN, "access": ACCESS, "github": CHECKED, "npm": CHECKED, "pem": PEM}
+
+
+def _closes(text: str, start: int, end: int) -> bool:
+    """Whether the base64 of this stretch ends an object, told from its last characters."""
+    last = (end - start) % 4 + 4
+    try:
+        return base64.urlsafe_b64decode(text[end - last : end] + "=" * (-last % 4)).rstrip().endswith(b"}")
+    except ValueError:
+        return False
+
+
+def web_tokens(text: str, starts: Iterable[int]) -> Iterator[tuple[int, int]]:
+    """Start and end of each token with a valid header, leftmost first. A start whose header is invalid hides no later one, not even in the same run of letters:
+    what has to follow a run is looked at once for all starts in it."""
+    over = run = after = 0
+    for start in starts:
+        if start < over or not text.startswith("eyJ", start):
+            continue
+        if start >= run:
+            run = JWT_PART.match(text, start).end()
+            rest = JWT_REST.match(text, run)
+            after = rest.end() if rest else 0
+        if after and run - start >= 8 and _closes(text, start, run) and _jwt_header(text[start:run]):
+            yield start, after
+            over = after
 
 
 def find_secrets(text: str | None) -> list[tuple[int, int, str, int]]:
@@ -106,6 +130,9 @@ def find_secrets(text: str | None) -> list[tuple[int, int, str, int]]:
         hits.setdefault(kind, set()).add(last + 1 - size)
     spans = []
     for kind, starts in hits.items():
+        if kind == "jwt":
+            spans += [(start, KINDS.index(kind), kind, end) for start, end in web_tokens(text, sorted(starts))]
+            continue
         over = 0
         for start in sorted(starts):
             if start < over:
@@ -114,8 +141,6 @@ def find_secrets(text: str | None) -> list[tuple[int, int, str, int]]:
                 over = found.end()
                 if _valid(kind, found):
                     spans.append((start, KINDS.index(kind), kind, over))
-            elif kind == "jwt":  # what follows the run lets no later start in it match either
-                over = JWT_PART.match(text, start).end()
     spans += [(m.start(), 2, "hex", m.end()) for m in HEX.finditer(text)]
     return sorted(spans)
 
