@@ -20,31 +20,36 @@ from scriptorium.llm.decontaminate import drop_contaminated
 from scriptorium.llm.jaccard import keep_one
 from scriptorium.llm.langid import fit, predict_language
 from scriptorium.llm.secrets import scan_secrets
-from scriptorium.llm.shared import new_folder, table
+from scriptorium.llm.shared import new_folder, small_batches, table
 
 MIN_SCORE = 0.2
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     found = predict_language(docs, fit(docs))
     return found.where((F.col("lang_pred") != "und") & (F.col("score") >= MIN_SCORE)).select("row.*")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     return keep_one(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     return drop_contaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     found = scan_secrets(docs, redact=True)
     changed = {"text": F.col("clean"), "n_chars": F.when(F.size("spans") > 0, F.length("clean").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("row.n_chars"))}
     return found.select(*[changed.get(c, F.col("row")[c]).alias(c) for c in docs.columns])
 
 
 def bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     found = encode(docs, compile_lexicon(docs), decode=True)
     return found.select("row.doc_id", "row.lang", "row.source", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), "ids", (F.col("decoded") == F.col("row.text")).alias("round_trip"))
 

@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 ROWS_PER_FILE = 1 << 19
+BATCH_SETTING, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 4 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -49,6 +50,13 @@ def stored(df: DataFrame, label: str, rows: int | None = None) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(place)
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Batches between Spark and its Python workers end at ``BATCH_BYTES``, where the session has no limit of its own: both
+    sides hold several at a time, of rows that are whole documents. A longer row is a batch of its own."""
+    if spark.conf.get(BATCH_SETTING, None) is None:
+        spark.conf.set(BATCH_SETTING, str(BATCH_BYTES))
+
+
 def drop_folder(uri: str) -> None:
     fs, path = filesystem(uri)
     fs.delete_dir(path)
