@@ -21,4 +21,4 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     return add
 
 
-from scriptorium.plans import answers, compositions, feeds, helpers, ingestion, modes, planning, retrieval, rollups, search, verification, workspace  # noqa: E402, F401
+from scriptorium.plans import answers, compositions, feeds, graphs, helpers, ingestion, modes, planning, retrieval, rollups, search, verification, workspace  # noqa: E402, F401
