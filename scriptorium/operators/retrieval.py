@@ -19,6 +19,7 @@ DEMOTION = 0.62
 MAX_PER_SOURCE = 2
 DENSE_BUDGET, LEXICAL_BUDGET, PATH_BUDGET = 8, 6, 4
 GUARANTEED_TOTAL, GUARANTEED_PER_REF = 8, 2
+HYDRATION_BUDGET = 8
 MAX_TOKENS = 16
 BROADCAST_QUESTIONS, SLICES = 20_000, 64
 PACKED_VALUES, BLOCK_PAIRS, HELD_PAIRS = 1 << 23, 1 << 21, 1 << 18

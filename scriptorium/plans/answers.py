@@ -6,6 +6,7 @@ from pyspark.sql import Window, functions as F
 
 from scriptorium.functions import text as tx
 from scriptorium.operators import graph, policy
+from scriptorium.operators.aliases import longest_alias, plain
 from scriptorium.plans.registry import query
 from scriptorium.plans.views import chunks, edges, questions, sources, table, with_views
 from scriptorium.sources.tables import violations
@@ -69,6 +70,25 @@ def alias_in_question(spark, sf_dir):
     return words.join(names, "alias").withColumn("no", F.row_number().over(first)).where("no = 1").select("doc_id", "alias")
 
 
+_PLAIN = r"trim(regexp_replace(lower({}), '[\x09-\x0D\x20]+', ' ', 'g'))"
+
+
+@query(
+    "c14_long_aliases",
+    f"""WITH q AS (SELECT doc_id, {_PLAIN.format('text')} AS q FROM documents WHERE text IS NOT NULL),
+    s AS (SELECT substr(source, 4)::INT AS source_id, array_to_string(string_split(arg_min(q, q.doc_id), ' ')[1:3], ' ') AS alias FROM documents d JOIN q USING (doc_id) GROUP BY source)
+    SELECT doc_id, source_id, alias FROM q JOIN s ON contains(concat(' ', q, ' '), concat(' ', alias, ' ')) WHERE alias <> '' AND q <> ''
+    QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY -length(alias), source_id) = 1""",
+)
+def long_aliases(spark, sf_dir):
+    """The sources that whole texts name, where a source goes by the first three words of its first text."""
+    docs = table(spark, sf_dir, "documents").where("text is not null")
+    start = F.substring_index(plain(F.min_by("text", "doc_id")), " ", 3).alias("alias")
+    names = docs.groupBy("source").agg(start).select(F.substring("source", 4, 9).cast("int").alias("alias_id"), "alias")
+    found = longest_alias(docs.select(F.col("doc_id").alias("text_id"), "text"), names)
+    return found.select(F.col("text_id").alias("doc_id"), F.col("alias_id").alias("source_id"), "alias")
+
+
 @query(
     "d18_entity_merge",
     """WITH e AS (SELECT doc_id, lower(lang) AS name, text, concat(source, '/', doc_id % 4) AS ref FROM documents)

@@ -6,9 +6,10 @@ from pyspark.sql import Window, functions as F
 
 from scriptorium.operators import conversation as cv, retrieval as rt
 from scriptorium.plans.registry import query
-from scriptorium.plans.retrieval import _LAYERS, _base
+from scriptorium.plans.retrieval import _HINTS, _LAYERS, _base, _fused
 from scriptorium.plans.views import chunks, sources, table, with_views
 from scriptorium.sources import tables as sinks
+from scriptorium.streaming import metrics
 
 # Tokens of a document's structure that leaked into its text.
 NOISE = (r"\bendobj\b", r"\b\d+\s+\d+\s+R\b", r"/Type\s*/", r"/StructElem", r"/ParentTree", r"<</", r"\bstream\r?\n", r"\bendstream\b", r"/Root\s", r"/Size\s", r"startxref", r"trailer\s*<<", r"%%EOF")
@@ -154,12 +155,12 @@ def brief_budget(spark, sf_dir):
     return cv.budget_prefix(rows.select("twin_id", "chunk_id", entry.alias("n")), "twin_id", [F.col("chunk_id")], F.col("n"), 2**31 - 1, 60_000).select("twin_id", "chunk_id", "spent")
 
 
-@query("e09_hydration_budget", with_views(_LAYERS + " SELECT query_id, chunk_id, (row_number() OVER (PARTITION BY query_id ORDER BY rank) <= 4) AS refreshed FROM vec WHERE chunk_id % 3 > 0"))
+@query("e09_hydration_budget", with_views(_LAYERS + _HINTS + " SELECT query_id, chunk_id, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) <= 8) AS refreshed FROM fused WHERE chunk_id % 3 > 0"))
 def hydration_budget(spark, sf_dir):
-    """Which of a question's strict chunks are read anew: the first four by rank."""
-    strict = rt.vector_candidates(*_base(spark, sf_dir)).where("chunk_id % 3 > 0")
-    place = F.row_number().over(Window.partitionBy("query_id").orderBy("rank"))
-    return strict.select("query_id", "chunk_id", (place <= 4).alias("refreshed"))
+    """Which of a question's strict chunks of all layers are read anew: the best, within the budget."""
+    strict = _fused(spark, sf_dir).where("chunk_id % 3 > 0")
+    place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "chunk_id"))
+    return strict.select("query_id", "chunk_id", (place <= rt.HYDRATION_BUDGET).alias("refreshed"))
 
 
 @query("f08_newest_sessions", "SELECT conv_id, max(turn) AS last_turn FROM conversations GROUP BY conv_id ORDER BY last_turn DESC, conv_id LIMIT 30")
@@ -250,10 +251,9 @@ def source_awareness(spark, sf_dir):
     return sources(spark, sf_dir).select("twin_id", "name", "source_type", "status", health, index).select("twin_id", "name", "source_type", "status", F.col("health.strict_evidence_ready").alias("strict_ready"), F.col("implementation_index.parser_coverage_ratio").alias("parser_coverage"))
 
 
-@query("s02_event_rates", "SELECT user_id, date_trunc('hour', ts) AS period, count(*) AS events, count(*) > 2 AS limited FROM events GROUP BY ALL")
+@query("s02_event_rates", "SELECT user_id, date_trunc('minute', ts) AS period, count(*) AS events, count(*) > 300 AS limited, greatest(0, count(*) - 300) AS over FROM events WHERE ts IS NOT NULL GROUP BY ALL")
 def event_rates(spark, sf_dir):
-    counts = table(spark, sf_dir, "events").groupBy("user_id", F.window("ts", "1 hour").alias("w")).agg(F.count("*").alias("events"))
-    return counts.select("user_id", F.col("w.start").cast("timestamp_ntz").alias("period"), "events", (F.col("events") > 2).alias("limited"))
+    return metrics.event_rates(table(spark, sf_dir, "events"), "user_id").withColumn("period", F.col("period").cast("timestamp_ntz"))
 
 
 @query(

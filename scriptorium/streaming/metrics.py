@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 PERIOD = "5 minutes"
 LATENESS = "1 hour"
+RATE_PERIOD, RATE_LIMIT = "1 minute", 300
 
 
 def period_metrics(events: DataFrame) -> DataFrame:
@@ -14,6 +15,12 @@ def period_metrics(events: DataFrame) -> DataFrame:
     return grouped.select(F.col("w.start").alias("period"), "event_type", "events", "total", "average", "highest")
 
 
+def event_rates(events: DataFrame, who: str, limit: int = RATE_LIMIT) -> DataFrame:
+    """(who, period, events, limited, over) by minute: whether there are more events than the limit, and how many more. Events without a time don't count."""
+    counts = events.groupBy(who, F.window("ts", RATE_PERIOD).alias("w")).agg(F.count("*").alias("events"))
+    return counts.select(who, F.col("w.start").alias("period"), "events", (F.col("events") > limit).alias("limited"), F.greatest(F.lit(0), F.col("events") - limit).alias("over"))
+
+
 def stream_metrics(spark: SparkSession, path: str, schema, folder: str) -> DataFrame:
     """The same from a stream over files of events, run until all that is there is counted.
 
