@@ -6,6 +6,14 @@ from pyspark.sql import Column, functions as F
 
 READABLE = r"[\t\n\u000B\f\r\u0020-\u007E\u00A0-\u024F\u2000-\u206F\u4E00-\u9FFF]"
 CONTROL = r"[\u0000-\u0008\u000E-\u001F]"
+WORD_EDGE = r"(?:(?<=[0-9A-Za-z_])(?![0-9A-Za-z_])|(?<![0-9A-Za-z_])(?=[0-9A-Za-z_]))"
+
+
+def ascii_rules(pattern: str) -> str:
+    """The expression as SQL reads it, for Java: words and white space of ASCII alone, cases of all letters, and a dot for all but the line feed."""
+    for here, there in ((r"\b", WORD_EDGE), (r"\s", r"[\t\n\f\r ]"), (r"\S", r"[^\t\n\f\r ]"), ("(?i)", "(?iu)")):
+        pattern = pattern.replace(here, there)
+    return "(?d)" + pattern
 
 
 def readable_ratio(text: Column) -> Column:

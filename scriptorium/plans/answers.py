@@ -236,7 +236,7 @@ _SAID = "CASE turn % 5 WHEN 0 THEN concat('hello ', text) WHEN 1 THEN 'ok then'
 def conversational(spark, sf_dir):
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.lower(F.trim(F.expr(_SAID))).alias("q"))
     q, size = F.col("q"), F.length("q")
-    talk = q.rlike(TALK) | ((size < 64) & q.rlike(SHORT_TALK)) | ((size <= 80) & q.rlike(LOOKUP))
+    talk = q.rlike(tx.ascii_rules(TALK)) | ((size < 64) & q.rlike(tx.ascii_rules(SHORT_TALK))) | ((size <= 80) & q.rlike(tx.ascii_rules(LOOKUP)))
     return rows.select("conv_id", "turn", ((q == "") | ((size <= 360) & ~q.rlike("router|explain the|database|codebase") & talk)).alias("is_talk"))
 
 

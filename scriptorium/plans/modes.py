@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
+from scriptorium.functions.text import ascii_rules
 from scriptorium.plans.planning import COMPARE, ENGINE, SPECIFIC
 from scriptorium.plans.registry import query
 from scriptorium.plans.views import table
@@ -61,18 +62,18 @@ def mode(q: Column, workspace: Column) -> Column:
     low = F.lower(q)
     loads = low.contains("dashboard") & low.rlike("load|query|fetch")
     return (
-        F.when(workspace & low.rlike(COMPARE), "workspace_comparison").when(low.rlike(RECRUITER), "recruiter_summary").when(low.rlike(STATUS), "project_status")
-        .when(loads | low.rlike(ENGINE) | low.rlike(IMPLEMENTATION), "implementation").otherwise("general")
+        F.when(workspace & low.rlike(ascii_rules(COMPARE)), "workspace_comparison").when(low.rlike(ascii_rules(RECRUITER)), "recruiter_summary").when(low.rlike(ascii_rules(STATUS)), "project_status")
+        .when(loads | low.rlike(ascii_rules(ENGINE)) | low.rlike(ascii_rules(IMPLEMENTATION)), "implementation").otherwise("general")
     )
 
 
 def search_query(q: Column, mode_: Column) -> Column:
     """The question followed by the words that its mode and wording add, each once."""
     low = F.lower(q)
-    week = F.regexp_extract(low, r"\bweek\s+(\d+)\b", 1)
+    week = F.regexp_extract(low, ascii_rules(r"\bweek\s+(\d+)\b"), 1)
     word = lambda a: F.concat(F.lit(a.partition("{}")[0]), week, F.lit(a.partition("{}")[2])) if "{}" in a else F.lit(a)
     none = F.array().cast("array<string>")
-    added = [F.when(mode_.isin(*modes) & low.rlike(pattern), F.array(*map(word, aliases))).otherwise(none) for modes, pattern, aliases in ALIASES]
+    added = [F.when(mode_.isin(*modes) & low.rlike(ascii_rules(pattern)), F.array(*map(word, aliases))).otherwise(none) for modes, pattern, aliases in ALIASES]
     every = F.array_distinct(F.concat(*added))
     return F.when(F.size(every) > 0, F.concat(q, F.lit(" "), F.array_join(every, " "))).otherwise(q)
 
@@ -116,7 +117,7 @@ _MODE_ROWS = ", ".join(f"('{name}', '{layers}', '{bounds}', {', '.join(map(str,
 )
 def search_plans(spark, sf_dir):
     """Layers and budgets of each question, by its mode."""
-    rows = _asked(spark, sf_dir).select("conv_id", "turn", mode(F.col("q"), F.col("workspace")).alias("mode"), F.when(F.col("q").rlike(SPECIFIC), 12).otherwise(8).alias("top_k"))
+    rows = _asked(spark, sf_dir).select("conv_id", "turn", mode(F.col("q"), F.col("workspace")).alias("mode"), F.when(F.col("q").rlike(ascii_rules(SPECIFIC)), 12).otherwise(8).alias("top_k"))
     budgets = spark.createDataFrame([(name, *row) for name, row in MODES.items()], "mode string, layers string, bounds string, lexical int, files int, symbols int, graph int")
     reranked = F.when(F.col("mode") == "implementation", F.greatest(F.col("top_k") * 3, F.lit(16))).otherwise(F.greatest(F.col("top_k") * 2, F.lit(12)))
     return rows.join(F.broadcast(budgets), "mode").select("conv_id", "turn", "mode", "layers", "bounds", F.greatest("top_k", F.lit(8)).alias("dense"), "lexical", "files", "symbols", "graph", reranked.alias("reranked"))  # a row for each mode
@@ -130,9 +131,9 @@ SEVERAL = r"\b(your|all|any|each|every|what|which|how many)\s+projects\b|\bproje
 
 @query("i22_scope_flags", "WITH " + _MODE_SQL + f" SELECT conv_id, turn, regexp_matches(q, {_quoted(SOURCES)}) AS is_source, regexp_matches(q, {_quoted(COVERAGE)}) AS is_coverage FROM m")
 def scope_flags(spark, sf_dir):
-    return _asked(spark, sf_dir).select("conv_id", "turn", F.col("q").rlike(SOURCES).alias("is_source"), F.col("q").rlike(COVERAGE).alias("is_coverage"))
+    return _asked(spark, sf_dir).select("conv_id", "turn", F.col("q").rlike(ascii_rules(SOURCES)).alias("is_source"), F.col("q").rlike(ascii_rules(COVERAGE)).alias("is_coverage"))
 
 
 @query("i23_prefers_aggregate", "WITH " + _MODE_SQL + f" SELECT conv_id, turn, regexp_matches(low, {_quoted(SEVERAL)}) AS several FROM m")
 def prefers_aggregate(spark, sf_dir):
-    return _asked(spark, sf_dir).select("conv_id", "turn", F.lower("q").rlike(SEVERAL).alias("several"))
+    return _asked(spark, sf_dir).select("conv_id", "turn", F.lower("q").rlike(ascii_rules(SEVERAL)).alias("several"))

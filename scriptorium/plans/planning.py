@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from scriptorium.functions.text import ascii_rules
 from scriptorium.plans.registry import query
 from scriptorium.plans.views import table
 
@@ -44,11 +45,11 @@ def query_flags(spark, sf_dir):
     q = F.col("q")
     return _turns(spark, sf_dir).select(
         "conv_id", "turn",
-        F.when(q.rlike(SPECIFIC), "specific").otherwise("general").alias("intent"),
-        F.replace(F.lower(F.nullif(F.regexp_extract(q, PATH_HINT, 1), F.lit(""))), F.lit(" "), F.lit("")).alias("path_hint"),
-        q.rlike(IDENTITY).alias("is_identity"),
-        ((F.size(F.filter(F.split(F.trim(q), r"\s+"), lambda x: x != "")) <= 5) | q.rlike(BROAD)).alias("is_broad"),
-        q.rlike(GREETING).alias("is_greeting"), q.rlike(HEDGE).alias("is_hedge"), q.rlike(ANY_PROJECT).alias("is_any"),
+        F.when(q.rlike(ascii_rules(SPECIFIC)), "specific").otherwise("general").alias("intent"),
+        F.replace(F.lower(F.nullif(F.regexp_extract(q, ascii_rules(PATH_HINT), 1), F.lit(""))), F.lit(" "), F.lit("")).alias("path_hint"),
+        q.rlike(ascii_rules(IDENTITY)).alias("is_identity"),
+        ((F.size(F.filter(F.split(F.trim(q), r"\s+"), lambda x: x != "")) <= 5) | q.rlike(ascii_rules(BROAD))).alias("is_broad"),
+        q.rlike(ascii_rules(GREETING)).alias("is_greeting"), q.rlike(ascii_rules(HEDGE)).alias("is_hedge"), q.rlike(ascii_rules(ANY_PROJECT)).alias("is_any"),
     )
 
 
@@ -56,7 +57,7 @@ def mode(q: F.Column, workspace: F.Column) -> F.Column:
     """The first mode whose rule a question meets."""
     low = F.lower(q)
     loads = low.contains("dashboard") & low.rlike("load|query|fetch")
-    return F.when(workspace & low.rlike(COMPARE), "workspace_comparison").when(loads | low.rlike(ENGINE), "implementation").otherwise("general")
+    return F.when(workspace & low.rlike(ascii_rules(COMPARE)), "workspace_comparison").when(loads | low.rlike(ascii_rules(ENGINE)), "implementation").otherwise("general")
 
 
 @query(
@@ -69,7 +70,7 @@ def mode(q: F.Column, workspace: F.Column) -> F.Column:
       CASE WHEN mode = 'implementation' THEN greatest(top_k * 3, 16) ELSE greatest(top_k * 2, 12) END AS rerank_budget, length(trim(q)) <= 280 AS whole_query FROM m""",
 )
 def retrieval_plan(spark, sf_dir):
-    planned = _turns(spark, sf_dir).select("conv_id", "turn", "q", mode(F.col("q"), F.col("conv_id") % 2 == 0).alias("mode"), F.when(F.col("q").rlike(SPECIFIC), 12).otherwise(8).alias("top_k"))
+    planned = _turns(spark, sf_dir).select("conv_id", "turn", "q", mode(F.col("q"), F.col("conv_id") % 2 == 0).alias("mode"), F.when(F.col("q").rlike(ascii_rules(SPECIFIC)), 12).otherwise(8).alias("top_k"))
     lexical = F.create_map(*[F.lit(x) for pair in BUDGETS.items() for x in pair])
     rerank = F.when(F.col("mode") == "implementation", F.greatest(F.col("top_k") * 3, F.lit(16))).otherwise(F.greatest(F.col("top_k") * 2, F.lit(12)))
     return planned.select("conv_id", "turn", "mode", "top_k", F.greatest("top_k", F.lit(8)).alias("dense_budget"), lexical[F.col("mode")].alias("lexical_budget"), rerank.alias("rerank_budget"), (F.length(F.trim("q")) <= 280).alias("whole_query"))

@@ -42,6 +42,20 @@ def test_text_quality(spark):
     assert one(spark, tx.leaf_name(F.col("t")), t="a/Resume.pdf [abcdefghijk]") == "Resume.pdf"
 
 
+def test_word_edges_are_those_of_sql(spark):
+    import duckdb
+
+    from scriptorium.plans import registry  # noqa: F401, I001  (before the modules that it loads)
+    from scriptorium.plans import modes, planning
+
+    texts = ["cover testä", "testö", "ätest", "tests.", "login\x0bx", "week\x0b3", "week 3é", "list ſkills", "how is a\u2028b implemented", "how is a\nb implemented", "see the äb cd", "TELL ME ABOUT"]
+    for pattern in (modes.IMPLEMENTATION, modes.STATUS, modes.RECRUITER, modes.SEVERAL, modes.COVERAGE, planning.SPECIFIC, planning.BROAD):
+        ours = [r.x for r in spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").orderBy("i").select(F.col("t").rlike(tx.ascii_rules(pattern)).alias("x")).collect()]
+        assert ours == [duckdb.execute("select regexp_matches(?, ?)", [t, pattern]).fetchone()[0] for t in texts], pattern
+    moded = spark.createDataFrame([("testä",), ("test ä",)], "t string").select(modes.mode(F.col("t"), F.lit(False)).alias("x")).collect()
+    assert [r.x for r in moded] == ["implementation", "implementation"]
+
+
 def test_sections_of_awkward_texts(spark):
     texts = [(1, None, 5), (2, "", 5), (3, "# a", 5), (4, "\n \n# a\nx\n\n## b", 5), (4, "no heading\n", 6), (None, "p\n#not\n### c  \n y \n", 7)]
     rows = chunking.sections(spark.createDataFrame(texts, "id long, text string, section_of int"), "id", "text", "section_of").collect()
