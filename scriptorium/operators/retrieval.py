@@ -36,6 +36,11 @@ def cosine(a: Column, b: Column) -> Column:
     return total(F.zip_with(a, b, lambda x, y: x * y)) / (F.sqrt(total(F.transform(a, lambda x: x * x))) * F.sqrt(total(F.transform(b, lambda x: x * x))))
 
 
+def few(rows: DataFrame) -> DataFrame:
+    """Marked for broadcast while its counted size allows."""
+    return F.broadcast(rows) if rows.limit(BROADCAST_QUESTIONS + 1).count() <= BROADCAST_QUESTIONS else rows
+
+
 def met(rows: DataFrame, questions: DataFrame, scope: str) -> DataFrame:
     """Rows (chunk_id, ..) joined with the questions of their scope. That the questions are few enough to broadcast is counted, not assumed."""
     if questions.limit(BROADCAST_QUESTIONS + 1).count() <= BROADCAST_QUESTIONS:
@@ -45,8 +50,8 @@ def met(rows: DataFrame, questions: DataFrame, scope: str) -> DataFrame:
 
 
 def eligible(chunks: DataFrame, sources: DataFrame) -> DataFrame:
-    """Chunks of ready sources with their twin. Sources are few, and Spark broadcasts them if their size allows."""
-    return chunks.join(sources.where("status = 'ready'").select("source_id", "twin_id", "workspace_id"), "source_id")
+    """Chunks of ready sources with their twin. Few sources are broadcast: dealt by source, the texts would meet in as many tasks as there are sources."""
+    return chunks.join(few(sources.where("status = 'ready'").select("source_id", "twin_id", "workspace_id")), "source_id")
 
 
 def top_per_query(df: DataFrame, order: list[Column], k: int, keys: tuple[str, ...] = ("query_id",)) -> DataFrame:
@@ -146,18 +151,20 @@ def query_tokens(text: Column) -> Column:
 def substring_candidates(questions: DataFrame, chunks: DataFrame, k: int = LEXICAL_BUDGET) -> DataFrame:
     """(query_id, chunk_id, source_ref, score): chunks of the twin holding any search word, by the number of words held.
 
-    A search word is held by a text exactly if it is held by a run of search-word characters there. So the distinct runs
-    of all chunks are met with the distinct words, by the word's first three characters, and the texts are passed over once
-    for all questions.
+    A search word is held by a text exactly if it is held by a run of search-word characters there. So the distinct runs of each
+    chunk are met with the words of its twin, by the word's first three characters. The words are few enough to broadcast if their count says
+    so, and then all is done where the chunk is read, up to the chunk's distinct words.
     """
     asked = questions.select("query_id", "twin_id", F.explode(F.slice(query_tokens(F.col("query")), 1, MAX_TOKENS)).alias("token"))
     rows = chunks.where("chunk_type <> 'memory_brief' and coalesce(source_ref, '') not like '__memory__/%'").select("chunk_id", "twin_id", "source_ref", F.concat(F.lower(F.coalesce("source_ref", F.lit(""))), F.lit("\n"), F.lower(F.coalesce("content", F.lit("")))).alias("low"))
     runs = rows.select("chunk_id", "twin_id", "source_ref", F.explode(F.array_distinct(F.regexp_extract_all("low", F.lit(RUN), 0))).alias("run"))
-    tokens = asked.select("token", F.substring("token", 1, 3).alias("gram")).distinct()
-    grams = F.transform(F.sequence(F.lit(1), F.length("run") - 2), lambda i: F.substr(F.col("run"), i, F.lit(3)))
-    held = runs.select("run").distinct().select("run", F.explode(F.array_distinct(grams)).alias("gram")).join(tokens, "gram").where(F.col("run").contains(F.col("token"))).select("run", "token")
-    found = runs.join(held, "run").select("chunk_id", "twin_id", "source_ref", "token").distinct()
-    counted = found.join(asked, ["twin_id", "token"]).groupBy("query_id", "chunk_id", "source_ref").agg(F.count("*").alias("hits"))
+    tokens = asked.select("twin_id", "token", F.substring("token", 1, 3).alias("gram")).distinct()
+    at = runs.select("*", F.explode(F.sequence(F.lit(1), F.length("run") - 2)).alias("at")).withColumn("gram", F.substr("run", F.col("at"), F.lit(3)))
+    held = at.join(few(tokens), ["twin_id", "gram"]).where(F.substr("run", F.col("at"), F.length("token")) == F.col("token"))
+    # the chunk's rows are dealt by chunk, and stay there until its questions are counted
+    chunk = ("chunk_id", "twin_id", "source_ref")
+    found = held.groupBy(*chunk).agg(F.collect_set("token").alias("tokens"))
+    counted = found.select(*chunk, F.explode("tokens").alias("token")).join(few(asked), ["twin_id", "token"]).groupBy("query_id", *chunk).agg(F.count("*").alias("hits"))
     scored = counted.select("query_id", "chunk_id", "source_ref", F.round(F.least(F.lit(0.9), 0.32 + 0.08 * F.col("hits")), 6).alias("score"))
     return top_per_query(scored, [F.desc("score"), F.col("source_ref"), F.col("chunk_id")], k)
 

@@ -5,15 +5,17 @@ after ``-``, must not have; a term of words, which have to follow each other: wh
 if the quote is left open, or else a run without spaces, whose words are its letters and digits. Repeated terms of a group count once, a
 term without words not at all, and a group without a required term matches nothing.
 
-The words of the questions are met with the distinct words of each chunk; of each group only the rarest word in its twin names
-candidates, and only candidates that hold all required words are looked at by position.
+The words of the questions are met with the words of each chunk, which keeps their places by word. Of each group only the rarest word in
+its twin names candidates, and only candidates that hold all required words are looked at by position. Rows are dealt by chunk once, all later
+grouping is within chunks.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from scriptorium.operators.retrieval import BROADCAST_QUESTIONS
+from scriptorium.operators.retrieval import few
+from scriptorium.sources.folders import stored
 
 WORD_GAP = r"[^\p{L}\p{N}]+"
 TERM = r'-?"[^"]*"?|[^\s"!&|()]+'
@@ -24,7 +26,7 @@ PAIR = ("query_id", "chunk_id")
 
 
 def words(text: Column) -> Column:
-    return F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), WORD_GAP), lambda x: x != "")
+    return F.array_remove(F.split(F.lower(F.coalesce(text, F.lit(""))), WORD_GAP), "")
 
 
 def terms(asked: DataFrame) -> DataFrame:
@@ -39,58 +41,73 @@ def terms(asked: DataFrame) -> DataFrame:
     return found.where(F.size("words") > 0).groupBy("query_id", "twin_id", "grp", "negative", "words").agg(F.min("item").alias("item"))
 
 
-def few(rows: DataFrame) -> DataFrame:
-    """Marked for broadcast while its counted size allows."""
-    return F.broadcast(rows) if rows.limit(BROADCAST_QUESTIONS + 1).count() <= BROADCAST_QUESTIONS else rows
+def held_words(wanted: DataFrame, chunks: DataFrame) -> DataFrame:
+    """(chunk_id, twin_id, source_ref, first, places): where the words of the questions stand in each chunk, by word.
 
+    Words of the path come first, ``first`` of them, those of the content go on from there. The rows stay dealt by chunk.
+    """
+    head, body = words(F.col("source_ref")), words(F.col("content"))
+    texts = chunks.select("chunk_id", "twin_id", "source_ref", F.size(head).alias("first"), F.concat(head, body).alias("ws"))
+    asked_words = wanted.select("twin_id", F.explode("words").alias("word")).distinct()
+    each = texts.select("chunk_id", "twin_id", "source_ref", "first", F.posexplode("ws").alias("pos", "word")).join(few(asked_words), ["twin_id", "word"])
+    chunk = ("chunk_id", "twin_id", "source_ref", "first")
+    by_word = each.repartition("chunk_id").groupBy(*chunk, "word").agg(F.collect_list(F.col("pos") + 1).alias("at"))
+    return by_word.groupBy(*chunk).agg(F.map_from_entries(F.collect_list(F.struct("word", "at"))).alias("places"))
 
-def candidates(wanted: DataFrame, texts: DataFrame) -> DataFrame:
-    """(query_id, grp, chunk_id, source_ref, first, ws): the chunks of the twin with all required words of a group."""
+
+def groups(wanted: DataFrame, held: DataFrame) -> DataFrame:
+    """(query_id, twin_id, grp, all, word, terms): the required words of each group, of them the one in the fewest chunks of its twin, and the terms."""
     required = wanted.where("not negative").select("query_id", "twin_id", "grp", F.explode("words").alias("word")).distinct()
-    asked_words = required.select("twin_id", "word").distinct()
-    held = texts.select("chunk_id", "twin_id", F.explode(F.array_distinct("ws")).alias("word")).join(few(asked_words), ["twin_id", "word"])
-    often = held.groupBy("twin_id", "word").agg(F.count("*").alias("chunks"))
+    often = held.select("twin_id", F.explode(F.map_keys("places")).alias("word")).groupBy("twin_id", "word").agg(F.count("*").alias("chunks"))
     ranked = required.join(often, ["twin_id", "word"], "left")
     rarest = ranked.groupBy("query_id", "twin_id", "grp").agg(F.min_by("word", F.struct(F.coalesce("chunks", F.lit(0)), F.col("word"))).alias("word"), F.collect_set("word").alias("all"))
-    named = rarest.join(held, ["twin_id", "word"]).select("query_id", "grp", "all", "chunk_id")
-    return named.join(texts, "chunk_id").where(F.size(F.array_except("all", "ws")) == 0).select("query_id", "grp", "chunk_id", "source_ref", "first", "ws")
+    return rarest.join(wanted.groupBy("query_id", "grp").agg(F.collect_list(F.struct("negative", "words")).alias("terms")), ["query_id", "grp"])
+
+
+def stands(ws: Column, places: Column) -> Column:
+    """Whether the words follow each other somewhere."""
+    begins = F.transform(ws, lambda w, k: F.transform(F.coalesce(F.try_element_at(places, w), F.array().cast("array<int>")), lambda p: p - k))
+    return F.size(F.aggregate(begins, F.get(begins, F.lit(0)), lambda both, one: F.array_intersect(both, one))) > 0
 
 
-def matches(asked: DataFrame, chunks: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Where the terms of each question stand in the chunks that match it.
+def uses(wanted: DataFrame) -> DataFrame:
+    """(query_id, vocabulary): the words of each question, whether any term requires them, and their places in its terms.
+    ``n`` is the number of required terms of the group."""
+    needs = wanted.where("not negative").groupBy("query_id", "grp").agg(F.count("*").alias("n"))
+    each = wanted.join(needs, ["query_id", "grp"]).select("query_id", "grp", "item", "negative", "n", F.size("words").alias("size"), F.posexplode("words").alias("offset", "word"))
+    by_word = each.groupBy("query_id", "word").agg(F.bool_or(~F.col("negative")).alias("plain"), F.collect_list(F.struct("grp", "item", "negative", "n", "size", "offset")).alias("uses"))
+    return by_word.groupBy("query_id").agg(F.collect_list(F.struct("word", "plain", "uses")).alias("vocabulary"))
 
-    Occurrences (query_id, chunk_id, grp, item, n, size, pos, own) of the required terms of groups that match, by the place of
-    their last word, with the cost of all their words; and the places (query_id, chunk_id, source_ref, pos, cost) of all required words.
-    Words of the path come first, those of the content go on from there.
+
+def occurrences(asked: DataFrame, chunks: DataFrame) -> DataFrame:
+    """Where the required terms of the groups that match stand in the chunks: (query_id, chunk_id, source_ref, grp, item, n, items, size, pos, own, idx, upto).
+
+    ``pos`` is the place of a term's last word, ``own`` the cost of all its words, ``idx`` and ``upto`` the number and the cost of all required
+    words of the question up to there, ``items`` the terms of the group. All steps keep to the chunk's own partition.
     """
     found = terms(asked)
-    head, body = words(F.col("source_ref")), words(F.col("content"))
-    texts = chunks.select("chunk_id", "twin_id", "source_ref", F.size(head).alias("first"), F.concat(head, body).alias("ws"))
-    named = candidates(found, texts)
-    vocabulary = found.groupBy("query_id").agg(F.array_distinct(F.flatten(F.collect_list("words"))).alias("vocabulary"))
-    placed = named.drop("grp").dropDuplicates(PAIR).join(vocabulary, "query_id")
-    told = F.filter(F.transform("ws", lambda w, i: F.struct((i + 1).alias("pos"), w.alias("word"))), lambda s: F.array_contains("vocabulary", s["word"]))
-    hits = placed.select(*PAIR, "source_ref", "first", F.explode(told).alias("hit")).select(*PAIR, "source_ref", F.col("hit.pos").alias("pos"), F.col("hit.word").alias("word"), F.when(F.col("hit.pos") <= F.col("first"), PATH_COST).otherwise(CONTENT_COST).alias("cost"))
-    each = found.select("query_id", "grp", "item", "negative", F.size("words").alias("size"), F.posexplode("words").alias("offset", "word"))
-    at = hits.join(each, ["query_id", "word"])
-    whole = at.groupBy(*PAIR, "grp", "item", "negative", "size", (F.col("pos") - F.col("offset") + F.col("size") - 1).alias("end")).agg(F.count("*").alias("held"), F.sum("cost").alias("own")).where("held = size")
-    needs = found.where("not negative").groupBy("query_id", "grp").agg(F.count("*").alias("n"))
-    good = whole.join(needs, ["query_id", "grp"]).groupBy(*PAIR, "grp", "n").agg(F.count_distinct(F.when(~F.col("negative"), F.col("item"))).alias("has"), F.bool_or("negative").alias("hurt")).where("has = n and not hurt")
-    occurrences = whole.join(good.select(*PAIR, "grp", "n"), [*PAIR, "grp"]).select(*PAIR, "grp", "item", "n", "size", F.col("end").alias("pos"), "own")
-    plain = at.where("not negative").select(*PAIR, "source_ref", "pos", "cost").distinct()
-    return occurrences, plain.join(good.select(*PAIR).distinct(), list(PAIR), "left_semi")
+    held = stored(held_words(found, chunks), "held")
+    named = held.repartition("chunk_id").withColumn("word", F.explode(F.map_keys("places"))).join(few(groups(found, held)), ["twin_id", "word"])
+    whole_groups = named.where(F.forall("all", lambda w: F.map_contains_key("places", w))).where(F.forall("terms", lambda t: stands(t["words"], F.col("places")) != t["negative"]))
+    placed = whole_groups.dropDuplicates(PAIR).join(few(uses(found)), "query_id")
+    there = F.filter("vocabulary", lambda v: F.map_contains_key("places", v["word"]))
+    spots = F.flatten(F.transform(there, lambda v: F.transform(F.col("places")[v["word"]], lambda p: F.struct(p.alias("pos"), v["plain"].alias("plain"), v["uses"].alias("uses")))))
+    hits = placed.select(*PAIR, "source_ref", "first", F.explode(spots).alias("hit")).select(*PAIR, "source_ref", "hit.*", F.when(F.col("hit.pos") <= F.col("first"), PATH_COST).otherwise(CONTENT_COST).alias("cost"))
+    in_order = Window.partitionBy(*PAIR).orderBy("pos")
+    numbered = hits.withColumn("idx", F.sum(F.col("plain").cast("int")).over(in_order)).withColumn("upto", F.sum(F.when(F.col("plain"), F.col("cost")).otherwise(0.0)).over(in_order))
+    at = numbered.select(*PAIR, "source_ref", "pos", "cost", "idx", "upto", F.explode("uses").alias("use")).select(*PAIR, "source_ref", "pos", "cost", "idx", "upto", "use.*")
+    end = (F.col("pos") - F.col("offset") + F.col("size") - 1).alias("end")
+    term = at.groupBy(*PAIR, "source_ref", "grp", "item", "negative", "n", "size", end).agg(F.count("*").alias("held"), F.sum("cost").alias("own"), F.max("idx").alias("idx"), F.max("upto").alias("upto")).where("held = size")
+    group = Window.partitionBy(*PAIR, "grp")
+    judged = term.withColumn("items", F.collect_set(F.when(~F.col("negative"), F.col("item"))).over(group)).withColumn("hurt", F.bool_or("negative").over(group))
+    return judged.where((F.size("items") == F.col("n")) & ~F.col("hurt")).select(*PAIR, "source_ref", "grp", "item", "n", "items", "size", F.col("end").alias("pos"), "own", "idx", "upto")
 
 
 def cover_density(asked: DataFrame, chunks: DataFrame) -> DataFrame:
     """(query_id, chunk_id, source_ref, covers, density): over the least stretches that satisfy a question, their mean weight by the other words within."""
-    occurrences, places = matches(asked, chunks)
-    in_order = Window.partitionBy(*PAIR).orderBy("pos")
-    entries = places.withColumn("idx", F.row_number().over(in_order)).withColumn("upto", F.sum("cost").over(in_order))
     # the words of a term follow each other, so that they are so many entries in a row
     begin = F.struct((F.col("idx") - F.col("size") + 1).alias("idx"), (F.col("pos") - F.col("size") + 1).alias("pos"), (F.col("upto") - F.col("own")).alias("before"))
-    ends = occurrences.join(entries, [*PAIR, "pos"]).select(*PAIR, "source_ref", "grp", "item", "n", "idx", "pos", "upto", begin.alias("begin"))
-    others = occurrences.groupBy(*PAIR, "grp").agg(F.collect_set("item").alias("items"))
-    each = ends.join(others, [*PAIR, "grp"]).withColumn("other", F.explode("items"))
+    each = occurrences(asked, chunks).select(*PAIR, "source_ref", "grp", "item", "n", "items", "idx", "pos", "upto", begin.alias("begin")).withColumn("other", F.explode("items"))
     last = each.withColumn("last", F.max(F.when(F.col("item") == F.col("other"), F.col("begin"))).over(Window.partitionBy(*PAIR, "grp", "other").orderBy("idx")))
     # a stretch that ends here begins with the term whose last place is furthest back; of several groups the shortest stretch counts
     by_group = last.groupBy(*PAIR, "source_ref", "grp", "n", "idx", "pos", "upto").agg(F.min("last").alias("begin"), F.count_distinct(F.when(F.col("last").isNotNull(), F.col("other"))).alias("held")).where("held = n")

@@ -145,3 +145,13 @@ def test_sinks(spark):
     assert sorted(r.chunk_id for r in tables.replace_by_source(now, new).collect()) == [3, 9]
     stays, removed = tables.delete_returning(now, gone, ["source_id", "source_ref"])
     assert stays.count() == 2 and removed.first().removed == 1
+
+
+def test_substrings_are_met_where_chunks_are_read(spark):
+    chunks = spark.createDataFrame([(1, 0, "a/x", "the catalogue", "doc"), (2, 0, "a/y", "dog dogs Cat", "doc"), (3, 1, "b", "cats", "doc"), (4, 0, None, None, "doc")], "chunk_id long, twin_id int, source_ref string, content string, chunk_type string")
+    asked = spark.createDataFrame([(7, 0, "catalogue cat dogs"), (8, 1, "catalogue")], "query_id long, twin_id int, query string")
+    found = retrieval.substring_candidates(asked, chunks)
+    assert sorted((r.query_id, r.chunk_id, r.score, r["rank"]) for r in found.collect()) == [(7, 1, 0.48, 1), (7, 2, 0.48, 2)]
+    dealt = [line for line in found._jdf.queryExecution().executedPlan().toString().split("\n") if "Exchange hashpartitioning" in line]
+    # runs and their parts are many, and a frequent one would be a task of its own
+    assert dealt and not [line for line in dealt if "(run#" in line or "(chunk_id" not in line and "token" not in line and "(query_id" not in line]
