@@ -23,6 +23,8 @@ TERM = r'-?"[^"]*"?|[^\s"!&|()]+'
 PATH_COST, CONTENT_COST = 1.0, 2.5
 LEXICAL_FLOOR, LEXICAL_CAP = 0.35, 0.95
 PAIR = ("query_id", "chunk_id")
+# so many chunks are searched by a task, that its memory doesn't grow with the corpus
+CHUNKS_PER_TASK = 2000
 
 
 def words(text: Column) -> Column:
@@ -87,7 +89,7 @@ def occurrences(asked: DataFrame, chunks: DataFrame) -> DataFrame:
     """
     found = terms(asked)
     held = stored(held_words(found, chunks), "held")
-    named = held.repartition("chunk_id").withColumn("word", F.explode(F.map_keys("places"))).join(few(groups(found, held)), ["twin_id", "word"])
+    named = held.repartition(1 + held.count() // CHUNKS_PER_TASK, "chunk_id").withColumn("word", F.explode(F.map_keys("places"))).join(few(groups(found, held)), ["twin_id", "word"])
     whole_groups = named.where(F.forall("all", lambda w: F.map_contains_key("places", w))).where(F.forall("terms", lambda t: stands(t["words"], F.col("places")) != t["negative"]))
     placed = whole_groups.dropDuplicates(PAIR).join(few(uses(found)), "query_id")
     there = F.filter("vocabulary", lambda v: F.map_contains_key("places", v["word"]))

@@ -155,3 +155,15 @@ def test_substrings_are_met_where_chunks_are_read(spark):
     dealt = [line for line in found._jdf.queryExecution().executedPlan().toString().split("\n") if "Exchange hashpartitioning" in line]
     # runs and their parts are many, and a frequent one would be a task of its own
     assert dealt and not [line for line in dealt if "(run#" in line or "(chunk_id" not in line and "token" not in line and "(query_id" not in line]
+
+
+def test_full_text_stays_with_its_chunks(spark):
+    from scriptorium.operators import search
+
+    chunks = spark.createDataFrame([(1, 0, "a/x", "the cat sat"), (2, 0, "a/y", "cat the sat cat the"), (3, 1, "b", "the cat"), (4, 0, None, None)], "chunk_id long, twin_id int, source_ref string, content string")
+    asked = spark.createDataFrame([(7, 0, '"the cat" or "cat the" -x'), (8, 0, "the -sat"), (9, 1, "cat")], "query_id long, twin_id int, query string")
+    found = search.cover_density(asked, chunks)
+    assert sorted((r.query_id, r.chunk_id, r.covers) for r in found.collect()) == [(7, 1, 1), (7, 2, 2), (9, 3, 1)]
+    # pairs of question and chunk are never dealt out anew
+    dealt = [line for line in found._jdf.queryExecution().executedPlan().toString().split("\n") if "Exchange hashpartitioning" in line]
+    assert dealt and not [line for line in dealt if "query_id" in line and "chunk_id" in line]
