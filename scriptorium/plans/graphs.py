@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from scriptorium.plans.registry import query
 from scriptorium.plans.views import table
-from scriptorium.sources.folders import shared_folder
+from scriptorium.sources.folders import shared_folder, stored
 from scriptorium.sources.graphs import GraphTable
 
 # a twin whose number leaves 1 by 5 is emptied; one that 3 divides keeps customers in credit, without suppliers
@@ -36,6 +36,7 @@ def graph_rebuild(spark, sf_dir):
     sales = pairs.join(customers, F.col("o_custkey") == F.col("c_custkey")).join(suppliers, F.col("l_suppkey") == F.col("s_suppkey"))
     relations = sales.select(place, (person * (1 << 32) + F.col("l_suppkey")).alias("position"), F.upper("c_name").alias("source"), F.col("s_name").alias("target"), F.lit("buys_from").alias("type"), "c_acctbal")
     relations = relations.unionByName(customers.select(place, (-person - 1).alias("position"), F.col("c_name").alias("source"), F.lower("c_mktsegment").alias("target"), F.lit("in_segment").alias("type"), "c_acctbal"))
+    relations = stored(relations, "relations")  # each rebuild would join the sales anew
     graph = GraphTable(spark, shared_folder(spark, "graph"))
     everyone = entities.select("twin_id").distinct()
     graph.rebuild(everyone, entities, relations)
