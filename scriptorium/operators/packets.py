@@ -20,17 +20,21 @@ CONTRACT_NOTES = "JWT/token validation establishes identity\nDo not say JWT is t
 LAYERS = ("vector", "lexical", "path", "guaranteed")
 
 
-def lexical_candidates(asked: DataFrame, chunks: DataFrame, k: int = rt.LEXICAL_BUDGET, fallback: bool = True) -> DataFrame:
-    """(query_id, chunk_id, source_ref, score, rank): full-text rows of each question; of questions without any, substring rows."""
+def lexical_candidates(asked: DataFrame, chunks: DataFrame, k: int = rt.LEXICAL_BUDGET, fallback: bool = True, density: DataFrame | None = None) -> DataFrame:
+    """(query_id, chunk_id, source_ref, score, rank): full-text rows of each question; of questions without any, substring rows.
+
+    ``density`` is what :func:`search.cover_density` gives for these questions, where the caller has it.
+    """
     columns = ["query_id", "chunk_id", "source_ref", "score", "rank"]
-    scored = search.cover_density(asked, chunks.where("chunk_type <> 'memory_brief'"))
+    scored = search.cover_density(asked, chunks.where("chunk_type <> 'memory_brief'")) if density is None else density
     full = rt.top_per_query(scored.withColumn("score", search.lexical_score(F.col("density"))), [F.desc("score"), F.col("chunk_id")], k).select(*columns)
     if not fallback:
         return full
-    return full.unionByName(rt.substring_candidates(asked, chunks, k).select(*columns).join(full.select("query_id").distinct(), "query_id", "left_anti"))
+    full = stored(full, "full")
+    return full.unionByName(rt.substring_candidates(asked.join(full.select("query_id").distinct(), "query_id", "left_anti"), chunks, k).select(*columns))
 
 
-def retrieve(asked: DataFrame, chunks: DataFrame, hints: DataFrame, refs: DataFrame, k: int = 8) -> tuple[DataFrame, DataFrame]:
+def retrieve(asked: DataFrame, chunks: DataFrame, hints: DataFrame, refs: DataFrame, k: int = 8, density: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """The best chunks of each (query_id, twin_id, query, vector), and the questions (query_id) that lexical search found nothing for.
 
     Layers: nearest vectors, full text or else substrings, paths that start with a hint (query_id, twin_id, hint, vector), and paths
@@ -40,7 +44,7 @@ def retrieve(asked: DataFrame, chunks: DataFrame, hints: DataFrame, refs: DataFr
     columns = ["query_id", "chunk_id", "source_ref", "score", "reason", "layer", "rank"]
     layer = lambda rows, no, reason: rows.withColumn("reason", reason).withColumn("layer", F.lit(no)).select(*columns)
     by_path = F.concat(F.lit("path:"), "hint")
-    lexical = stored(lexical_candidates(asked, chunks), "lexical")
+    lexical = stored(lexical_candidates(asked, chunks, density=density), "lexical")
     named = rt.path_candidates(refs.drop("ref_no"), chunks).join(refs.select("query_id", "hint", "ref_no"), ["query_id", "hint"])
     parts = [
         layer(rt.vector_candidates(asked, chunks), 0, F.lit("vector")),

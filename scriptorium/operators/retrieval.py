@@ -36,17 +36,21 @@ def cosine(a: Column, b: Column) -> Column:
     return total(F.zip_with(a, b, lambda x, y: x * y)) / (F.sqrt(total(F.transform(a, lambda x: x * x))) * F.sqrt(total(F.transform(b, lambda x: x * x))))
 
 
+def norm(a: Column) -> Column:
+    return F.sqrt(F.aggregate(a, F.lit(0.0), lambda s, x: s + x * x))
+
+
 def few(rows: DataFrame) -> DataFrame:
     """Marked for broadcast while its counted size allows."""
     return F.broadcast(rows) if rows.limit(BROADCAST_QUESTIONS + 1).count() <= BROADCAST_QUESTIONS else rows
 
 
-def met(rows: DataFrame, questions: DataFrame, scope: str) -> DataFrame:
-    """Rows (chunk_id, ..) joined with the questions of their scope. That the questions are few enough to broadcast is counted, not assumed."""
+def met(rows: DataFrame, questions: DataFrame, *scope: str) -> DataFrame:
+    """Rows (chunk_id, ..) joined with the questions of their scope, one column or several. That the questions are few enough to broadcast is counted, not assumed."""
     if questions.limit(BROADCAST_QUESTIONS + 1).count() <= BROADCAST_QUESTIONS:
-        return rows.join(F.broadcast(questions), scope)
+        return rows.join(F.broadcast(questions), list(scope))
     dealt = questions.withColumn("slice", F.explode(F.sequence(F.lit(0), F.lit(SLICES - 1))))
-    return rows.withColumn("slice", F.pmod(F.xxhash64("chunk_id"), F.lit(SLICES)).cast("int")).join(dealt, [scope, "slice"]).drop("slice")
+    return rows.withColumn("slice", F.pmod(F.xxhash64("chunk_id"), F.lit(SLICES)).cast("int")).join(dealt, [*scope, "slice"]).drop("slice")
 
 
 def eligible(chunks: DataFrame, sources: DataFrame) -> DataFrame:
@@ -171,12 +175,21 @@ def substring_candidates(questions: DataFrame, chunks: DataFrame, k: int = LEXIC
 
 def path_candidates(hints: DataFrame, chunks: DataFrame, k: int = PATH_BUDGET, snippets: bool = False) -> DataFrame:
     """(query_id, hint, chunk_id, source_ref, score) for (query_id, twin_id, hint, vector): chunks whose path starts so, embedded ones first.
-    The wildcards of LIKE in a hint keep their meaning."""
+    The wildcards of LIKE in a hint keep their meaning.
+
+    Chunks are met with the distinct hints of their twin. Those without an embedding are the same for all questions that share a hint, so
+    that ``k`` of them are kept for each hint before questions are joined; only embedded ones are compared with every question.
+    """
     rows = chunks if snippets else chunks.where("chunk_type <> 'code_snippet'")
-    pairs = rows.select("chunk_id", "twin_id", "source_ref", "embedding").transform(met, hints, "twin_id").where("lower(source_ref) like concat(hint, '%')")
-    near = F.round(cosine(F.col("embedding"), F.col("vector")), 6)
-    scored = pairs.select("query_id", "hint", "chunk_id", "source_ref", near.alias("near"), F.coalesce(near, F.lit(0.5)).alias("score"))
-    return top_per_query(scored, [F.col("near").isNull(), F.desc("near"), F.lower("source_ref"), F.col("chunk_id")], k, ("query_id", "hint"))
+    place = ("twin_id", "hint")
+    there = rows.select("chunk_id", "twin_id", "source_ref", "embedding").join(few(hints.select(*place).distinct()), "twin_id").where("lower(source_ref) like concat(hint, '%')")
+    by_path = [F.lower("source_ref"), F.col("chunk_id")]
+    bare = top_per_query(there.where("embedding is null").drop("embedding"), by_path, k, place).drop("rank").join(few(hints.select("query_id", *place)), list(place)).withColumn("near", F.lit(None).cast("double"))
+    embedded = met(there.where("embedding is not null").withColumn("own", norm(F.col("embedding"))), hints.select("query_id", *place, "vector", norm(F.col("vector")).alias("asked")), *place)
+    dot = F.aggregate(F.zip_with("embedding", "vector", lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
+    columns = ("query_id", "hint", "chunk_id", "source_ref", "near")
+    both = bare.select(*columns).unionByName(embedded.withColumn("near", F.round(dot / (F.col("own") * F.col("asked")), 6)).select(*columns))
+    return top_per_query(both.withColumn("score", F.coalesce("near", F.lit(0.5))), [F.col("near").isNull(), F.desc("near"), *by_path], k, ("query_id", "hint"))
 
 
 def fuse(candidates: DataFrame) -> DataFrame:

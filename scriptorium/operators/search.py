@@ -5,9 +5,10 @@ after ``-``, must not have; a term of words, which have to follow each other: wh
 if the quote is left open, or else a run without spaces, whose words are its letters and digits. Repeated terms of a group count once, a
 term without words not at all, and a group without a required term matches nothing.
 
-The words of the questions are met with the words of each chunk, which keeps their places by word. Of each group only the rarest word in
-its twin names candidates, and only candidates that hold all required words are looked at by position. Rows are dealt by chunk once, all later
-grouping is within chunks.
+The distinct words of each chunk are written once. The chunks of each required word are counted there; then each group's rarest word in its
+twin names the chunks that may match, and of these stay the ones that hold all its required words. Only the chunks left get the
+places of words, those of the questions that they match, and phrases and exclusions are looked at there. Rows are dealt by chunk once, all
+later grouping is within chunks.
 """
 
 from __future__ import annotations
@@ -43,29 +44,45 @@ def terms(asked: DataFrame) -> DataFrame:
     return found.where(F.size("words") > 0).groupBy("query_id", "twin_id", "grp", "negative", "words").agg(F.min("item").alias("item"))
 
 
-def held_words(wanted: DataFrame, chunks: DataFrame) -> DataFrame:
-    """(chunk_id, twin_id, source_ref, first, places): where the words of the questions stand in each chunk, by word.
+def spelled(chunks: DataFrame) -> DataFrame:
+    """(chunk_id, twin_id, ws): the distinct words of each chunk's path and content."""
+    return chunks.select("chunk_id", "twin_id", F.array_distinct(F.concat(words(F.col("source_ref")), words(F.col("content")))).alias("ws"))
+
+
+def groups(wanted: DataFrame, spelt: DataFrame) -> DataFrame:
+    """(query_id, twin_id, grp, word, all): the required words of each group, the one in the fewest chunks of its twin first and by itself.
+    Groups with a word that no chunk of the twin has are left out."""
+    required = wanted.where("not negative").select("query_id", "twin_id", "grp", F.explode("words").alias("word")).distinct()
+    each = spelt.select("twin_id", F.explode("ws").alias("word")).join(few(required.select("twin_id", "word").distinct()), ["twin_id", "word"])
+    often = each.groupBy("twin_id", "word").agg(F.count("*").alias("chunks"))
+    ranked = required.join(often, ["twin_id", "word"], "left")
+    by_group = ranked.groupBy("query_id", "twin_id", "grp").agg(F.min(F.coalesce("chunks", F.lit(0))).alias("least"), F.array_sort(F.collect_list(F.struct("chunks", "word"))).alias("all"))
+    return by_group.where("least > 0").select("query_id", "twin_id", "grp", F.col("all")[0]["word"].alias("word"), F.col("all.word").alias("all"))
+
+
+def holding(named: DataFrame, spelt: DataFrame) -> DataFrame:
+    """(query_id, grp, chunk_id): the chunks that hold all required words of a group. Those with its rarest word are found first, without a copy of their words each."""
+    each = spelt.select("chunk_id", "twin_id", F.explode("ws").alias("word")).join(few(named.select("query_id", "twin_id", "grp", "word")), ["twin_id", "word"])
+    some = stored(each.select("query_id", "grp", "chunk_id"), "some")
+    both = spelt.select("chunk_id", "ws").join(few(some), "chunk_id").join(few(named.select("query_id", "grp", "all")), ["query_id", "grp"])
+    return both.where(F.forall("all", lambda w: F.array_contains("ws", w))).select("query_id", "grp", "chunk_id")
+
+
+def held_words(wanted: DataFrame, whole: DataFrame, chunks: DataFrame) -> DataFrame:
+    """(chunk_id, twin_id, source_ref, first, places): where the words of the questions stand that a chunk holds a group of, by word.
 
     Words of the path come first, ``first`` of them, those of the content go on from there. The rows stay dealt by chunk.
     """
+    asked_words = wanted.select("query_id", F.explode("words").alias("word")).distinct()
+    needed = whole.select("query_id", "chunk_id").distinct().join(few(asked_words), "query_id").groupBy("chunk_id").agg(F.collect_set("word").alias("needed"))
     head, body = words(F.col("source_ref")), words(F.col("content"))
-    texts = chunks.select("chunk_id", "twin_id", "source_ref", F.size(head).alias("first"), F.concat(head, body).alias("ws"))
-    asked_words = wanted.select("twin_id", F.explode("words").alias("word")).distinct()
-    each = texts.select("chunk_id", "twin_id", "source_ref", "first", F.posexplode("ws").alias("pos", "word")).join(few(asked_words), ["twin_id", "word"])
+    texts = chunks.select("chunk_id", "twin_id", "source_ref", "content").join(few(stored(needed, "needed")), "chunk_id")
+    each = texts.select("chunk_id", "twin_id", "source_ref", "needed", F.size(head).alias("first"), F.posexplode(F.concat(head, body)).alias("pos", "word")).where(F.array_contains("needed", F.col("word")))
     chunk = ("chunk_id", "twin_id", "source_ref", "first")
     by_word = each.repartition("chunk_id").groupBy(*chunk, "word").agg(F.collect_list(F.col("pos") + 1).alias("at"))
     return by_word.groupBy(*chunk).agg(F.map_from_entries(F.collect_list(F.struct("word", "at"))).alias("places"))
 
 
-def groups(wanted: DataFrame, held: DataFrame) -> DataFrame:
-    """(query_id, twin_id, grp, all, word, terms): the required words of each group, of them the one in the fewest chunks of its twin, and the terms."""
-    required = wanted.where("not negative").select("query_id", "twin_id", "grp", F.explode("words").alias("word")).distinct()
-    often = held.select("twin_id", F.explode(F.map_keys("places")).alias("word")).groupBy("twin_id", "word").agg(F.count("*").alias("chunks"))
-    ranked = required.join(often, ["twin_id", "word"], "left")
-    rarest = ranked.groupBy("query_id", "twin_id", "grp").agg(F.min_by("word", F.struct(F.coalesce("chunks", F.lit(0)), F.col("word"))).alias("word"), F.collect_set("word").alias("all"))
-    return rarest.join(wanted.groupBy("query_id", "grp").agg(F.collect_list(F.struct("negative", "words")).alias("terms")), ["query_id", "grp"])
-
-
 def stands(ws: Column, places: Column) -> Column:
     """Whether the words follow each other somewhere."""
     begins = F.transform(ws, lambda w, k: F.transform(F.coalesce(F.try_element_at(places, w), F.array().cast("array<int>")), lambda p: p - k))
@@ -88,9 +105,12 @@ def occurrences(asked: DataFrame, chunks: DataFrame) -> DataFrame:
     words of the question up to there, ``items`` the terms of the group. All steps keep to the chunk's own partition.
     """
     found = terms(asked)
-    held = stored(held_words(found, chunks), "held")
-    named = held.repartition(1 + held.count() // CHUNKS_PER_TASK, "chunk_id").withColumn("word", F.explode(F.map_keys("places"))).join(few(groups(found, held)), ["twin_id", "word"])
-    whole_groups = named.where(F.forall("all", lambda w: F.map_contains_key("places", w))).where(F.forall("terms", lambda t: stands(t["words"], F.col("places")) != t["negative"]))
+    spelt = stored(spelled(chunks), "spelled")
+    whole = stored(holding(stored(groups(found, spelt), "groups"), spelt), "whole")
+    held = stored(held_words(found, whole, chunks), "held")
+    judging = found.groupBy("query_id", "grp").agg(F.collect_list(F.struct("negative", "words")).alias("terms"))
+    named = held.repartition(1 + held.count() // CHUNKS_PER_TASK, "chunk_id").join(few(whole), "chunk_id").join(few(judging), ["query_id", "grp"])
+    whole_groups = named.where(F.forall("terms", lambda t: stands(t["words"], F.col("places")) != t["negative"]))
     placed = whole_groups.dropDuplicates(PAIR).join(few(uses(found)), "query_id")
     there = F.filter("vocabulary", lambda v: F.map_contains_key("places", v["word"]))
     spots = F.flatten(F.transform(there, lambda v: F.transform(F.col("places")[v["word"]], lambda p: F.struct(p.alias("pos"), v["plain"].alias("plain"), v["uses"].alias("uses")))))

@@ -8,6 +8,7 @@ from scriptorium.operators import retrieval as rt, search
 from scriptorium.plans.registry import query
 from scriptorium.plans.retrieval import _LAYERS, _base
 from scriptorium.plans.views import with_views
+from scriptorium.sources.folders import stored
 
 _WORDS = "list_filter(string_split_regex(lower({}), '[^\\p{{L}}\\p{{N}}]+'), lambda x: x <> '')"
 _FULL_TEXT = f""", tks AS (SELECT query_id, twin_id, regexp_extract_all(coalesce(query, ''), '-?"[^"]*"?|[^\\s"!&|()]+') AS ts FROM searches),
@@ -106,6 +107,6 @@ def lexical_or_substring(spark, sf_dir):
 
 def lexical(asked, ready):
     columns = ["query_id", "chunk_id", "source_ref", "score", "rank"]
-    full = ranked(asked, ready).select(*columns)
-    other = rt.substring_candidates(asked, ready).select(*columns).join(full.select("query_id").distinct(), "query_id", "left_anti")
+    full = stored(ranked(asked, ready).select(*columns), "full")
+    other = rt.substring_candidates(asked.join(full.select("query_id").distinct(), "query_id", "left_anti"), ready).select(*columns)
     return full.withColumn("full", F.lit(True)).unionByName(other.withColumn("full", F.lit(False)))

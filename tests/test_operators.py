@@ -167,3 +167,29 @@ def test_full_text_stays_with_its_chunks(spark):
     # pairs of question and chunk are never dealt out anew
     dealt = [line for line in found._jdf.queryExecution().executedPlan().toString().split("\n") if "Exchange hashpartitioning" in line]
     assert dealt and not [line for line in dealt if "query_id" in line and "chunk_id" in line]
+
+
+def test_only_chunks_with_all_words_get_places(spark):
+    from scriptorium.operators import search
+
+    chunks = spark.createDataFrame([(1, 0, "a/x", "the cat sat"), (2, 0, "a/y", "the the dog"), (3, 1, "b", "the cat")], "chunk_id long, twin_id int, source_ref string, content string")
+    asked = spark.createDataFrame([(7, 0, "the cat -dog"), (8, 0, "cat nowhere or dog"), (9, 1, "nowhere")], "query_id long, twin_id int, query string")
+    found, spelt = search.terms(asked), search.spelled(chunks)
+    whole = search.holding(search.groups(found, spelt), spelt)
+    assert sorted((r.query_id, r.chunk_id) for r in whole.collect()) == [(7, 1), (8, 2)]
+    # words of other questions have no places, though the chunk has them
+    assert sorted((r.chunk_id, sorted(r.places)) for r in search.held_words(found, whole, chunks).collect()) == [(1, ["cat", "the"]), (2, ["dog"])]
+
+
+def test_questions_share_the_chunks_of_a_path_that_have_no_vector(spark):
+    rows = [(k, 0, f"en/{k % 3}", "doc", [1.0, k - 3.0] if k in (4, 8) else None) for k in range(12)] + [(20, 0, "fr/1", "doc", None), (21, 1, "en/1", "doc", None)]
+    chunks = spark.createDataFrame(rows, "chunk_id long, twin_id int, source_ref string, chunk_type string, embedding array<double>")
+    hints = spark.createDataFrame([(1, 0, "en/", [0.0, 1.0]), (2, 0, "en/", None), (3, 0, "en/", [1.0]), (1, 0, "fr/", [0.0, 1.0])], "query_id long, twin_id int, hint string, vector array<double>")
+    found = retrieval.path_candidates(hints, chunks)
+    got = {}
+    for r in sorted(found.collect(), key=lambda r: r["rank"]):
+        got.setdefault((r.query_id, r.hint), []).append(r.chunk_id)
+    # without a vector of the chunk's length, embedded chunks are ranked by path as the others
+    assert got == {(1, "en/"): [8, 4, 0, 3], (2, "en/"): [0, 3, 6, 9], (3, "en/"): [0, 3, 6, 9], (1, "fr/"): [20]}
+    # chunks without a vector are cut down by hint, before questions multiply them
+    assert "windowspecdefinition(twin_id" in found._jdf.queryExecution().optimizedPlan().toString()
