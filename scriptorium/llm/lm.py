@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from scriptorium.llm.eliasfano import Monotone, pack_monotone
 from scriptorium.llm.langid import fold
-from scriptorium.llm.ngrams import count_pairs, count_shards, count_words, merged, open_vocabulary, pair_shard, tokens, vocabulary_offsets
+from scriptorium.llm.ngrams import count_pairs, count_shards, count_words, distinct_of, gathered, merged, open_vocabulary, pair_shard, vocabulary_offsets
 from scriptorium.llm.shared import drop_file, has_file, map_file, new_folder, put_file, stored, table
 
 LEVELS = 255  # of a quantised probability
@@ -214,7 +214,7 @@ def token_probabilities(model: Model, ids: np.ndarray, lower: np.ndarray, sizes:
     context[1:] = ids[:-1]
     context[np.cumsum(sizes) - sizes] = model.words
     pair = np.where(context >= 0, context << 32 | (ids & 0xFFFFFFFF), -1)
-    distinct, place = np.unique(pair, return_inverse=True)
+    distinct, place = distinct_of(pair)
     chance, back = np.zeros(len(distinct)), np.ones(len(distinct))
     live = np.flatnonzero(distinct >= 0)
     shard = pair_shard(distinct[live].astype(np.uint64), offsets, heavy)
@@ -239,8 +239,8 @@ def score_texts(df: DataFrame, model: Model, text: str = "text") -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary = open_vocabulary(model.folder, model.offsets)
         for batch in batches:
-            for lo, hi, hashes, sizes in tokens(batch.column(0).field(at)):
-                distinct, place = np.unique(hashes, return_inverse=True)
+            for lo, hi, hashes, sizes in gathered(batch.column(0).field(at)):
+                distinct, place = distinct_of(hashes)
                 numbers, counts = vocabulary.look_up(distinct)
                 lower = word_probabilities(model, numbers)[place]
                 ids, counts = numbers[place], counts[place]

@@ -26,6 +26,7 @@ END = np.uint64(0x9AE16A3B2F90404F)  # the token after a text's last word
 HELD = 1 << 20  # distinct entries that a task gathers before it sends them
 SHARD_BYTES = 16 << 20  # of text, for which there is about a shard
 PACKED = "shard int, keys binary, counts binary"
+SLICES = 3  # of texts whose words are looked up together
 
 
 def count_shards(texts: DataFrame) -> int:
@@ -53,6 +54,28 @@ def tokens(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]
         yield lo, hi, np.insert(words, ends, END), counts + 1
 
 
+def gathered(column: pa.Array, slices: int = SLICES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """What :func:`tokens` gives, for up to ``slices`` slices at once: each shard is asked once for the words of all of them."""
+    held: list[tuple[int, int, np.ndarray, np.ndarray]] = []
+    for part in tokens(column):
+        held.append(part)
+        if len(held) == slices:
+            yield held[0][0], held[-1][1], np.concatenate([x[2] for x in held]), np.concatenate([x[3] for x in held])
+            held = []
+    if held:
+        yield held[0][0], held[-1][1], np.concatenate([x[2] for x in held]), np.concatenate([x[3] for x in held])
+
+
+def distinct_of(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct keys, sorted, and the place of each key among them: only the distinct ones are sorted."""
+    codes, found = pd.factorize(keys)
+    found = np.asarray(found)
+    order = np.argsort(found)
+    place = np.empty(len(order), np.int64)
+    place[order] = np.arange(len(order))
+    return found[order], place[codes]
+
+
 def _packed(shard: np.ndarray, keys: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
     order = np.argsort(shard, kind="stable")
     shard, keys, counts = shard[order], keys[order], counts[order].astype(np.int64)
@@ -204,8 +227,8 @@ def count_pairs(texts: DataFrame, folder: str, offsets: tuple[int, ...], heavy:
 
         def parts() -> Iterator[tuple[np.ndarray, np.ndarray]]:
             for batch in batches:
-                for _, _, hashes, sizes in tokens(batch.column(0)):
-                    distinct, place = np.unique(hashes, return_inverse=True)
+                for _, _, hashes, sizes in gathered(batch.column(0)):
+                    distinct, place = distinct_of(hashes)
                     ids = vocabulary.look_up(distinct)[0][place]
                     yield counted(pairs_of(ids, sizes, start).astype(np.uint64))
 

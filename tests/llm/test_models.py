@@ -7,11 +7,12 @@ import re
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import Window, functions as F
 
 import corpus_pipeline
-from scriptorium.llm import jaccard, lm, quality
+from scriptorium.llm import jaccard, lm, ngrams, quality
 from scriptorium.llm.eliasfano import Monotone, pack_monotone
 from scriptorium.llm.shared import stored
 
@@ -134,6 +135,16 @@ def text_tokens(text):
     return [w.lower() for w in WORDS.findall(text or "")] + ["</s>"]
 
 
+def test_words_of_several_slices_are_looked_up_at_once():
+    column = pa.array([f"w{k} common" for k in range(9000)] + [None])
+    parts = list(ngrams.gathered(column))
+    assert [(lo, hi, len(sizes)) for lo, hi, _, sizes in parts] == [(0, 9001, 9001)]
+    assert parts[0][2].tolist() == [h for _, _, hashes, _ in ngrams.tokens(column) for h in hashes.tolist()]
+    keys = np.array([7, -1, 7, 3, -1], np.int64)
+    distinct, place = ngrams.distinct_of(keys)
+    assert distinct.tolist() == [-1, 3, 7] and distinct[place].tolist() == keys.tolist()
+
+
 def test_language_model(spark):
     rng = np.random.default_rng(8)
     words = [f"v{k}" for k in range(40)]
