@@ -25,6 +25,8 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from scriptorium.sources.folders import filesystem
 
 BUCKETS = 32
+# what a task holds of a file: rows, which may be whole texts, and bytes of each column read ahead
+BATCH_ROWS, READ_BYTES = 512, 1 << 20
 
 
 def publish(changes: DataFrame, folder: str, number: int) -> None:
@@ -56,7 +58,7 @@ class _Feed:
     def read(self, partition: Piece) -> Iterator[pa.RecordBatch]:
         fs, _ = filesystem(self.folder)
         with fs.open_input_file(partition.file) as f:
-            for batch in pq.ParquetFile(f).iter_batches(columns=[x.name for x in self.wanted if x.name != "batch"]):
+            for batch in pq.ParquetFile(f, buffer_size=READ_BYTES).iter_batches(BATCH_ROWS, columns=[x.name for x in self.wanted if x.name != "batch"]):
                 columns = [pa.array([partition.batch] * batch.num_rows, x.type) if x.name == "batch" else batch.column(x.name).cast(x.type) for x in self.wanted]
                 yield pa.RecordBatch.from_arrays(columns, schema=self.wanted)
 

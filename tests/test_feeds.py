@@ -99,6 +99,15 @@ def test_feed_batches_restart_and_replay(spark, tmp_path):
     assert sorted(map(tuple, read.groupBy("batch").count().collect())) == [(1, 3), (2, 3), (3, 1), (4, 2)]
 
 
+def test_a_feed_is_read_in_small_batches(spark, tmp_path):
+    folder = f"file://{tmp_path}/feed"
+    changes = spark.range(3000).select(F.col("id").alias("k"), F.col("id").alias("seq"), F.lit(False).alias("gone"), F.lit(1.0).alias("value"))
+    feed.publish(changes.coalesce(1), folder, 1)
+    reader = feed.FeedReader(folder, CHANGES)
+    sizes = [b.num_rows for piece in reader.partitions() for b in reader.read(piece)]
+    assert sum(sizes) == 3000 and max(sizes) <= feed.BATCH_ROWS < 3000
+
+
 def file_rows(spark, *rows):
     return spark.createDataFrame(rows, feed.FILE_CHANGE)
 
